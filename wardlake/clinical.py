@@ -189,6 +189,86 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Text (bronze) form of the clinical tables, valid in both engines. Some values are planted as unreadable.
+BRONZE = {
+    "patients": [
+        "CAST(id AS STRING) AS id",
+        "CASE WHEN id % 50 = 7 THEN '2020-13-01' ELSE CAST(birthdate AS STRING) END AS birthdate",
+        "CAST(deathdate AS STRING) AS deathdate",
+        "CASE id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'S' ELSE 'D' END AS marital",
+        "race",
+        "CASE id % 2 WHEN 0 THEN 'hispanic' ELSE 'nonhispanic' END AS ethnicity",
+        "gender",
+        "concat('City ', id % 40) AS city",
+        "state",
+        "concat('County ', id % 12) AS county",
+        "lpad(CAST(id % 100000 AS STRING), 5, '0') AS zip",
+        "CASE WHEN id % 45 = 9 THEN 'abc' ELSE CAST(income AS STRING) END AS healthcare_expenses",
+        "CASE WHEN id % 45 = 11 THEN '' ELSE CAST(income AS STRING) END AS healthcare_coverage",
+        "CAST(income AS STRING) AS income",
+    ],
+    "encounters": [
+        "CAST(id AS STRING) AS id",
+        "CASE WHEN id % 60 = 13 THEN 'soon' ELSE CAST(start AS STRING) END AS start",
+        "CAST(stop AS STRING) AS stop",
+        "CAST(patient AS STRING) AS patient",
+        "concat('org ', id % 9) AS organization",
+        "payer",
+        "encounterclass",
+        "CAST(id % 500 AS STRING) AS code",
+        "concat('visit ', id % 500) AS description",
+        "CAST(total_claim_cost AS STRING) AS base_encounter_cost",
+        "CASE WHEN id % 70 = 21 THEN 'n/a' ELSE CAST(total_claim_cost AS STRING) END AS total_claim_cost",
+        "CAST(CAST(payer_coverage AS DECIMAL(18,2)) AS STRING) AS payer_coverage",
+        "CAST(id % 7 AS STRING) AS reasoncode",
+        "concat('reason ', id % 7) AS reasondescription",
+    ],
+    "conditions": [
+        "CASE WHEN code % 33 = 5 THEN 'unknown' ELSE CAST(start AS STRING) END AS start",
+        "CAST(start AS STRING) AS stop",
+        "CAST(patient AS STRING) AS patient",
+        "CAST(encounter AS STRING) AS encounter",
+        "'snomed' AS system",
+        "CAST(code AS STRING) AS code",
+        "description",
+    ],
+    "observations": [
+        "CAST(date AS STRING) AS date",
+        "CAST(encounter % 1500 AS STRING) AS patient",
+        "CAST(encounter AS STRING) AS encounter",
+        "'vital-signs' AS category",
+        "CAST(encounter % 3 AS STRING) AS code",
+        "description",
+        "value",
+        "'mmHg' AS units",
+        "'numeric' AS type",
+    ],
+    "procedures": [
+        "CAST(start AS STRING) AS start",
+        "CAST(start AS STRING) AS stop",
+        "CAST(patient AS STRING) AS patient",
+        "CAST(encounter AS STRING) AS encounter",
+        "'snomed' AS system",
+        "CAST(code AS STRING) AS code",
+        "description",
+        "CASE WHEN code % 51 = 8 THEN '12,5' ELSE CAST(base_cost AS STRING) END AS base_cost",
+        "CAST(code % 7 AS STRING) AS reasoncode",
+        "concat('reason ', code % 7) AS reasondescription",
+    ],
+}
+
+
+def bronze(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    typed = {
+        "patients": patients,
+        "encounters": encounters,
+        "conditions": conditions,
+        "observations": observations,
+        "procedures": procedures,
+    }[name]
+    return typed(spark, sf_dir).selectExpr(*BRONZE[name])
+
+
 # The same rules as SQL for the check engine. Each entry may use the entries named in DEPENDS.
 CTES = {
     "encounters": f"""
@@ -245,7 +325,11 @@ CTES = {
                concat('doc://', source, '/', doc_id) AS url, text, lang
         FROM documents""",
 }
-DEPENDS = {"patients": ["encounters"]}
+for _name, _columns in BRONZE.items():
+    CTES[f"bronze_{_name}"] = f"SELECT {', '.join(_columns)} FROM {_name}"
+DEPENDS = {"patients": ["encounters"], "bronze_patients": ["patients"], **{
+    f"bronze_{n}": [n] for n in ("encounters", "conditions", "observations", "procedures")
+}}
 
 
 def with_ctes(names: str, body: str) -> str:

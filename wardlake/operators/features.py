@@ -265,12 +265,9 @@ def assemble(
 
 def fill_medians(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Replace NULLs by the exact median, taken from ``fit_on`` (default: all rows)."""
-    medians = exact_quantiles(fit_on if fit_on is not None else df, columns, [0.5])
-    filled = df
-    for name in columns:
-        median = medians.where(F.col("column") == name).select(F.col("q")[0].alias("m")).scalar()
-        filled = filled.withColumn(name, F.coalesce(F.col(name).cast("double"), median))
-    return filled
+    fitted = exact_quantiles(fit_on if fit_on is not None else df, columns, [0.5]).collect()  # one row per column
+    medians = {row["column"]: row["q"][0] for row in fitted if row["q"]}
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))) for c in columns})
 
 
 def feature_matrix(assembled: DataFrame, vitals: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
