@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE_TRIM = r"^\s+|\s+$"
+# The characters text is trimmed of.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(c: Column) -> Column:
+    """Trim all kinds of blanks on both sides."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def month_start(ts: Column) -> Column:
@@ -45,9 +54,9 @@ def to_instant(c: Column) -> Column:
 
 def safe_id(name: Column) -> Column:
     """Folder-safe id of a tenant name."""
-    lowered = F.lower(F.regexp_replace(name, WHITESPACE_TRIM, ""))
+    lowered = F.lower(strip(name))
     squeezed = F.regexp_replace(lowered, r"[^a-z0-9_-]+", "_")
-    return F.coalesce(F.nullif(F.regexp_replace(squeezed, r"^_+|_+$", ""), F.lit("")), F.lit("unnamed"))
+    return F.coalesce(F.nullif(F.btrim(squeezed, F.lit("_")), F.lit("")), F.lit("unnamed"))
 
 
 def clean_text(text: Column) -> Column:
@@ -55,7 +64,7 @@ def clean_text(text: Column) -> Column:
     unix = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n")
     narrow = F.regexp_replace(unix, "[ \t]+", " ")
     capped = F.regexp_replace(narrow, "\n{3,}", "\n\n")
-    return F.regexp_replace(capped, WHITESPACE_TRIM, "")
+    return strip(capped)
 
 
 def citation_label(source: Column, title: Column, doc_id: Column) -> Column:
