@@ -39,7 +39,8 @@ def mean(total: Column, n: Column) -> Column:
 
 def key_mix(key: Column) -> Column:
     """Fixed 32-bit integer mix of a numeric key, used where a repeatable shuffle order is needed."""
-    return (key.cast("bigint") * F.lit(2654435761)) % F.lit(4294967296)
+    folded = F.pmod(key.cast("bigint"), F.lit(2147483648))  # keeps the product inside 64 bits
+    return (folded * F.lit(2654435761)) % F.lit(4294967296)
 
 
 def to_number(c: Column) -> Column:
