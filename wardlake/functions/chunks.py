@@ -54,6 +54,19 @@ def split_text(text: str, size: int = CHUNK_SIZE, separators: tuple[str, ...] =
     return done
 
 
+def chunk_text(text: str) -> list[str]:
+    """Split, prefix each piece with the tail of the one before it, trim, drop what is too short."""
+    pieces = split_text(text)
+    tails = ["", *[piece[-CHUNK_OVERLAP:] + " " for piece in pieces[:-1]]]
+    trimmed = ((tail + piece).strip() for tail, piece in zip(tails, pieces))
+    return [chunk for chunk in trimmed if len(chunk) >= MIN_CHUNK]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def chunk_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: chunk_text(t) if t is not None else [])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def split_pieces(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_text(t) if t is not None else [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -100,16 +101,32 @@ def name_reason(column: str, target: str) -> str | None:
     return None
 
 
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, float]]:
+    """Row count and distinct values per column: a sketch decides the clear cases, the rest is counted exactly."""
+    rough = df.agg(
+        F.count("*").alias("n"), *[F.approx_count_distinct(c, 0.02).alias(f"u{i}") for i, c in enumerate(columns)]
+    ).first()
+    n = rough["n"]
+    counts = {c: float(rough[f"u{i}"]) for i, c in enumerate(columns)}
+    unclear = [
+        c for c, u in counts.items() if u <= 3 or (u >= (ID_SHARE - 0.12) * n and not _is_continuous(df, c))
+    ]
+    if unclear:
+        exact = df.agg(*[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(unclear)]).first()
+        counts.update({c: exact[i] for i, c in enumerate(unclear)})
+    return n, counts
+
+
 def screen_features(df: DataFrame, target: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """``(dropped with reason, candidates)``; one distinct-count pass decides."""
+    """``(dropped with reason, candidates)`` of all columns but the target."""
     columns = [c for c in df.columns if c != target]
-    row = df.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)]).first()
+    n, distinct = _distinct_counts(df, columns)
     dropped, candidates = [], []
-    for i, c in enumerate(columns):
+    for c in columns:
         reason = None
-        if row["n"] and not _is_continuous(df, c) and row[f"u{i}"] >= ID_SHARE * row["n"]:
+        if n and not _is_continuous(df, c) and distinct[c] >= ID_SHARE * n:
             reason = "id-like (near-unique per row)"
-        reason = reason or name_reason(c, target) or ("constant or empty" if row[f"u{i}"] <= 1 else None)
+        reason = reason or name_reason(c, target) or ("constant or empty" if distinct[c] <= 1 else None)
         if reason:
             dropped.append((c, reason))
         else:
@@ -125,8 +142,8 @@ def _bins(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, Column]
     for c in columns:
         *edges, median = cuts[c] or [0.0]
         value = F.coalesce(F.col(c).cast("double"), F.lit(float(median)))
-        edge_list = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
-        out[c] = F.size(F.filter(edge_list, lambda e: e < value)).cast("string")
+        below = [(value > F.lit(float(e))).cast("int") for e in edges]
+        out[c] = reduce(lambda a, b: a + b, below, F.lit(0)).cast("string")
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.functions.chunks import CHUNK_OVERLAP, MIN_CHUNK, split_pieces
+from wardlake.functions.chunks import CHUNK_OVERLAP, MIN_CHUNK, chunk_texts, split_pieces
 from wardlake.functions.scalars import citation_label, clean_text, safe_id, strip
 from wardlake.operators.selection import first_per_group
 from wardlake.scale import row_numbers
@@ -38,27 +38,14 @@ def balanced_cap(documents: DataFrame, order: Sequence[Column], per_source: int
     return first_per_group(documents, ["source"], order, per_source)
 
 
-def with_overlap(pieces: Column) -> Column:
-    """Each piece prefixed with the tail of the one before it."""
-    return F.transform(
-        pieces,
-        lambda p, i: F.when(i == 0, p).otherwise(
-            F.concat(F.right(F.element_at(pieces, F.greatest(i, F.lit(1))), F.lit(CHUNK_OVERLAP)), F.lit(" "), p)
-        ),
-    )
-
-
-def chunk_arrays(documents: DataFrame) -> DataFrame:
-    """Adds ``chunks``: overlapped, trimmed, long enough. Everything stays inside the document's row."""
-    split = documents.withColumn("__pieces", split_pieces("text"))
-    trimmed = F.transform(with_overlap(F.col("__pieces")), strip)
-    return split.withColumn("chunks", F.filter(trimmed, lambda c: F.length(c) >= MIN_CHUNK)).drop("__pieces")
-
-
 def chunk_documents(documents: DataFrame) -> DataFrame:
-    """One row per chunk, numbered after short ones are dropped; no shuffle."""
-    exploded = chunk_arrays(documents).select(
-        "doc_id", "source", "title", "url", F.posexplode("chunks").alias("position", "text")
+    """One row per chunk, numbered after short ones are dropped. Stays inside the document's row: no shuffle.
+
+    The chunker is exploded directly; through a named column Spark would run it a second time to
+    filter out documents without chunks.
+    """
+    exploded = documents.select(
+        "doc_id", "source", "title", "url", F.posexplode(chunk_texts("text")).alias("position", "text")
     )
     return exploded.select(
         F.concat_ws("_", F.col("doc_id").cast("string"), "position").alias("chunk_id"),
@@ -137,7 +124,7 @@ def extract_pages(pages: DataFrame, block: int = 1_000) -> DataFrame:
 
 def page_chunks(pages: DataFrame, tenant: str) -> DataFrame:
     """Chunk rows of extracted pages for one tenant, with page citations."""
-    exploded = chunk_arrays(pages).select("doc_id", "page", F.posexplode("chunks").alias("position", "text"))
+    exploded = pages.select("doc_id", "page", F.posexplode(chunk_texts("text")).alias("position", "text"))
     return exploded.select(
         safe_id(F.lit(tenant)).alias("tenant_id"),
         F.concat(F.col("doc_id"), F.lit("_p"), F.col("page"), F.lit("_"), F.col("position")).alias("chunk_id"),

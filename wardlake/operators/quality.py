@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -215,15 +216,46 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 12) -> DataFrame:
-    """Pairwise Pearson correlation; rows where either value is missing are left out of that pair."""
+    """Pairwise Pearson correlation; rows where either value is missing are left out of that pair.
+
+    A first pass takes means and null counts. The second sums products of values centred on those
+    means; pairs of columns without NULLs share their per-column sums.
+    """
     columns = list(columns or numeric_columns(df))[:limit]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    records = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in dict.fromkeys([(a, b), (b, a)]):
-            records.append(F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), F.col(f"c{i}").alias("r")))
-    return wide.select(F.inline(F.array(*records)))
+    stats = df.agg(
+        F.count("*").alias("n"),
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
+    ).first()
+    centred = [F.col(c).cast("double") - F.lit(float(stats[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
+    full = [stats[f"n{i}"] == stats["n"] for i in range(len(columns))]
+    sums: dict[str, Column] = {}
+    pairs = []
+    for i in range(len(columns)):
+        for j in range(i, len(columns)):
+            x, y = centred[i], centred[j]
+            if full[i] and full[j]:
+                names = [f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"p{i}_{j}", "n"]
+                values = [x, y, x * x, y * y, x * y, F.lit(1.0)]
+            else:
+                both = F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()
+                names = [f"{kind}{i}_{j}" for kind in ("sx", "sy", "qx", "qy", "p", "n")]
+                values = [F.when(both, v) for v in (x, y, x * x, y * y, x * y, F.lit(1.0))]
+            sums.update({name: F.sum(v).alias(name) for name, v in zip(names, values)})
+            pairs.append((i, j, names))
+    total = df.agg(*sums.values()).first()  # one row of sums
+
+    def pearson(sx: str, sy: str, qx: str, qy: str, xy: str, n: str) -> float | None:
+        if not total[n]:
+            return None
+        spread = (total[qx] - total[sx] ** 2 / total[n]) * (total[qy] - total[sy] ** 2 / total[n])
+        return (total[xy] - total[sx] * total[sy] / total[n]) / math.sqrt(spread) if spread > 0 else None
+
+    rows = []
+    for i, j, names in pairs:
+        r = pearson(*names)
+        rows += [(columns[x], columns[y], r) for x, y in dict.fromkeys([(i, j), (j, i)])]
+    return df.sparkSession.createDataFrame(rows, "column_x string, column_y string, r double")
 
 
 def grouped_quartiles(df: DataFrame, measure: str, groups: Sequence[str] = ()) -> DataFrame:

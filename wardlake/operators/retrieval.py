@@ -186,19 +186,16 @@ def _terms(text: str) -> Column:
 def bm25_scores(pairs: DataFrame) -> DataFrame:
     """BM25 of each candidate against its query, with statistics from the query's own candidates.
 
-    ``pairs`` has ``query_id, item_id, query_text, text``. Term counts are taken inside each row;
-    what is shuffled is one number per matching query term and candidate.
+    ``pairs`` has ``query_id, item_id, query_text, text``.
     """
-    counted = pairs.select("query_id", "item_id", _terms("query_text").alias("q"), _terms("text").alias("t")).select(
-        "query_id",
-        "item_id",
-        F.size("t").alias("dl"),
-        F.transform(
-            F.array_distinct("q"), lambda w: F.struct(w.alias("w"), F.size(F.filter("t", lambda x: x == w)).alias("tf"))
-        ).alias("tfs"),
+    sized = pairs.select("query_id", "item_id", _terms("query_text").alias("q"), _terms("text").alias("t"))
+    pool = sized.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    # only words of the query leave the row; counting them is a plain aggregation
+    words = sized.select(
+        "query_id", "item_id", F.size("t").alias("dl"),
+        F.explode(F.filter("t", lambda w: F.array_contains("q", w))).alias("w"),
     )
-    pool = counted.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = counted.select("query_id", "item_id", "dl", F.inline(F.filter("tfs", lambda x: x.tf > 0)))
+    hits = words.groupBy("query_id", "item_id", "w").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
     df = hits.groupBy("query_id", "w").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))

@@ -11,6 +11,7 @@ from wardlake.operators import features as feats
 from wardlake.operators import model_eval as ops
 from wardlake.plans.features import FLAGS, VITALS, assembled_of
 from wardlake.plans.registry import query
+from wardlake.scale import spread
 from wardlake.session import materialize
 
 # smaller estimators than the defaults, so that the registered queries stay quick on one machine
@@ -208,7 +209,7 @@ SUGGEST_COLUMNS = ["row_id", "l_quantity", "l_extendedprice", "l_linenumber", "l
 def suggest_features(spark, d):
     from pyspark.sql import Window
 
-    lines = C.table(spark, d, "lineitem").join(C.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(C.table(spark, d, "lineitem")).join(C.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     # order, line, part, supplier, quantity and price together tell the lines apart
     table = lines.withColumns(
         {

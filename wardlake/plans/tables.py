@@ -10,6 +10,7 @@ from wardlake.clinical import with_ctes
 from wardlake.operators import quality, selection, typing, uploads
 from wardlake.plans.gold import SQL_AGE
 from wardlake.plans.registry import query
+from wardlake.scale import spread
 from wardlake.session import materialize, scratch_path
 from wardlake.sources import layers, readers
 
@@ -316,7 +317,7 @@ _OUTLIER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
        FROM v JOIN q USING (c) GROUP BY c, q1, q3""",
 )
 def outliers_iqr(spark, d):
-    found = quality.outliers_iqr(C.table(spark, d, "lineitem"), _OUTLIER_COLUMNS)
+    found = quality.outliers_iqr(spread(C.table(spark, d, "lineitem")), _OUTLIER_COLUMNS)
     return rounded(found, ["lower_bound", "upper_bound"])
 
 
@@ -367,7 +368,7 @@ def histogram(spark, d):
 
 @query("correlation_matrix")
 def correlation_matrix(spark, d):
-    return quality.correlation_matrix(C.table(spark, d, "lineitem"))
+    return quality.correlation_matrix(spread(C.table(spark, d, "lineitem")))
 
 
 @query("value_counts", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")

@@ -13,6 +13,7 @@ from wardlake.operators import documents as docs
 from wardlake.operators import questions as asks
 from wardlake.operators import retrieval, retrieval_eval
 from wardlake.plans.registry import query
+from wardlake.scale import spread
 from wardlake.session import materialize, scratch_path
 from wardlake.sources import readers, tenants
 from wardlake.streaming import ingest
@@ -49,7 +50,7 @@ def src_corpus(spark, d):
 
 @query("text_clean", with_ctes("corpus", f"SELECT doc_id, {sql_clean('text')} AS text FROM corpus"))
 def text_clean(spark, d):
-    return C.documents(spark, d).select("doc_id", clean_text(F.col("text")).alias("text"))
+    return cleaned_of(spark, d).select("doc_id", "text")
 
 
 @query(
@@ -61,12 +62,12 @@ def text_clean(spark, d):
     ),
 )
 def corpus_filter(spark, d):
-    kept = docs.corpus_filter(C.documents(spark, d), TRUSTED)
+    kept = docs.corpus_filter(spread(C.documents(spark, d)), TRUSTED)
     return kept.select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def cleaned_of(spark, d):
-    return C.documents(spark, d).withColumn("text", clean_text(F.col("text")))
+    return spread(C.documents(spark, d)).withColumn("text", clean_text(F.col("text")))
 
 
 def chunks_of(spark, d):
@@ -125,7 +126,7 @@ def _sql_page_text():
         {_sql_page_text()} AS text FROM pages) WHERE length(text) >= 50""",
 )
 def page_extract(spark, d):
-    return docs.extract_pages(C.table(spark, d, "pages"))
+    return docs.extract_pages(spread(C.table(spark, d, "pages")))
 
 
 @query(
@@ -215,7 +216,7 @@ def union_append(spark, d):
 def ingest_incremental(spark, d):
     root = scratch_path(spark, "ingest")
     incoming, store, checkpoint = f"{root}/incoming", f"{root}/store", f"{root}/checkpoint"
-    source = C.documents(spark, d)
+    source = spread(C.documents(spark, d))
     encoder = retrieval.fit_encoder(source)
     rows = source.select("doc_id", "source", "title", "url", "text")
     english = source.lang == "en"
@@ -506,26 +507,27 @@ def embed_text(spark, d):
 
 
 def text_search(spark, d):
-    """Candidates, re-ranked results and gold rows for the question table over all document chunks.
-
-    Gold: a document that holds the question's first sentence, found by an equi-join on sentences.
-    """
+    """Candidates and re-ranked results of the question table over all document chunks."""
     chunks = materialize(chunks_of(spark, d), "chunks")
     encoder = retrieval.fit_encoder(chunks)
     asked = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     coded = retrieval.embed(asked, encoder_for(encoder, "query_text"))
     found = materialize(retrieval.vector_topk(retrieval.embed(chunks, encoder), coded, retrieval.CANDIDATES), "candidates")
     texts = chunks.select(F.col("chunk_id").alias("item_id"), "text")
-    best = materialize(retrieval.rerank(found, asked, texts, max(retrieval_eval.GRID)), "reranked")
+    best = retrieval.rerank(found, asked, texts, max(retrieval_eval.GRID))
     owner = chunks.select(F.col("chunk_id").alias("item_id"), "doc_id")
+    return found.join(owner, "item_id"), best.join(owner, "item_id")
+
+
+def question_gold(spark, d):
+    """Documents that hold a question's first sentence, found by an equi-join on sentences."""
 
     def sentences(text):
         return F.transform(F.split(clean_text(text), r"[.\n]+"), lambda s: F.btrim(s))
 
-    first = asked.select("query_id", sentences(F.col("query_text"))[0].alias("sentence"))
-    held = C.documents(spark, d).select("doc_id", F.explode(F.array_distinct(sentences(F.col("text")))).alias("sentence"))
-    gold = materialize(held.join(first, "sentence").select("query_id", "doc_id").distinct(), "gold")
-    return found.join(owner, "item_id"), best.join(owner, "item_id"), gold
+    asked = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), sentences(F.col("text"))[0].alias("sentence"))
+    held = spread(C.documents(spark, d)).select("doc_id", F.explode(F.array_distinct(sentences(F.col("text")))).alias("sentence"))
+    return materialize(held.join(asked, "sentence").select("query_id", "doc_id").distinct(), "gold")
 
 
 def encoder_for(encoder, column):
@@ -538,19 +540,21 @@ def encoder_for(encoder, column):
 
 @query("rerank_topk")
 def rerank_topk(spark, d):
-    _, best, _ = text_search(spark, d)
+    _, best = text_search(spark, d)
     return best.where(F.col("rank") <= retrieval.KEPT).select("query_id", "item_id", "doc_id", "rerank_score", "rank")
 
 
 @query("retrieval_grid_rerank")
 def retrieval_grid_rerank(spark, d):
-    before, after, gold = text_search(spark, d)
+    before, after = text_search(spark, d)
+    after, gold = materialize(after, "reranked"), question_gold(spark, d)
     return retrieval_eval.retrieval_grid(after, gold, "ON").unionByName(retrieval_eval.retrieval_grid(before, gold, "OFF"))
 
 
 @query("rerank_lift")
 def rerank_lift(spark, d):
-    before, after, gold = text_search(spark, d)
+    before, after = text_search(spark, d)
+    gold = question_gold(spark, d)
     kept = F.col("rank") <= retrieval_eval.K
     return retrieval_eval.rerank_lift(before.where(kept), after.where(kept), gold)
 

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Distinct values one `percentile` aggregation buffer may hold before the ranked path is used.
-MAX_QUANTILE_STATE = 500_000
-# Ordered buckets used by the ranked quantile path.
-QUANTILE_BUCKETS = 1_024
+MAX_QUANTILE_STATE = 1_000_000
+# Rows wanted per ordered bucket in the ranked path, and the most buckets it uses.
+QUANTILE_BUCKET_ROWS = 500_000
+MAX_QUANTILE_BUCKETS = 4_096
 
 
 def one_row(df: DataFrame) -> Column:
@@ -32,6 +33,16 @@ def fits_rows(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer partitions than that; otherwise leave it alone.
+
+    Meant for plain scans in front of heavy per-row work, where few large row groups would leave
+    cores idle. Large inputs have more partitions than cores and are not shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL keys match, keeping the left copy of the keys."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -104,18 +115,21 @@ def exact_quantiles(
     """
     columns = list(columns)
     numeric = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
-    seen = numeric.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    n_rows, *seen = numeric.agg(F.count("*"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     if max(seen) <= max_state:
         wide = numeric.groupBy(*groups).agg(
             *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
         )
         return wide.unpivot(list(groups), columns, "column", "q")
-    return _ranked_quantiles(numeric, columns, probs, groups)
+    buckets = min(MAX_QUANTILE_BUCKETS, max(8, n_rows // QUANTILE_BUCKET_ROWS))
+    return _ranked_quantiles(numeric, columns, probs, groups, buckets)
 
 
-def _ranked_quantiles(df: DataFrame, columns: list[str], probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
-    steps = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
-    cuts = df.approxQuantile(columns, steps, 0.25 / QUANTILE_BUCKETS)
+def _ranked_quantiles(
+    df: DataFrame, columns: list[str], probs: Sequence[float], groups: Sequence[str], n_buckets: int
+) -> DataFrame:
+    steps = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.approxQuantile(columns, steps, 0.25 / n_buckets)
     counted = []
     for name, cut in zip(columns, cuts):
         splits = [float("-inf"), *sorted(set(cut)), float("inf")]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +52,16 @@ def rebuild(
     spark: SparkSession, raw: Mapping[str, DataFrame], root: str, as_of: str, listed: list[str]
 ) -> dict[str, DataFrame]:
     """Bronze, then silver, then gold views. Each layer reads the one written before it."""
-    for name in CLINICAL_TABLES:
+
+    def build(name: str) -> None:
         load_bronze(raw[name], root, name)
-    for name in CLINICAL_TABLES:
-        bronze = read_layer(spark, root, "bronze", name)
-        write_silver(typing.SILVER[name](bronze), root, name)
+        write_silver(typing.SILVER[name](read_layer(spark, root, "bronze", name)), root, name)
+
+    # the tables do not depend on each other, so their jobs may overlap
+    with ThreadPoolExecutor(max_workers=len(CLINICAL_TABLES)) as pool:
+        list(pool.map(inheritable_thread_target(spark)(build), CLINICAL_TABLES))
     silver = {name: read_layer(spark, root, "silver", name) for name in CLINICAL_TABLES}
-    views = {name: build() for name, build in gold_views(silver, as_of, listed).items()}
+    views = {name: view() for name, view in gold_views(silver, as_of, listed).items()}
     for name, view in views.items():
         view.createOrReplaceTempView(f"gold_{name}")
     return views
