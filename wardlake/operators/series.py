@@ -131,10 +131,15 @@ def holt_forecast(series: DataFrame, months: int = 6) -> DataFrame:
 def _seasonal_pass(y: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Run the recursion for every parameter row at once; returns sse, level, trend, season, fitted."""
     alpha, beta, gamma = params.T
-    first, second = y[:SEASON].mean(), y[SEASON : 2 * SEASON].mean()
-    level = np.full(len(params), first)
-    trend = np.full(len(params), (second - first) / SEASON)
-    season = np.repeat((y[:SEASON] - first)[:, None], len(params), axis=1)
+    years = len(y) // SEASON
+    means = y[: years * SEASON].reshape(years, SEASON).mean(axis=1)
+    slope = (means[-1] - means[0]) / (SEASON * (years - 1))
+    base = means[0] - slope * (SEASON + 1) / 2  # so that base + slope * (t + 1) runs through the yearly means
+    steps = np.arange(1, years * SEASON + 1)
+    start = (y[: years * SEASON] - base - slope * steps).reshape(years, SEASON).mean(axis=0)
+    level = np.full(len(params), base)
+    trend = np.full(len(params), slope)
+    season = np.repeat(start[:, None], len(params), axis=1)
     fitted = np.empty((len(y), len(params)))
     for t, value in enumerate(y):
         slot = t % SEASON

@@ -84,7 +84,8 @@ def forecast_backtest(spark, d):
         c AS (SELECT key, y AS actual, lag(y) OVER (PARTITION BY key ORDER BY month) AS forecast FROM filled)
         SELECT key, CAST(sum(CAST(abs(forecast - actual) AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS mae,
             sqrt(CAST(sum(CAST((forecast - actual) * (forecast - actual) AS DECIMAL(28,10))) AS DOUBLE) / count(*)) AS rmse,
-            CAST(sum(CAST(abs(CAST(forecast - actual AS DOUBLE) / actual) AS DECIMAL(28,10))) AS DOUBLE) / count(*) * 100 AS mape
+            CAST(sum(CAST(abs(CAST(forecast - actual AS DOUBLE) / nullif(actual, 0)) AS DECIMAL(28,10))) AS DOUBLE)
+                / count(nullif(actual, 0)) * 100 AS mape
         FROM c WHERE forecast IS NOT NULL GROUP BY key""",
     ),
 )
