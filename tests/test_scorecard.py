@@ -48,7 +48,7 @@ def test_cluster_needs_five_scored_and_is_not_the_best(spark):
 
 
 def folded(names):
-    """Reference behaviour stated over all pairs."""
+    """The folding rule stated over all pairs."""
     counts = Counter(names)
     out = {}
     for v in counts:

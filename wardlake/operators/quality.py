@@ -135,24 +135,19 @@ def implausible_values(df: DataFrame, limits: Mapping[str, str], list_up_to: int
 
     Values are gathered after the count is known, so no task ever holds more than ``list_up_to``.
     """
-    hits = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.when(F.expr(condition), F.col(c).cast("decimal(18,2)")).alias("hit"),
-                    )
-                    for c, condition in limits.items()
-                ]
-            )
-        ).alias("h")
-    ).select("h.*")
-    counts = hits.groupBy("column_name").agg(F.count("hit").alias("implausible"))
+    names = list(limits)
+    wide = df.agg(*[F.count_if(F.expr(condition)).alias(c) for c, condition in limits.items()])
+    counts = wide.unpivot([], names, "column_name", "implausible")
     few = counts.where(F.col("implausible").between(1, list_up_to)).select("column_name")
+    marked = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), F.when(F.expr(limits[c]), F.col(c).cast("decimal(18,2)")).alias("hit"))
+            for c in names
+        ]
+    )
+    hits = df.select(F.inline(F.filter(marked, lambda m: m.hit.isNotNull())))
     listed = (
-        hits.where(F.col("hit").isNotNull())
-        .join(few, "column_name", "left_semi")
+        hits.join(few, "column_name", "left_semi")
         .groupBy("column_name")
         .agg(F.array_join(F.array_sort(F.collect_list("hit")).cast("array<string>"), ", ").alias("listed"))
     )

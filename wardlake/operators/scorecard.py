@@ -130,7 +130,7 @@ def pooled(outcome: str = "mortality") -> Column:
     result does not depend on how rows are spread over tasks.
     """
     observed, expected = OUTCOMES[outcome]
-    total = F.sum(F.col(expected).cast("decimal(28,6)")).cast("double")
+    total = F.sum(F.col(expected).cast("decimal(28,10)")).cast("double")
     return F.when(total > 0, F.sum(observed) / total)
 
 

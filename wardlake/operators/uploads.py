@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions.scalars import mean, month_start, to_instant, to_number
@@ -107,9 +107,14 @@ def top_by_cost(df: DataFrame, category: str, cost: str, k: int = 10) -> DataFra
 
 
 def date_share(df: DataFrame) -> DataFrame:
-    """Share of rows per text or date column that read as a date, in file order."""
+    """Share of rows per text or date column that read as a date, in file order. Bare digits are not dates."""
+
+    def reads_as_date(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        return to_instant(value).isNotNull() & ~value.cast("string").rlike(r"^\s*\d+\s*$")
+
     eligible = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "date", "timestamp", "timestamp_ntz")]
-    wide = df.agg(F.count("*").alias("n"), *[F.count_if(to_instant(F.col(f"`{c}`")).isNotNull()).alias(f"d{i}") for i, c in enumerate(eligible)])
+    wide = df.agg(F.count("*").alias("n"), *[F.count_if(reads_as_date(c)).alias(f"d{i}") for i, c in enumerate(eligible)])
     records = [
         F.struct(
             F.lit(i).cast("bigint").alias("position"),

@@ -46,7 +46,7 @@ SQL_SCORES = """scores AS (SELECT risk, model, CAST(floor((o_orderkey * mult % 4
         sum(neg) OVER (PARTITION BY risk, model) AS n FROM per_score WINDOW w AS (PARTITION BY risk, model ORDER BY score DESC)),
     areas AS (SELECT risk, model,
         CAST(sum(CAST(pos * (2 * (n - fp) + neg) AS DECIMAL(38,0))) AS DOUBLE) / (2.0::DOUBLE * max(p) * max(n)) AS roc_auc,
-        CAST(sum(CAST(pos * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)) AS DECIMAL(38,12))) AS DOUBLE) / CAST(max(p) AS DOUBLE) AS pr_auc
+        CAST(sum(CAST(pos * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)) AS DECIMAL(38,9))) AS DOUBLE) / CAST(max(p) AS DOUBLE) AS pr_auc
         FROM cum GROUP BY 1, 2)"""
 GROUPS = ["risk", "model"]
 
@@ -160,8 +160,8 @@ def detect_problem_type(spark, d):
     c AS (SELECT k, count(*) FILTER (y = k) AS s, count(*) FILTER (z = k) AS m, count(*) FILTER (y = k AND z = k) AS h
           FROM p, (SELECT y AS k FROM p UNION SELECT z FROM p) GROUP BY k),
     r AS (SELECT *, coalesce(h / nullif(m, 0), 0.0) AS pr, coalesce(h / nullif(s, 0), 0.0) AS rc, coalesce(2 * h / nullif(s + m, 0), 0.0) AS f FROM c)
-    SELECT CAST(sum(h) AS DOUBLE) / sum(s) AS accuracy, CAST(sum(CAST(s * pr AS DECIMAL(38,12))) AS DOUBLE) / sum(s) AS precision,
-        CAST(sum(CAST(s * rc AS DECIMAL(38,12))) AS DOUBLE) / sum(s) AS recall, CAST(sum(CAST(s * f AS DECIMAL(38,12))) AS DOUBLE) / sum(s) AS f1 FROM r""",
+    SELECT CAST(sum(h) AS DOUBLE) / sum(s) AS accuracy, CAST(sum(CAST(s * pr AS DECIMAL(38,9))) AS DOUBLE) / sum(s) AS precision,
+        CAST(sum(CAST(s * rc AS DECIMAL(38,9))) AS DOUBLE) / sum(s) AS recall, CAST(sum(CAST(s * f AS DECIMAL(38,9))) AS DOUBLE) / sum(s) AS f1 FROM r""",
 )
 def classification_report(spark, d):
     draw = key_mix(F.col("o_orderkey")) % 4

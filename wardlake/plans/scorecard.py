@@ -21,7 +21,7 @@ SQL_SCORED = f"""scored AS (SELECT *, {SQL_SUPPRESSED['mortality']} AS suppresse
 
 
 def sql_pooled(outcome="mortality"):
-    total = f"CAST(sum(CAST(expected_{outcome} AS DECIMAL(28,6))) AS DOUBLE)"
+    total = f"CAST(sum(CAST(expected_{outcome} AS DECIMAL(28,10))) AS DOUBLE)"
     return f"CASE WHEN {total} > 0 THEN CAST(sum({outcome}_count) AS DOUBLE) / {total} END"
 
 

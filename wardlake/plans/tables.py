@@ -298,7 +298,7 @@ def dq_column_quality(spark, d):
 
 
 def rounded(df, columns):
-    return df.withColumns({c: F.col(c).cast("decimal(18,4)").cast("double") for c in columns})
+    return df.withColumns({c: F.col(c).cast("decimal(18,6)").cast("double") for c in columns})
 
 
 _OUTLIER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -312,8 +312,8 @@ _OUTLIER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
        SELECT c AS column_name, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers,
          100.0::DOUBLE * count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) / count(x) AS outlier_pct,
          min(x) AS min_value, max(x) AS max_value,
-         CAST(CAST(q1 - 1.5 * (q3 - q1) AS DECIMAL(18,4)) AS DOUBLE) AS lower_bound,
-         CAST(CAST(q3 + 1.5 * (q3 - q1) AS DECIMAL(18,4)) AS DOUBLE) AS upper_bound
+         CAST(CAST(q1 - 1.5 * (q3 - q1) AS DECIMAL(18,6)) AS DOUBLE) AS lower_bound,
+         CAST(CAST(q3 + 1.5 * (q3 - q1) AS DECIMAL(18,6)) AS DOUBLE) AS upper_bound
        FROM v JOIN q USING (c) GROUP BY c, q1, q3""",
 )
 def outliers_iqr(spark, d):
@@ -344,7 +344,7 @@ def implausible_values(spark, d):
     + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count({c}) AS n_values, CAST(min({c}) AS DOUBLE) AS min_value, "
         + ", ".join(
-            f"CAST(CAST(quantile_cont({c}, {p}) AS DECIMAL(18,4)) AS DOUBLE) AS {n}"
+            f"CAST(CAST(quantile_cont({c}, {p}) AS DECIMAL(18,6)) AS DOUBLE) AS {n}"
             for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
         )
         + f", CAST(max({c}) AS DOUBLE) AS max_value FROM orders"
@@ -382,7 +382,7 @@ def value_counts(spark, d):
         "encounters",
         "SELECT encounterclass, CAST(min(total_claim_cost) AS DOUBLE) AS min_value, "
         + ", ".join(
-            f"CAST(CAST(quantile_cont(CAST(total_claim_cost AS DOUBLE), {p}) AS DECIMAL(18,4)) AS DOUBLE) AS {n}"
+            f"CAST(CAST(quantile_cont(CAST(total_claim_cost AS DOUBLE), {p}) AS DECIMAL(18,6)) AS DOUBLE) AS {n}"
             for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
         )
         + ", CAST(max(total_claim_cost) AS DOUBLE) AS max_value FROM encounters GROUP BY 1",

@@ -584,11 +584,14 @@ _TOOL_SQL = "CASE l_linenumber WHEN 1 THEN 'search_guidelines' WHEN 2 THEN 'get_
 
 
 def tool_log(spark, d):
-    """One logged question per order: lines flagged R or A were expected, lines with status F were called."""
+    """One logged question per order: lines flagged R or A were expected, lines with status F were called.
+
+    Sets of at most five tool names, however many lines an order has.
+    """
     tool = F.expr(_TOOL_SQL)
     lines = C.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.collect_set(F.when(F.col("l_returnflag") != "N", tool)).alias("expected"),
-        F.collect_list(F.when(F.col("l_linestatus") == "F", tool)).alias("called"),
+        F.collect_set(F.when(F.col("l_linestatus") == "F", tool)).alias("called"),
         F.max((F.col("l_linestatus") == "F").cast("int")).alias("completed"),
         F.count("*").alias("steps"),
     )
@@ -596,7 +599,7 @@ def tool_log(spark, d):
 
 
 SQL_LOG = f"""log AS (SELECT l_orderkey AS question_id, coalesce(list(DISTINCT {_TOOL_SQL}) FILTER (l_returnflag <> 'N'), []) AS expected,
-    coalesce(list({_TOOL_SQL}) FILTER (l_linestatus = 'F'), []) AS called, max((l_linestatus = 'F')::INT) AS completed, count(*) AS steps
+    coalesce(list(DISTINCT {_TOOL_SQL}) FILTER (l_linestatus = 'F'), []) AS called, max((l_linestatus = 'F')::INT) AS completed, count(*) AS steps
     FROM lineitem GROUP BY 1),
   marked AS (SELECT *, len(list_intersect(list_distinct(expected), list_distinct(called))) AS overlap,
     list_has_all(called, expected) AS is_subset,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "wardlake", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings every operator relies on (UTC, ANSI off for try-style casts, AQE).
+    """Session with the settings every operator relies on: UTC, adaptive plans, Arrow. ANSI mode may stay on.
 
     Cluster sizing (executors, memory, shuffle partitions) belongs to spark-submit; only pass
     ``master`` and overrides for local work.
