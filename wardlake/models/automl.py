@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from wardlake.functions.scalars import key_mix
 from wardlake.operators import model_eval
 from wardlake.scale import exact_quantiles
+from wardlake.session import materialize
 
 # Limits on targets and rows.
 MAX_NUMERIC_CLASSES = 12
@@ -117,11 +118,12 @@ def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[s
     return n, counts
 
 
-def screen_features(df: DataFrame, target: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """``(dropped with reason, candidates)`` of all columns but the target."""
+def screen_features(df: DataFrame, target: str) -> tuple[list[tuple[str, str]], dict[str, float]]:
+    """``(dropped with reason, candidates with their distinct counts)`` of all columns but the target."""
     columns = [c for c in df.columns if c != target]
     n, distinct = _distinct_counts(df, columns)
-    dropped, candidates = [], []
+    dropped: list[tuple[str, str]] = []
+    candidates: dict[str, float] = {}
     for c in columns:
         reason = None
         if n and not _is_continuous(df, c) and distinct[c] >= ID_SHARE * n:
@@ -130,14 +132,15 @@ def screen_features(df: DataFrame, target: str) -> tuple[list[tuple[str, str]],
         if reason:
             dropped.append((c, reason))
         else:
-            candidates.append(c)
+            candidates[c] = distinct[c]
     return dropped, candidates
 
 
-def _bins(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, Column]:
+def _bins(df: DataFrame, columns: Sequence[str], bins: int, known_distinct: float | None = None) -> dict[str, Column]:
     """Quantile bin number per numeric column as text; missing values take the median's bin."""
     probs = [i / bins for i in range(1, bins)]
-    cuts = {r["column"]: r["q"] for r in exact_quantiles(df, columns, [*probs, 0.5]).collect()} if columns else {}
+    rows = exact_quantiles(df, columns, [*probs, 0.5], known_distinct=known_distinct).collect() if columns else []
+    cuts = {r["column"]: r["q"] for r in rows}  # one row per column
     out = {}
     for c in columns:
         *edges, median = cuts[c] or [0.0]
@@ -147,7 +150,9 @@ def _bins(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, Column]
     return out
 
 
-def contingency(df: DataFrame, target: str, candidates: Sequence[str], bins: int = MI_BINS) -> DataFrame:
+def contingency(
+    df: DataFrame, target: str, candidates: Sequence[str], bins: int = MI_BINS, distinct: dict[str, float] | None = None
+) -> DataFrame:
     """``(feature, bin, label, n)`` counts of all candidates in one pass."""
     numeric_target = is_numeric(df, target)
     few = True
@@ -155,7 +160,8 @@ def contingency(df: DataFrame, target: str, candidates: Sequence[str], bins: int
         few = df.select(target).where(F.col(target).isNotNull()).distinct().limit(MI_CLASS_LIMIT + 1).count() <= MI_CLASS_LIMIT
         df = df.where(F.col(target).isNotNull())
     numeric = [c for c in candidates if is_numeric(df, c)]
-    wanted = _bins(df, numeric + ([] if few else [target]), bins)
+    known = max((distinct[c] for c in numeric), default=0.0) if distinct and few else None
+    wanted = _bins(df, numeric + ([] if few else [target]), bins, known)
     label = F.coalesce(F.col(target).cast("string"), F.lit("Missing")) if few else wanted[target]
     cells = F.array(
         *[
@@ -194,7 +200,8 @@ def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES) -> D
     if df.where(F.col(target).isNotNull()).limit(MIN_SCORED_ROWS).count() < MIN_SCORED_ROWS:
         unscored = [(c, "suggested" if i < top_k else "candidate", "", 0.0) for i, c in enumerate(candidates)]
         return out.unionByName(spark.createDataFrame(unscored, schema))
-    found = mutual_information(contingency(df, target, candidates)).collect()  # one row per candidate column
+    counts = materialize(contingency(df, target, list(candidates), distinct=candidates), "contingency")
+    found = mutual_information(counts).collect()  # one row per candidate column
     scores = {r["feature"]: r["score"] for r in found}
     ranked = sorted(candidates, key=lambda c: -scores.get(c, 0.0))
     with_signal = [c for c in ranked if scores.get(c, 0.0) > 1e-12]

@@ -47,7 +47,7 @@ def comorbidity_prevalence(conditions: DataFrame, patients: DataFrame, listed: S
         conditions.where(F.col("description").isin(list(listed)))
         .groupBy(F.col("description").alias("condition"))
         .agg(F.countDistinct("patient").alias("cases"))
-        .withColumn("prevalence_pct", F.lit(100.0) * F.col("cases") / total)
+        .withColumn("prevalence_pct", F.lit(100.0) * F.col("cases") / F.nullif(total, F.lit(0)))
     )
 
 
@@ -187,7 +187,7 @@ def hospital_kpis(visits: DataFrame) -> DataFrame:
         (
             "Mortality rate",
             "outcome",
-            F.lit(100.0) * F.count_if(F.lower(F.col("outcome").cast("string")) == "deceased") / F.count("*"),
+            F.lit(100.0) * F.count_if(F.lower(F.col("outcome").cast("string")) == "deceased") / F.nullif(F.count("*"), F.lit(0)),
         ),
         ("Avg treatment cost", "treatment_cost", average("treatment_cost")),
         ("Avg length of stay", "length_of_stay", average("length_of_stay")),

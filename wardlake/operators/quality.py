@@ -6,6 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,46 +215,36 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 12) -> DataFrame:
     """Pairwise Pearson correlation; rows where either value is missing are left out of that pair.
 
-    A first pass takes means and null counts. The second sums products of values centred on those
-    means; pairs of columns without NULLs share their per-column sums.
+    Columns without NULLs share one matrix computation; pairs with NULLs are aggregated one by one.
+    What comes back to the driver is one number per pair.
     """
     columns = list(columns or numeric_columns(df))[:limit]
-    stats = df.agg(
-        F.count("*").alias("n"),
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
-    ).first()
-    centred = [F.col(c).cast("double") - F.lit(float(stats[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
-    full = [stats[f"n{i}"] == stats["n"] for i in range(len(columns))]
-    sums: dict[str, Column] = {}
-    pairs = []
-    for i in range(len(columns)):
-        for j in range(i, len(columns)):
-            x, y = centred[i], centred[j]
-            if full[i] and full[j]:
-                names = [f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"p{i}_{j}", "n"]
-                values = [x, y, x * x, y * y, x * y, F.lit(1.0)]
-            else:
-                both = F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()
-                names = [f"{kind}{i}_{j}" for kind in ("sx", "sy", "qx", "qy", "p", "n")]
-                values = [F.when(both, v) for v in (x, y, x * x, y * y, x * y, F.lit(1.0))]
-            sums.update({name: F.sum(v).alias(name) for name, v in zip(names, values)})
-            pairs.append((i, j, names))
-    total = df.agg(*sums.values()).first()  # one row of sums
-
-    def pearson(sx: str, sy: str, qx: str, qy: str, xy: str, n: str) -> float | None:
-        if not total[n]:
-            return None
-        spread = (total[qx] - total[sx] ** 2 / total[n]) * (total[qy] - total[sy] ** 2 / total[n])
-        return (total[xy] - total[sx] * total[sy] / total[n]) / math.sqrt(spread) if spread > 0 else None
-
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    counts = numbers.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    full = [i for i in range(len(columns)) if counts[f"n{i}"] == counts["n"] > 0]
+    found: dict[tuple[int, int], float | None] = {}
+    if full:
+        packed = VectorAssembler(inputCols=[columns[i] for i in full], outputCol="v").transform(numbers).select("v")
+        matrix = Correlation.corr(packed, "v").first()[0].toArray()
+        found.update({(i, j): float(matrix[a, b]) for a, i in enumerate(full) for b, j in enumerate(full) if i <= j})
+    rest = [(i, j) for i in range(len(columns)) for j in range(i, len(columns)) if (i, j) not in found]
+    if rest:
+        row = numbers.agg(*[_pearson(columns[i], columns[j]).alias(f"c{k}") for k, (i, j) in enumerate(rest)]).first()
+        found.update({pair: row[k] for k, pair in enumerate(rest)})
     rows = []
-    for i, j, names in pairs:
-        r = pearson(*names)
-        rows += [(columns[x], columns[y], r) for x, y in dict.fromkeys([(i, j), (j, i)])]
+    for (i, j), r in found.items():
+        value = None if r is None or math.isnan(r) else r
+        rows += [(columns[x], columns[y], value) for x, y in dict.fromkeys([(i, j), (j, i)])]
     return df.sparkSession.createDataFrame(rows, "column_x string, column_y string, r double")
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Correlation of the rows where both are present; NULL when one of them does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def grouped_quartiles(df: DataFrame, measure: str, groups: Sequence[str] = ()) -> DataFrame:
     """Five-number summary overall or per group."""
     names = ["min_value", "q1", "median", "q3", "max_value"]

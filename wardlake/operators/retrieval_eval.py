@@ -106,7 +106,7 @@ def rerank_lift(before: DataFrame, after: DataFrame, gold: DataFrame) -> DataFra
     both = first_hit(before, gold, "b").join(first_hit(after, gold, "a"), "query_id")
 
     def rate(c: str) -> Column:
-        return F.count_if(F.col(c) > 0) / F.count("*")
+        return F.count_if(F.col(c) > 0) / F.nullif(F.count("*"), F.lit(0))
 
     def mrr(c: str) -> Column:
         return F.avg(F.when(F.col(c) > 0, 1.0 / F.col(c)).otherwise(0.0))

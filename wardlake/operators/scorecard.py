@@ -161,7 +161,7 @@ def cluster_flag(scored: DataFrame) -> DataFrame:
         F.count("oe_mortality").alias("scored"), F.count_if(F.col("oe_mortality") > CLUSTER_OE).alias("above")
     )
     kept = counts.where(
-        (F.col("scored") >= CLUSTER_MIN_SCORED) & (F.col("above") / F.col("scored") > F.lit(CLUSTER_SHARE))
+        (F.col("scored") >= CLUSTER_MIN_SCORED) & (F.col("above") / F.nullif(F.col("scored"), F.lit(0)) > F.lit(CLUSTER_SHARE))
     )
     return kept.join(best, F.col("department") == F.col("best"), "left_anti")
 

@@ -69,7 +69,7 @@ def standardize_report(df: DataFrame, mapping: Mapping[str, str | None] | None =
             F.lit(level).alias("level"),
             F.lit(mapping.get(std) or "").alias("your_column"),
             F.lit(bool(mapping.get(std))).alias("present"),
-            (F.lit(100.0) * (F.col(f"m_{std}") if mapping.get(std) else F.col("n")) / F.col("n")).alias("missing_pct"),
+            (F.lit(100.0) * (F.col(f"m_{std}") if mapping.get(std) else F.col("n")) / F.nullif(F.col("n"), F.lit(0))).alias("missing_pct"),
         )
         for std, level in levels.items()
     ]

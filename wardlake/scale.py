@@ -106,21 +106,28 @@ def exact_quantiles(
     probs: Sequence[float],
     groups: Sequence[str] = (),
     max_state: int = MAX_QUANTILE_STATE,
+    known_distinct: float | None = None,
 ) -> DataFrame:
     """Interpolated quantiles of numeric ``columns``: rows ``(groups..., column, q ARRAY<DOUBLE>)``.
 
     One cheap pass estimates the distinct counts. Up to ``max_state`` the built-in ``percentile``
-    holds its value->count map safely. Above it, values are counted, ranked in ordered buckets, and
-    only the buckets holding a wanted rank are looked into. Both ways are exact.
+    holds its value->count map safely. Above it, rows are counted per ordered bucket without being
+    shuffled, and only the buckets holding a wanted rank are looked into. Both ways are exact. A caller
+    that already knows the largest distinct count passes it and saves the first pass.
     """
     columns = list(columns)
     numeric = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
-    n_rows, *seen = numeric.agg(F.count("*"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    if max(seen) <= max_state:
+    n_rows = None
+    if known_distinct is None:
+        rough = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]
+        n_rows, *seen = numeric.agg(F.count("*"), *rough).first()
+        known_distinct = max(seen)
+    if known_distinct <= max_state:
         wide = numeric.groupBy(*groups).agg(
             *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
         )
         return wide.unpivot(list(groups), columns, "column", "q")
+    n_rows = numeric.count() if n_rows is None else n_rows
     buckets = min(MAX_QUANTILE_BUCKETS, max(8, n_rows // QUANTILE_BUCKET_ROWS))
     return _ranked_quantiles(numeric, columns, probs, groups, buckets)
 
@@ -130,23 +137,19 @@ def _ranked_quantiles(
 ) -> DataFrame:
     steps = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.approxQuantile(columns, steps, 0.25 / n_buckets)
-    counted = []
-    for name, cut in zip(columns, cuts):
-        splits = [float("-inf"), *sorted(set(cut)), float("inf")]
-        values = (
-            df.where(F.col(name).isNotNull())
-            .groupBy(*groups, F.col(name).alias("value"))
-            .agg(F.count("*").alias("n"))
-            .withColumn("column", F.lit(name))
-        )
-        if len(splits) < 3:
-            counted.append(values.withColumn("bucket", F.lit(0.0)))
-        else:
-            counted.append(Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(values))
-    long = reduce(DataFrame.unionByName, counted)
+    splits = [[float("-inf"), *(sorted(set(cut)) or [0.0]), float("inf")] for cut in cuts]
+    marks = [f"__b{i}" for i in range(len(columns))]
+    bucketed = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=marks, handleInvalid="keep").transform(df)
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(m).alias("bucket"), F.col(c).alias("value"))
+            for c, m in zip(columns, marks)
+        ]
+    )
+    long = bucketed.select(*groups, F.inline(F.filter(cells, lambda x: x.value.isNotNull())))
 
     key = [*groups, "column"]
-    buckets = long.groupBy(*key, "bucket").agg(F.sum("n").alias("bucket_n"))
+    buckets = long.groupBy(*key, "bucket").agg(F.count("*").alias("bucket_n"))
     by_bucket = Window.partitionBy(*key).orderBy("bucket")
     placed = buckets.select(
         *key,
@@ -161,7 +164,12 @@ def _ranked_quantiles(
         return (F.col("before") <= F.ceil(pos)) & (F.col("before") + F.col("bucket_n") > F.floor(pos))
 
     wanted = placed.where(reduce(lambda a, b: a | b, [holds(p) for p in positions]))
-    rows = null_safe_join(long, wanted, [*key, "bucket"])
+    # only rows of wanted buckets are counted per value and shuffled
+    rows = (
+        null_safe_join(long, wanted, [*key, "bucket"])
+        .groupBy(*key, "bucket", "value")
+        .agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("total").alias("total"))
+    )
     inside = Window.partitionBy(*key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("upto", F.col("before") + F.sum("n").over(inside)).withColumn(
         "from", F.col("upto") - F.col("n")
