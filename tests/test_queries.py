@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wardlake import plans
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 from check_queries import TABLES, compare  # noqa: E402
@@ -26,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - SLOW))
 def test_query(spark, duck, name):
     _, rows, verdict = compare(spark, duck, name, SF)
     assert verdict in ("ok", "rows-only")

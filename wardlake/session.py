@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +30,21 @@ def build_session(app_name: str = "wardlake", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` when set, a temp folder in local mode."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or the warehouse folder where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="wardlake-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path under the shared folder for a table written by a job."""
-    return os.path.join(shared_dir(spark), "wardlake", f"{name}-{uuid.uuid4().hex}")
+    """Fresh path under the shared folder for a table written by a job.
+
+    The run's folder is deleted when the session's JVM ends.
+    """
+    jvm = spark.sparkContext._jvm
+    root = os.path.join(shared_dir(spark), "wardlake-" + spark.sparkContext.applicationId)
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
