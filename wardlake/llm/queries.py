@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import contamination
+from wardlake.llm import contamination, digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +31,8 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
 @query("op7_decontaminate")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_fingerprint")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.against_neighbours(table(spark, sf_dir, "documents"))
