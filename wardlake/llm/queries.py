@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import contamination, digests
+from wardlake.llm import contamination, digests, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,3 +36,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprint")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.against_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op3_line_dedup", lines.JUDGED_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judged(table(spark, sf_dir, "documents"))
