@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import contamination, digests, lines
+from wardlake.llm import contamination, digests, lines, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +41,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup", lines.JUDGED_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op8_shard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(table(spark, sf_dir, "documents"))
