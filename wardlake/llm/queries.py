@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import contamination, digests, lines, sharding
+from wardlake.llm import contamination, digests, lines, packing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,3 +46,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_shard")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pack")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.judged(table(spark, sf_dir, "documents"))
