@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.ranges import with_blocks
+from wardlake.llm.ranges import Blocks
 from wardlake.llm.words import CHUNK_BYTES, arrow_rows
 
 BUCKETS = 256
@@ -107,7 +107,7 @@ def against_neighbours(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     weight = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)
-    blocks = with_blocks(rows, "doc_id", weight, block_bytes)
+    blocks = Blocks.of(rows, "doc_id", weight, block_bytes).add(rows, "doc_id")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("block_before").alias("block"), F.lit(True).alias("guest"))
     # the first rows by order: those of the smallest id (any null id comes before)

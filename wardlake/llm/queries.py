@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import contamination, digests, lines, packing, sharding
+from wardlake.llm import contamination, digests, lines, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,3 +51,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pack")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc", warc.ROUND_TRIP_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))

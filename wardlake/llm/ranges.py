@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Buckets of the key histogram that sizes the blocks: the most rows that ever reach the driver or are broadcast.
 MAX_BUCKETS = 65_536
 
 
-def with_blocks(df: DataFrame, key: str, weight: Column, block_weight: int) -> DataFrame:
-    """Add ``block`` (0, 1, ... in key order), ``block_first`` (smallest key of the block, null except on the rows of
-    the block's first bucket) and ``block_before`` (the block before; for block 0 the last).
-
-    One pass sums ``weight`` over at most ``MAX_BUCKETS`` equal key ranges; neighbouring ranges are joined until a
-    block holds ``block_weight``. Null keys come first, with block 0. Blocks follow from keys and weights alone.
-    """
-    value = F.col(key).cast("double")
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1.0, (float(high) - float(low)) / (MAX_BUCKETS - 1)) if low is not None else 1.0
-    start = float(low) if low is not None else 0.0
-    bucket = F.coalesce(F.floor((value - F.lit(start)) / F.lit(width)).cast("int"), F.lit(-1))
-    marked = df.withColumn("__bucket", bucket)
-    histogram = marked.groupBy("__bucket").agg(F.sum(weight.cast("bigint")), F.min(key))
-    rows, block, filled = [], -1, None
-    for at, total, first in sorted(histogram.collect(), key=lambda r: r[0]):
-        opens = filled is None or filled >= block_weight
-        if opens:
-            block, filled = block + 1, 0
-        filled += total
-        rows.append((at, block, first if opens else None, block - 1))
-    last = block
-    rows = [(at, b, first, last if b == 0 else before) for at, b, first, before in rows]
-    ddl = f"__bucket int, block int, block_first {dict(df.dtypes)[key]}, block_before int"
-    ranges = df.sparkSession.createDataFrame(rows, ddl)
-    return marked.join(F.broadcast(ranges), "__bucket").drop("__bucket")
+@dataclass(frozen=True)
+class Blocks:
+    """How keys map to blocks 0, 1, ... in key order; null keys come first, in block 0."""
+
+    spark: SparkSession
+    key_type: str
+    low: float
+    width: float
+    rows: list[tuple]
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, weight: Column, block_weight: int) -> Blocks:
+        """One pass sums ``weight`` over at most ``MAX_BUCKETS`` equal key ranges; neighbouring ranges are joined until
+        a block holds ``block_weight``. Blocks follow from keys and weights alone."""
+        low, high = df.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
+        low = 0.0 if low is None else low
+        width = max(1.0, (high - low) / (MAX_BUCKETS - 1)) if high is not None else 1.0
+        empty = cls(df.sparkSession, dict(df.dtypes)[key], low, width, [])
+        histogram = df.groupBy(empty._bucket(key)).agg(F.sum(weight.cast("bigint")), F.min(key))
+        rows, block, filled = [], -1, None
+        for at, total, first in sorted(histogram.collect(), key=lambda r: r[0]):
+            opens = filled is None or filled >= block_weight
+            if opens:
+                block, filled = block + 1, 0
+            filled += total
+            rows.append((at, block, first if opens else None, block - 1))
+        rows = [(at, b, first, block if b == 0 else before) for at, b, first, before in rows]
+        return cls(empty.spark, empty.key_type, low, width, rows)
+
+    def _bucket(self, key: str) -> Column:
+        at = F.floor((F.col(key).cast("double") - F.lit(self.low)) / F.lit(self.width))
+        return F.coalesce(at.cast("int"), F.lit(-1)).alias("__bucket")
+
+    def add(self, df: DataFrame, key: str) -> DataFrame:
+        """Add ``block``, ``block_first`` (smallest key of the block, null but for the block's first key range) and
+        ``block_before`` (the block before; for block 0 the last) by a join with the bounded list of key ranges."""
+        ddl = f"__bucket int, block int, block_first {self.key_type}, block_before int"
+        ranges = self.spark.createDataFrame(self.rows, ddl)
+        return df.withColumn("__bucket", self._bucket(key)).join(F.broadcast(ranges), "__bucket").drop("__bucket")
