@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import contamination, digests, lines, packing, sharding, warc
+from wardlake.llm import chat, contamination, digests, lines, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_warc", warc.ROUND_TRIP_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op6_chat_format", chat.JUDGED_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.judged(table(spark, sf_dir, "conversations"))
