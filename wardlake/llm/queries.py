@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import chat, contamination, digests, lines, packing, sharding, warc
+from wardlake.llm import chat, contamination, digests, lines, packing, sharding, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_chat_format", chat.JUDGED_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.judged(table(spark, sf_dir, "conversations"))
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
