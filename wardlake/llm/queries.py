@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import chat, contamination, digests, lines, packing, sharding, urls, warc
+from wardlake.llm import chat, contamination, digests, lines, packing, sharding, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +66,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
