@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import chat, contamination, digests, lines, packing, sharding, toxicity, urls, warc
+from wardlake.llm import chat, contamination, digests, lines, minhash, packing, sharding, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,3 +71,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
