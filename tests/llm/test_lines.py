@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from wardlake.llm import lines
 from wardlake.llm.cuckoo import CuckooFilter
@@ -42,7 +43,9 @@ def got(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot_share", [4, 20_000])
+def test_against_brute_force(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(lines, "HOT_SHARE", hot_share)
     rows = sample(random.Random(3), range(80))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "Shared LINE one\nShared LINE one"), (None, "shared line one")]
     rows += [(204, "a repeated row\nShared line one")] * 2 + [(204, "same id, other text\nshared line one")]

@@ -95,10 +95,13 @@ def test_problem_types(spark):
 
 
 def test_name_rules():
-    assert automl.name_reason("Expected_Mortality", "mortality").startswith("name embeds")
-    assert automl.name_reason("mortality", "mortality").startswith("matches leakage")
-    assert "creatinine" in automl.name_reason("serum_creatinine", "ckd")
-    assert automl.name_reason("age", "ckd") is None
+    found = automl.name_findings(["Expected_Mortality", "mortality", "age", "serum_creatinine", "Score 2"], "mortality")
+    assert found == {
+        "Expected_Mortality": "built around the target: mortality",
+        "mortality": "outcome word: mortality",
+        "serum_creatinine": "late diagnostic: creatinine",
+        "Score 2": "outcome word: score",
+    }
     assert automl.default_features(["age", "patient_id", "Doctor Name", "UUID"]) == ["age"]
 
 
@@ -116,24 +119,33 @@ def test_suggest(spark):
     df = upload(spark).withColumnRenamed("target_flag", "sick")
     rows = automl.suggest_features(df, "sick").collect()
     dropped = {r["column_name"]: r["reason"] for r in rows if r["verdict"] == "dropped"}
-    assert dropped == {"id": "id-like (near-unique per row)", "constant": "constant or empty"}
+    assert dropped == {"id": "a key: nearly as many values as rows", "constant": "one value at most"}
     ranked = [r["column_name"] for r in sorted((r for r in rows if r["verdict"] != "dropped"), key=lambda r: -r["score"])]
     assert ranked[0] == "group" and set(ranked) == {"group", "bmi", "noise"}
 
 
+def report_of(frame):
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r["part"], {})[r["name"]] = r["value"]
+    return out
+
+
 def test_train_on_upload(spark):
     df = upload(spark)
-    good = automl.train_on_upload(df, "target_flag", ["bmi", "group", "noise"], "id", trees=10, depth=4)
-    assert good.error is None and good.problem_type == "classification" and good.n_train + good.n_test == 400
-    assert {r["metric"]: r["value"] for r in good.metrics.collect()}["accuracy"] > 0.95
-    assert good.importances[0][0].startswith("group")
-    assert good.confusion.agg(F.sum("n")).first()[0] == good.n_test
-    reg = automl.train_on_upload(df, "bmi", ["group", "noise"], "id", trees=5, depth=3)
-    assert reg.problem_type == "regression" and reg.confusion is None
-    assert automl.train_on_upload(df, "bmi", ["bmi"], "id").error == "no feature columns selected"
-    assert "too few rows" in automl.train_on_upload(df.limit(19), "target_flag", ["bmi"], "id").error
+    good = report_of(automl.train_on_upload(df, "target_flag", ["bmi", "group", "noise"], "id", trees=10, depth=4))
+    assert "fault" not in good and list(good["problem"]) == ["classification"]
+    assert sum(good["rows"].values()) == 400 and sum(good["confusion"].values()) == good["rows"]["test"]
+    assert good["metric"]["accuracy"] > 0.95
+    assert max(good["importance"], key=good["importance"].get).startswith("group")
+    hashed = report_of(automl.train_on_upload(df, "target_flag", ["bmi", "group"], "id", trees=10, depth=4, hashed=["group"]))
+    assert hashed["metric"]["accuracy"] > 0.95
+    reg = report_of(automl.train_on_upload(df, "bmi", ["group", "noise"], "id", trees=5, depth=3))
+    assert list(reg["problem"]) == ["regression"] and "confusion" not in reg
     text = df.withColumn("free", F.concat(F.lit("t"), F.col("id")))
-    assert "distinct text" in automl.train_on_upload(text, "free", ["bmi"], "id").error
+    for frame, target, need in ((df, "bmi", "feature"), (df.limit(19), "target_flag", "20 rows"), (text, "free", "repeating")):
+        fault = report_of(automl.train_on_upload(frame, target, ["bmi"], "id"))
+        assert list(fault) == ["fault"] and need in next(iter(fault["fault"]))
 
 
 def test_what_if(spark):

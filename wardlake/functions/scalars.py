@@ -12,6 +12,22 @@ WHITESPACE = (
 )
 
 
+# Date formats read besides ISO, month before day where both could be meant, each with the shape it needs.
+DATE_FORMATS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\s\d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\s\d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+]
+
+
 def strip(c: Column) -> Column:
     """Trim all kinds of blanks on both sides."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -38,9 +54,15 @@ def mean(total: Column, n: Column) -> Column:
 
 
 def key_mix(key: Column) -> Column:
-    """Fixed 32-bit integer mix of a numeric key, used where a repeatable shuffle order is needed."""
-    folded = F.pmod(key.cast("bigint"), F.lit(2147483648))  # keeps the product inside 64 bits
-    return (folded * F.lit(2654435761)) % F.lit(4294967296)
+    """Fixed 32-bit integer mix of a key, used where a repeatable shuffle order is needed.
+
+    Whole numbers are multiplied; any other text is taken by the first digits of its MD5.
+    """
+    text = key.cast("string")
+    number = text.try_cast("bigint")
+    folded = F.pmod(number, F.lit(2147483648))  # keeps the product inside 64 bits
+    digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return F.when(number.isNotNull(), (folded * F.lit(2654435761)) % F.lit(4294967296)).otherwise(digits)
 
 
 def to_number(c: Column) -> Column:
@@ -49,8 +71,10 @@ def to_number(c: Column) -> Column:
 
 
 def to_instant(c: Column) -> Column:
-    """Text to timestamp without zone; anything unreadable is NULL."""
-    return F.trim(c.cast("string")).try_cast("timestamp_ntz")
+    """Text to timestamp without zone: ISO first, then ``DATE_FORMATS`` in order; anything unreadable is NULL."""
+    text = F.trim(c.cast("string"))
+    others = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")) for shape, form in DATE_FORMATS]
+    return F.coalesce(text.try_cast("timestamp_ntz"), *others)
 
 
 def safe_id(name: Column) -> Column:

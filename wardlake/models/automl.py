@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -30,9 +28,10 @@ ID_SHARE = 0.95
 MI_BINS = 20
 MI_CLASS_LIMIT = 10
 MIN_SCORED_ROWS = 10
-# Categories a one-hot column may have; wider text columns are hashed instead.
-MAX_ONE_HOT = 10_000
+# Width that hashed text columns share.
 HASH_WIDTH = 1 << 16
+# The deepest tree MLlib grows; the plan is to let trees grow freely.
+MAX_DEPTH = 30
 
 # Name fragments that give the outcome away.
 LEAKY_NAMES = [
@@ -87,19 +86,33 @@ def default_features(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if not any(fragment in c.lower() for fragment in IDENTIFIER_NAMES)]
 
 
-def name_reason(column: str, target: str) -> str | None:
-    """Why a column's name disqualifies it for a target, if it does."""
-    lowered = column.lower()
-    core, target_core = (re.sub(r"[^a-z0-9]+", "", x.lower()) for x in (column, target))
-    if target_core and target_core in core and core != target_core:
-        return f"name embeds target '{target}'"
-    for fragment in LEAKY_NAMES:
-        if fragment in lowered:
-            return f"matches leakage pattern '{fragment}'"
-    for marker in DIAGNOSTIC_MARKERS:
-        if marker in lowered:
-            return f"diagnostic marker '{marker}'"
-    return None
+def _letters(name: str) -> str:
+    return "".join(ch for ch in name.lower() if ch.isascii() and ch.isalnum())
+
+
+def _any_of(fragments: Sequence[str]) -> Callable[[str, str], str | None]:
+    return lambda column, _: next((f for f in fragments if f in column.lower()), None)
+
+
+def _around_target(column: str, target: str) -> str | None:
+    inner, outer = _letters(target), _letters(column)
+    return target if inner and inner != outer and inner in outer else None
+
+
+# Rules on names in order of precedence: what a finding is called, and the test that returns its evidence.
+NAME_RULES: list[tuple[str, Callable[[str, str], str | None]]] = [
+    ("built around the target", _around_target),
+    ("outcome word", _any_of(LEAKY_NAMES)),
+    ("late diagnostic", _any_of(DIAGNOSTIC_MARKERS)),
+]
+
+
+def name_findings(columns: Sequence[str], target: str) -> dict[str, str]:
+    """Columns whose names rule them out for a target, with ``finding: evidence``."""
+    found: dict[str, str] = {}
+    for kind, test in reversed(NAME_RULES):
+        found.update({c: f"{kind}: {evidence}" for c in columns if (evidence := test(c, target))})
+    return found
 
 
 def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, float]]:
@@ -122,18 +135,10 @@ def screen_features(df: DataFrame, target: str) -> tuple[list[tuple[str, str]],
     """``(dropped with reason, candidates with their distinct counts)`` of all columns but the target."""
     columns = [c for c in df.columns if c != target]
     n, distinct = _distinct_counts(df, columns)
-    dropped: list[tuple[str, str]] = []
-    candidates: dict[str, float] = {}
-    for c in columns:
-        reason = None
-        if n and not _is_continuous(df, c) and distinct[c] >= ID_SHARE * n:
-            reason = "id-like (near-unique per row)"
-        reason = reason or name_reason(c, target) or ("constant or empty" if distinct[c] <= 1 else None)
-        if reason:
-            dropped.append((c, reason))
-        else:
-            candidates[c] = distinct[c]
-    return dropped, candidates
+    flat = {c: "one value at most" for c in columns if distinct[c] <= 1}
+    keys = {c: "a key: nearly as many values as rows" for c in columns if n and distinct[c] >= ID_SHARE * n and not _is_continuous(df, c)}
+    reasons = flat | name_findings(columns, target) | keys
+    return [(c, reasons[c]) for c in columns if c in reasons], {c: distinct[c] for c in columns if c not in reasons}
 
 
 def _bins(df: DataFrame, columns: Sequence[str], bins: int, known_distinct: float | None = None) -> dict[str, Column]:
@@ -213,26 +218,12 @@ def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES) -> D
 # --- training ------------------------------------------------------------------------------------
 
 
-@dataclass
-class UploadResult:
-    """Report on a model trained on an uploaded table. ``error`` is set instead when that failed."""
-
-    problem_type: str
-    target: str
-    features: list[str]
-    n_train: int = 0
-    n_test: int = 0
-    metrics: DataFrame | None = None
-    importances: list[tuple[str, float]] = field(default_factory=list)
-    confusion: DataFrame | None = None
-    error: str | None = None
+REPORT = "part string, name string, value double"
 
 
-def _stages(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> list:
-    """Encoding stages. Text columns with very many values are hashed, so nothing wide reaches the driver."""
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first() if text else {}
-    one_hot = [c for c in text if distinct[c] <= MAX_ONE_HOT]
-    hashed = [c for c in text if c not in one_hot]
+def _stages(df: DataFrame, numeric: Sequence[str], text: Sequence[str], hashed: Sequence[str]) -> list:
+    """Encoding stages: text columns become one column per value, those in ``hashed`` share a fixed width."""
+    one_hot = [c for c in text if c not in hashed]
     stages: list = []
     inputs = list(numeric)
     if one_hot:
@@ -242,7 +233,7 @@ def _stages(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> list:
         )
         inputs += [f"{c}__oh" for c in one_hot]
     if hashed:
-        stages.append(FeatureHasher(inputCols=hashed, outputCol="__hashed", numFeatures=HASH_WIDTH))
+        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="__hashed", numFeatures=HASH_WIDTH))
         inputs.append("__hashed")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages
@@ -256,61 +247,81 @@ def _importances(transformed: DataFrame, weights) -> list[tuple[str, float]]:
     return sorted(pairs, key=lambda p: (-p[1], p[0]))[:TOP_IMPORTANCES]
 
 
+def training_setup(data: DataFrame, target: str, features: Sequence[str]) -> tuple[str, str | None]:
+    """``(kind of problem, what forbids training)``; the checks run in order and stop at the first that fails."""
+    kind = "unknown"
+    if features and data.limit(MIN_ROWS).count() >= MIN_ROWS:
+        kind = problem_types(data, [target]).first()["problem_type"]
+    checks = {
+        "needs at least one feature besides the target": bool(features),
+        f"needs {MIN_ROWS} rows with a target": kind != "unknown",
+        "a text target needs repeating values": kind != "rejected",
+    }
+    return kind, next((need for need, met in checks.items() if not met), None)
+
+
 def train_on_upload(
-    df: DataFrame, target: str, features: Sequence[str], key: str, trees: int = 200, depth: int = 10
-) -> UploadResult:
-    """Forest on the chosen columns with a 20% holdout. ``key`` is a unique whole number per row, used for the split."""
-    features = [c for c in features if c != target]
-    if not features:
-        return UploadResult("unknown", target, [], error="no feature columns selected")
-    data = df.where(F.col(target).isNotNull()).select(key, *[c for c in features if c != key], target)
-    features = [c for c in features if c != key]
-    if data.limit(MIN_ROWS).count() < MIN_ROWS:
-        return UploadResult("unknown", target, features, error="too few rows after cleaning")
-    problem = problem_types(data, [target]).first()["problem_type"]
-    if problem == "rejected":
-        return UploadResult("unknown", target, features, error="target has too many distinct text values")
-
-    numeric = [c for c in features if is_numeric(data, c)]
-    text = [c for c in features if c not in numeric]
-    if problem == "classification":
-        marked = data.withColumn("__y", F.col(target).cast("string"))
-        split = model_eval.stratified_split(marked, "__y", key)
+    df: DataFrame,
+    target: str,
+    features: Sequence[str],
+    key: str,
+    trees: int = 200,
+    depth: int = MAX_DEPTH,
+    hashed: Sequence[str] = (),
+) -> DataFrame:
+    """Forest on the chosen columns with a 20% holdout, as a long report ``(part, name, value)``.
+
+    Parts: ``fault`` (training was not possible; nothing else is listed), ``problem``, ``rows``, ``metric``,
+    ``importance`` and, for classes, ``confusion`` (``actual > predicted``). ``key`` is unique per row and decides the
+    split; text columns with very many values should be named in ``hashed``.
+    """
+    spark = df.sparkSession
+    chosen = [c for c in features if c not in (target, key)]
+    data = df.where(F.col(target).isNotNull()).select(key, *chosen, target)
+    kind, fault = training_setup(data, target, chosen)
+    if fault:
+        return spark.createDataFrame([("fault", fault, None)], REPORT)
+
+    numeric = [c for c in chosen if is_numeric(data, c)]
+    text = [c for c in chosen if c not in numeric]
+    if kind == "classification":
+        split = model_eval.stratified_split(data.withColumn("__y", F.col(target).cast("string")), "__y", key)
     else:
-        split = data.withColumn("__y", F.col(target).cast("double")).withColumn(
-            "is_test", key_mix(F.col(key)) < F.lit(int(model_eval.TEST_SHARE * 4294967296))
-        )
-    split = split.persist()
-    train_rows = split.where(~F.col("is_test"))
-    filled = fill_missing(split, train_rows, numeric, text).persist()
+        held = key_mix(F.col(key)) < F.lit(int(model_eval.TEST_SHARE * 4294967296))
+        split = data.withColumns({"__y": F.col(target).cast("double"), "is_test": held})
+    split = materialize(split, "upload-split")
+    filled = materialize(fill_missing(split, split.where(~F.col("is_test")), numeric, text), "upload-filled")
     train, test = filled.where(~F.col("is_test")), filled.where("is_test")
-    stages = _stages(train, numeric, text)
-    if problem == "classification":
-        index = StringIndexer(inputCol="__y", outputCol="label", handleInvalid="keep")
-        forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42)
-        fitted = Pipeline(stages=[index, *stages, forest]).fit(model_eval.with_weights(train, "__y"))
-        named = IndexToString(inputCol="prediction", outputCol="predicted", labels=fitted.stages[0].labels)
-        predicted = named.transform(fitted.transform(test))
-        report = model_eval.classification_report(predicted, "__y", "predicted")
-        confusion = model_eval.confusion_counts(predicted, "__y", "predicted")
-    else:
-        forest = RandomForestRegressor(labelCol="__y", numTrees=trees, maxDepth=depth, seed=42)
-        fitted = Pipeline(stages=[*stages, forest]).fit(train)
-        predicted = fitted.transform(test)
-        report = model_eval.regression_report(predicted, "__y", "prediction")
-        confusion = None
-    sizes = filled.groupBy("is_test").count().collect()  # two rows
-    count = {r["is_test"]: r["count"] for r in sizes}
-    return UploadResult(
-        problem,
-        target,
-        features,
-        count.get(False, 0),
-        count.get(True, 0),
-        report.unpivot([], report.columns, "metric", "value"),
-        _importances(predicted, fitted.stages[-1].featureImportances),
-        confusion,
-    )
+    fit = _fit_classes if kind == "classification" else _fit_numbers
+    model, predicted, scores = fit(train, test, _stages(train, numeric, text, hashed), trees, depth)
+    weights = _importances(predicted, model.stages[-1].featureImportances)
+    known = [("problem", kind, None), *(("importance", name, value) for name, value in weights)]
+    side = F.when(F.col("is_test"), "test").otherwise("train")
+    sizes = filled.groupBy(side.alias("name")).agg(F.count("*").cast("double").alias("value"))
+    return spark.createDataFrame(known, REPORT).unionByName(sizes.select(F.lit("rows").alias("part"), "*")).unionByName(scores)
+
+
+def _as_part(wide: DataFrame, part: str) -> DataFrame:
+    doubles = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
+    return doubles.unpivot([], doubles.columns, "name", "value").select(F.lit(part).alias("part"), "name", "value")
+
+
+def _fit_classes(train: DataFrame, test: DataFrame, stages: list, trees: int, depth: int) -> tuple:
+    index = StringIndexer(inputCol="__y", outputCol="label", handleInvalid="keep")
+    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42)
+    model = Pipeline(stages=[index, *stages, forest]).fit(model_eval.with_weights(train, "__y"))
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
+    predicted = named.transform(model.transform(test))
+    cells = predicted.groupBy(F.concat_ws(" > ", "__y", "predicted").alias("name")).agg(F.count("*").cast("double").alias("value"))
+    report = _as_part(model_eval.classification_report(predicted, "__y", "predicted"), "metric")
+    return model, predicted, report.unionByName(cells.select(F.lit("confusion").alias("part"), "name", "value"))
+
+
+def _fit_numbers(train: DataFrame, test: DataFrame, stages: list, trees: int, depth: int) -> tuple:
+    forest = RandomForestRegressor(labelCol="__y", numTrees=trees, maxDepth=depth, seed=42)
+    model = Pipeline(stages=[*stages, forest]).fit(train)
+    predicted = model.transform(test)
+    return model, predicted, _as_part(model_eval.regression_report(predicted, "__y", "prediction"), "metric")
 
 
 def fill_missing(df: DataFrame, train: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
@@ -319,8 +330,11 @@ def fill_missing(df: DataFrame, train: DataFrame, numeric: Sequence[str], text:
     if numeric:
         for r in exact_quantiles(train, numeric, [0.5]).collect():  # one row per column
             fills[r["column"]] = F.coalesce(F.col(r["column"]).cast("double"), F.lit(r["q"][0] if r["q"] else 0.0))
-    for c in text:
-        counted = train.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        top = counted.orderBy(F.desc("n"), "v").limit(1).first()
-        fills[c] = F.coalesce(F.col(c).cast("string"), F.lit(top["v"] if top else "Missing"))
+    if text:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in text])).alias("cell")
+        counted = train.select(cells).where("cell.v IS NOT NULL").groupBy("cell.c", "cell.v").agg(F.count("*").alias("n"))
+        # the most frequent value, of equals the first; one row per column
+        best = counted.groupBy("c").agg(F.max("n").alias("n")).join(counted, ["c", "n"]).groupBy("c").agg(F.min("v").alias("v"))
+        tops = {r["c"]: r["v"] for r in best.collect()}
+        fills.update({c: F.coalesce(F.col(c).cast("string"), F.lit(tops.get(c, "Missing"))) for c in text})
     return df.withColumns(fills) if fills else df

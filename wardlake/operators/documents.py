@@ -22,9 +22,13 @@ PASSAGE_CHARS = 1_800
 
 def corpus_filter(documents: DataFrame, sources: Sequence[str]) -> DataFrame:
     """Cleaned documents of trusted sources with a usable length."""
-    size = F.length("text")
-    cleaned = documents.where(F.col("source").isin(list(sources))).withColumn("text", clean_text(F.col("text")))
-    return cleaned.where((size >= MIN_DOC_CHARS) & (size <= MAX_DOC_CHARS))
+    return usable(documents.where(F.col("source").isin(list(sources))))
+
+
+def usable(documents: DataFrame) -> DataFrame:
+    """Cleaned documents whose length is within the limits."""
+    cleaned = documents.withColumn("text", clean_text(F.col("text")))
+    return cleaned.where(F.length("text").between(MIN_DOC_CHARS, MAX_DOC_CHARS))
 
 
 def oversized(documents: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -34,8 +38,16 @@ def oversized(documents: DataFrame, sources: Sequence[str]) -> DataFrame:
     return trusted.groupBy("source").agg(F.count_if(too_long).alias("oversized"))
 
 
-def balanced_cap(documents: DataFrame, order: Sequence[Column], per_source: int = DOCS_PER_SOURCE) -> DataFrame:
-    return first_per_group(documents, ["source"], order, per_source)
+def balanced_cap(
+    documents: DataFrame, order: Sequence[Column], per_source: int = DOCS_PER_SOURCE, rank: str = "position"
+) -> DataFrame:
+    """At most ``per_source`` documents of each source, the first in ``order``."""
+    return first_per_group(documents, ["source"], order, per_source, rank=rank)
+
+
+def corpus_build(documents: DataFrame, sources: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The whole way from raw documents to chunk rows: trusted, cleaned, sized, capped per source, chunked, numbered."""
+    return chunk_documents(balanced_cap(corpus_filter(documents, sources), order))
 
 
 def chunk_documents(documents: DataFrame) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +31,22 @@ def row_counts(tables: Mapping[str, DataFrame], expected: Mapping[str, int]) ->
     return reduce(DataFrame.unionByName, parts).withColumn("status", status)
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, also with dots or blanks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN, where its type has it, as NULL."""
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return F.when(~F.isnan(col(name)), col(name)) if floating else col(name)
+
+
 def null_counts(df: DataFrame) -> DataFrame:
-    """``(column_name, missing, n_rows)`` for every column."""
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns], F.count("*").alias("__rows"))
-    return wide.unpivot(["__rows"], df.columns, "column_name", "missing").withColumnRenamed("__rows", "n_rows")
+    """``(column_name, missing, n_rows)`` for every column; NaN counts as missing."""
+    missing = [F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    records = [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing"), "n_rows") for i, c in enumerate(df.columns)]
+    return df.agg(F.count("*").alias("n_rows"), *missing).select(F.inline(F.array(*records)))
 
 
 def null_pct(df: DataFrame) -> DataFrame:
@@ -85,8 +94,8 @@ def column_quality(df: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     wide = df.agg(
         F.count("*").alias("n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)],
-        *[distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(df.columns)],
     )
     records = F.array(
         *[
@@ -212,30 +221,32 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return spanned.groupBy(bin_no.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 12) -> DataFrame:
-    """Pairwise Pearson correlation; rows where either value is missing are left out of that pair.
+# Pairs of columns that one aggregation computes.
+PAIRS_PER_PASS = 300
+
 
-    Columns without NULLs share one matrix computation; pairs with NULLs are aggregated one by one.
-    What comes back to the driver is one number per pair.
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pairwise Pearson correlation of all numeric columns (or those given), as (column_x, column_y, r).
+
+    Rows where either value is missing (or NaN) are left out of that pair; r is NULL when one of the two does not vary.
+    Every pass aggregates up to ``PAIRS_PER_PASS`` pairs and reads only their columns.
     """
-    columns = list(columns or numeric_columns(df))[:limit]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    counts = numbers.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    full = [i for i in range(len(columns)) if counts[f"n{i}"] == counts["n"] > 0]
-    found: dict[tuple[int, int], float | None] = {}
-    if full:
-        packed = VectorAssembler(inputCols=[columns[i] for i in full], outputCol="v").transform(numbers).select("v")
-        matrix = Correlation.corr(packed, "v").first()[0].toArray()
-        found.update({(i, j): float(matrix[a, b]) for a, i in enumerate(full) for b, j in enumerate(full) if i <= j})
-    rest = [(i, j) for i in range(len(columns)) for j in range(i, len(columns)) if (i, j) not in found]
-    if rest:
-        row = numbers.agg(*[_pearson(columns[i], columns[j]).alias(f"c{k}") for k, (i, j) in enumerate(rest)]).first()
-        found.update({pair: row[k] for k, pair in enumerate(rest)})
-    rows = []
-    for (i, j), r in found.items():
-        value = None if r is None or math.isnan(r) else r
-        rows += [(columns[x], columns[y], value) for x, y in dict.fromkeys([(i, j), (j, i)])]
-    return df.sparkSession.createDataFrame(rows, "column_x string, column_y string, r double")
+    columns = list(columns or numeric_columns(df))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    numbers = df.select(*[present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = []
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        own = pairs[at : at + PAIRS_PER_PASS]
+        wide = numbers.agg(*[_pearson(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in own])
+        records = [
+            F.struct(F.lit(columns[x]).alias("column_x"), F.lit(columns[y]).alias("column_y"), F.col(f"r{i}_{j}").alias("r"))
+            for i, j in own
+            for x, y in dict.fromkeys([(i, j), (j, i)])
+        ]
+        parts.append(wide.select(F.inline(F.array(*records))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_x string, column_y string, r double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _pearson(a: str, b: str) -> Column:

@@ -23,6 +23,8 @@ CONTEXT_CHARS = 1_500
 # Queries that may be broadcast to every task; larger sets go through the block join.
 MAX_BROADCAST_QUERIES = 4_096
 SCORE_DIGITS = 9
+# What stands between words, in any alphabet.
+WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
 BM25_K1 = 1.2
 BM25_B = 0.75
 _SLAB = 1_024
@@ -35,7 +37,7 @@ def fit_encoder(chunks: DataFrame, text: str = "text", dim: int = EMBED_DIM) ->
     """Hashed term weights as unit vectors. The fitted state is ``dim`` numbers."""
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"\W+", toLowercase=True),
+            RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=WORD_BREAK, toLowercase=True),
             HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim),
             IDF(inputCol="__tf", outputCol="__idf"),
             Normalizer(inputCol="__idf", outputCol="__unit"),
@@ -118,6 +120,8 @@ def vector_topk(
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("qvec"), *_tenant(tenant)).where(
         F.col("qvec").isNotNull()
     )
+    if tenant:  # without a tenant there is nothing a query may see
+        items, asked = items.where("tenant IS NOT NULL"), asked.where("tenant IS NOT NULL")
     kinds = dict(items.dtypes) | dict(asked.dtypes)
     schema = f"query_id {kinds['query_id']}, item_id {kinds['ident']}, score double"
     head = asked.limit(max_broadcast + 1).toPandas()  # bounded by the limit
@@ -180,7 +184,7 @@ def _block_search(
 
 
 def _terms(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(text)), r"\W+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.col(text)), WORD_BREAK), lambda t: t != "")
 
 
 def bm25_scores(pairs: DataFrame) -> DataFrame:

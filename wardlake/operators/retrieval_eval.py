@@ -40,7 +40,8 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int = K) -> DataFra
     """Per question: hit, reciprocal rank, NDCG@k, P@1, P@3, P@k and recall@k.
 
     A document retrieved twice counts twice in precision and NDCG and once in recall. The ideal
-    ordering is the retrieved list sorted by relevance. Questions without results score 0.
+    ordering is the retrieved list sorted by relevance. Questions without results, or whose gold row names no document,
+    score 0.
     """
     marked = mark_relevant(ranked.where(F.col("rank") <= k), gold)
     at = [F.max(F.when(F.col("rank") == i, F.col("relevant"))) for i in range(1, k + 1)]
@@ -65,7 +66,7 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int = K) -> DataFra
         (hits(1) / F.lit(1.0)).alias("p_at_1"),
         (hits(min(3, k)) / F.lit(3.0)).alias("p_at_3"),
         (hits(k) / F.lit(float(k))).alias("p_at_k"),
-        (F.col("docs") / F.col("gold_docs")).alias("recall"),
+        F.coalesce(F.col("docs") / F.nullif(F.col("gold_docs"), F.lit(0)), F.lit(0.0)).alias("recall"),
     )
 
 

@@ -49,12 +49,16 @@ def standardize(df: DataFrame, mapping: Mapping[str, str | None] | None = None)
     mapping = mapping or match_columns(df.columns)
     return df.select(
         *[
-            (F.col(f"`{mapping[std]}`").cast("string").try_cast(kind) if mapping.get(std) else F.lit(None).cast(kind)).alias(std)
+            (_typed(F.col(f"`{mapping[std]}`"), kind) if mapping.get(std) else F.lit(None).cast(kind)).alias(std)
             for std, kind in STANDARD_TYPES.items()
         ]
     )
 
 
+def _typed(value: Column, kind: str) -> Column:
+    return to_instant(value) if kind == "timestamp_ntz" else value.cast("string").try_cast(kind)
+
+
 def standardize_report(df: DataFrame, mapping: Mapping[str, str | None] | None = None) -> DataFrame:
     """Standard column, level, whether it is mapped, and its share of missing values."""
     mapping = mapping or match_columns(df.columns)

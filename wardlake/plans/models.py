@@ -11,7 +11,6 @@ from wardlake.operators import features as feats
 from wardlake.operators import model_eval as ops
 from wardlake.plans.features import FLAGS, VITALS, assembled_of
 from wardlake.plans.registry import query
-from wardlake.scale import spread
 from wardlake.session import materialize
 
 # smaller estimators than the defaults, so that the registered queries stay quick on one machine
@@ -134,8 +133,8 @@ def risk_scores(spark, d):
     return risk.score_stays(features, models, best)
 
 
-_TARGETS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-_TEXT = {"o_orderstatus", "o_orderpriority"}
+_TARGETS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_TEXT = {"o_orderstatus", "o_orderdate", "o_orderpriority"}
 
 
 def _sql_problem(c):
@@ -203,13 +202,13 @@ SUGGEST_COLUMNS = ["row_id", "l_quantity", "l_extendedprice", "l_linenumber", "l
     mi AS (SELECT feature, sum(n / nt * ln(n * nt / (nb * nl))) AS score FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS nt,
         CAST(sum(n) OVER (PARTITION BY feature, bin) AS DOUBLE) AS nb, CAST(sum(n) OVER (PARTITION BY feature, label) AS DOUBLE) AS nl FROM n) GROUP BY 1)
     SELECT feature AS column_name, 'suggested' AS verdict, '' AS reason, row_number() OVER (ORDER BY score DESC) AS place FROM mi
-    UNION ALL VALUES ('row_id', 'dropped', 'id-like (near-unique per row)', 0), ('risk_score', 'dropped', 'matches leakage pattern ''score''', 0),
-        ('one', 'dropped', 'constant or empty', 0)""",
+    UNION ALL VALUES ('row_id', 'dropped', 'a key: nearly as many values as rows', 0), ('risk_score', 'dropped', 'outcome word: score', 0),
+        ('one', 'dropped', 'one value at most', 0)""",
 )
 def suggest_features(spark, d):
     from pyspark.sql import Window
 
-    lines = spread(C.table(spark, d, "lineitem")).join(C.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = C.table(spark, d, "lineitem").join(C.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     # order, line, part, supplier, quantity and price together tell the lines apart
     table = lines.withColumns(
         {
@@ -229,10 +228,5 @@ def suggest_features(spark, d):
 @query("automl_train")
 def automl_train(spark, d):
     table = graded_documents(spark, d)
-    result = automl.train_on_upload(table, "quality", ["lang", "source", "n_chars", "toxic"], "doc_id", trees=20, depth=5)
-    if result.error:
-        return spark.createDataFrame([("error", result.error, 0.0)], "kind string, name string, value double")
-    importances = spark.createDataFrame(result.importances, "name string, value double")
-    return result.metrics.select(F.lit("metric").alias("kind"), F.col("metric").alias("name"), "value").unionByName(
-        importances.select(F.lit("importance").alias("kind"), "name", "value")
-    )
+    report = automl.train_on_upload(table, "quality", ["lang", "source", "n_chars", "toxic"], "doc_id")
+    return report.select(F.col("part").alias("kind"), "name", "value")

@@ -10,7 +10,6 @@ from wardlake.clinical import with_ctes
 from wardlake.operators import quality, selection, typing, uploads
 from wardlake.plans.gold import SQL_AGE
 from wardlake.plans.registry import query
-from wardlake.scale import spread
 from wardlake.session import materialize, scratch_path
 from wardlake.sources import layers, readers
 
@@ -64,8 +63,8 @@ def src_all(spark, d):
 
 @query(
     "src_upload",
-    """SELECT f AS format, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
-       FROM events, (VALUES ('csv'), ('jsonl'), ('parquet')) t(f) GROUP BY 1, 2""",
+    """SELECT f AS format, event_id, user_id, event_type, value, props, epoch_us(ts) AS ts
+       FROM events, (VALUES ('csv'), ('jsonl'), ('parquet')) t(f)""",
 )
 def src_upload(spark, d):
     events = C.table(spark, d, "events")
@@ -75,12 +74,9 @@ def src_upload(spark, d):
     events.write.parquet(f"{root}/events.parquet")
     out = None
     for kind in ("csv", "jsonl", "parquet"):
-        part = (
-            readers.read_upload(spark, f"{root}/events.{kind}")
-            .groupBy("event_type")
-            .agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
-            .withColumn("format", F.lit(kind))
-        )
+        back = readers.read_upload(spark, f"{root}/events.{kind}")
+        instant = F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")
+        part = back.select(F.lit(kind).alias("format"), "event_id", "user_id", "event_type", "value", "props", instant)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -181,13 +177,13 @@ def table_scan(spark, d):
            coalesce(cond.n, 0) AS distinct_conditions, coalesce(prc.n, 0) AS distinct_procedures,
            coalesce(CAST(enc.c AS DOUBLE), 0.0) AS lifetime_cost
         FROM silver_patients p LEFT JOIN enc ON enc.patient = p.id LEFT JOIN cond ON cond.patient = p.id
-        LEFT JOIN prc ON prc.patient = p.id WHERE p.birthdate IS NOT NULL""",
+        LEFT JOIN prc ON prc.patient = p.id""",
     ),
 )
 def layer_rebuild(spark, d):
     raw = {name: C.bronze(spark, d, name) for name in readers.CLINICAL_TABLES}
     views = layers.rebuild(spark, raw, scratch_path(spark, "lake"), C.AS_OF, C.PREVALENCE_CONDITIONS)
-    return views["patient_360"].where(F.col("age").isNotNull())
+    return views["patient_360"]
 
 
 # --- quality --------------------------------------------------------------------------------------
@@ -276,8 +272,9 @@ def dq_domain_rules(spark, d):
     return quality.domain_rules({"lines": lines, "people": C.table(spark, d, "customer")}, LINE_RULES)
 
 
-_QUALITY = {"id": "string", "birthdate": "date", "deathdate": "date", "marital": "string", "city": "string",
-            "healthcare_expenses": "decimal(18,2)", "income": "decimal(18,2)"}
+_QUALITY = {"id": "string", "birthdate": "date", "deathdate": "date", "marital": "string", "race": "string",
+            "ethnicity": "string", "gender": "string", "city": "string", "state": "string", "county": "string", "zip": "string",
+            "healthcare_expenses": "decimal(18,2)", "healthcare_coverage": "decimal(18,2)", "income": "decimal(18,2)"}
 
 
 @query(
@@ -294,13 +291,22 @@ _QUALITY = {"id": "string", "birthdate": "date", "deathdate": "date", "marital":
     ),
 )
 def dq_column_quality(spark, d):
-    return quality.column_quality(silver_patients_of(spark, d).select(*_QUALITY))
+    return quality.column_quality(silver_patients_of(spark, d))
 
 
 def rounded(df, columns):
     return df.withColumns({c: F.col(c).cast("decimal(18,6)").cast("double") for c in columns})
 
 
+def digits(df, columns):
+    """Values to eight significant digits."""
+    return df.withColumns({c: F.format_string("%.7e", c) for c in columns})
+
+
+def sql_digits(expr):
+    return f"printf('%.7e', {expr})"
+
+
 _OUTLIER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -317,7 +323,7 @@ _OUTLIER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
        FROM v JOIN q USING (c) GROUP BY c, q1, q3""",
 )
 def outliers_iqr(spark, d):
-    found = quality.outliers_iqr(spread(C.table(spark, d, "lineitem")), _OUTLIER_COLUMNS)
+    found = quality.outliers_iqr(C.table(spark, d, "lineitem"), _OUTLIER_COLUMNS)
     return rounded(found, ["lower_bound", "upper_bound"])
 
 
@@ -347,14 +353,15 @@ def implausible_values(spark, d):
             f"CAST(CAST(quantile_cont({c}, {p}) AS DECIMAL(18,6)) AS DOUBLE) AS {n}"
             for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
         )
-        + f", CAST(max({c}) AS DOUBLE) AS max_value FROM orders"
-        for c in ("o_totalprice", "o_custkey")
+        + f", CAST(max({c}) AS DOUBLE) AS max_value, {sql_digits(f'avg({c})')} AS mean, {sql_digits(f'stddev_samp({c})')} AS std FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_totalprice")
     )
     + ")",
 )
 def numeric_profile(spark, d):
-    profile = quality.numeric_profile(C.table(spark, d, "orders"), ["o_totalprice", "o_custkey"])
-    return rounded(profile, ["q1", "median", "q3"]).drop("mean", "std")
+    # sums of doubles depend on their order, so the moments are compared to six digits before the point's tie
+    profile = quality.numeric_profile(C.table(spark, d, "orders"))
+    return digits(rounded(profile, ["q1", "median", "q3"]), ["mean", "std"])
 
 
 @query(
@@ -366,9 +373,22 @@ def histogram(spark, d):
     return quality.histogram(C.table(spark, d, "orders"), "o_totalprice", 30)
 
 
-@query("correlation_matrix")
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "correlation_matrix",
+    "SELECT column_x, column_y, round(r, 6) + 0.0 AS r FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS column_x, '{y}' AS column_y, corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) AS r FROM lineitem"
+        for x in _LINE_NUMBERS
+        for y in _LINE_NUMBERS
+    )
+    + ")",
+)
 def correlation_matrix(spark, d):
-    return quality.correlation_matrix(spread(C.table(spark, d, "lineitem")))
+    found = quality.correlation_matrix(C.table(spark, d, "lineitem"))
+    return found.withColumn("r", F.round("r", 6) + F.lit(0.0))
 
 
 @query("value_counts", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
@@ -412,7 +432,12 @@ def upload_of(spark, d):
     """A user's table with their own column names and text values."""
     return C.encounters(spark, d).select(
         F.col("patient").cast("string").alias("Patient ID"),
-        F.when(F.col("id") % 77 == 4, "not a date").otherwise(F.col("start").cast("string")).alias("Encounter Date"),
+        # dates as users write them: ISO, month first, in words
+        F.when(F.col("id") % 77 == 4, "not a date")
+        .when(F.col("id") % 5 == 1, F.date_format("start", "MM/dd/yyyy"))
+        .when(F.col("id") % 5 == 2, F.date_format("start", "MMM d, yyyy"))
+        .otherwise(F.col("start").cast("string"))
+        .alias("Encounter Date"),
         F.col("encounterclass").alias("EncounterClass"),
         F.when(F.col("id") % 91 == 5, "free").otherwise(F.col("total_claim_cost").cast("string")).alias("Total_Cost"),
         F.concat(F.lit("payer "), "payer").alias("Diagnosis Condition"),
@@ -420,7 +445,7 @@ def upload_of(spark, d):
 
 
 SQL_UPLOAD = """up AS (SELECT CAST(patient AS VARCHAR) AS patient_id,
-    CASE WHEN id % 77 = 4 THEN NULL ELSE start END AS encounter_date, encounterclass AS encounter_class,
+    CASE WHEN id % 77 = 4 THEN NULL WHEN id % 5 IN (1, 2) THEN date_trunc('day', start)::TIMESTAMP ELSE start END AS encounter_date, encounterclass AS encounter_class,
     CASE WHEN id % 91 = 5 THEN NULL ELSE total_claim_cost END AS total_cost, concat('payer ', payer) AS condition FROM encounters)"""
 
 
@@ -428,12 +453,12 @@ SQL_UPLOAD = """up AS (SELECT CAST(patient AS VARCHAR) AS patient_id,
     "standardize",
     with_ctes(
         "encounters",
-        f"WITH {SQL_UPLOAD} SELECT patient_id, encounter_date, encounter_class, total_cost::DOUBLE AS total_cost, condition FROM up",
+        f"WITH {SQL_UPLOAD} SELECT patient_id, encounter_date, encounter_class, total_cost::DOUBLE AS total_cost, NULL::DOUBLE AS age, "
+        "NULL::VARCHAR AS gender, condition, NULL::VARCHAR AS procedure, NULL::TIMESTAMP AS discharge_date FROM up",
     ),
 )
 def standardize(spark, d):
-    mapped = uploads.standardize(upload_of(spark, d))
-    return shown(mapped).select("patient_id", "encounter_date", "encounter_class", "total_cost", "condition")
+    return shown(uploads.standardize(upload_of(spark, d)))
 
 
 @query("filter_by_value", "SELECT * FROM orders WHERE CAST(o_orderstatus AS VARCHAR) = 'F'")

@@ -8,30 +8,22 @@ from pyspark.sql import functions as F
 
 from wardlake import clinical as C
 from wardlake.clinical import with_ctes
-from wardlake.functions.scalars import WHITESPACE, citation_label, clean_text, safe_id
+from wardlake.functions.scalars import citation_label, clean_text, safe_id
+from wardlake.functions.sql import sql_clean, sql_strip
 from wardlake.operators import documents as docs
 from wardlake.operators import questions as asks
 from wardlake.operators import retrieval, retrieval_eval
 from wardlake.plans.registry import query
-from wardlake.scale import spread
 from wardlake.session import materialize, scratch_path
 from wardlake.sources import readers, tenants
 from wardlake.streaming import ingest
 
 TRUSTED = [f"src{i}" for i in range(15)]
+# Shorter sentences say nothing about where a question comes from.
+MIN_SENTENCE = 12
 TRUSTED_IN = ", ".join(f"'{s}'" for s in TRUSTED)
 
 
-def sql_strip(expr):
-    return f"trim({expr}, '{WHITESPACE}')"
-
-
-def sql_clean(expr):
-    return sql_strip(
-        f"regexp_replace(regexp_replace(replace(coalesce({expr}, ''), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    )
-
-
 SQL_CITATION = """CASE WHEN title IS NOT NULL AND title <> '' AND title <> 'None' THEN upper(source) || ': ' || title
     ELSE upper(source) || ' (doc ' || left(doc_id, 8) || ')' END"""
 
@@ -62,12 +54,12 @@ def text_clean(spark, d):
     ),
 )
 def corpus_filter(spark, d):
-    kept = docs.corpus_filter(spread(C.documents(spark, d)), TRUSTED)
+    kept = docs.corpus_filter(C.documents(spark, d), TRUSTED)
     return kept.select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def cleaned_of(spark, d):
-    return spread(C.documents(spark, d)).withColumn("text", clean_text(F.col("text")))
+    return C.documents(spark, d).withColumn("text", clean_text(F.col("text")))
 
 
 def chunks_of(spark, d):
@@ -126,7 +118,7 @@ def _sql_page_text():
         {_sql_page_text()} AS text FROM pages) WHERE length(text) >= 50""",
 )
 def page_extract(spark, d):
-    return docs.extract_pages(spread(C.table(spark, d, "pages")))
+    return docs.extract_pages(C.table(spark, d, "pages"))
 
 
 @query(
@@ -216,7 +208,7 @@ def union_append(spark, d):
 def ingest_incremental(spark, d):
     root = scratch_path(spark, "ingest")
     incoming, store, checkpoint = f"{root}/incoming", f"{root}/store", f"{root}/checkpoint"
-    source = spread(C.documents(spark, d))
+    source = C.documents(spark, d)
     encoder = retrieval.fit_encoder(source)
     rows = source.select("doc_id", "source", "title", "url", "text")
     english = source.lang == "en"
@@ -307,12 +299,12 @@ def flatten_content(spark, d):
 
 
 def vector_chunks(spark, d):
-    """Vectors beside the text they stand for; the cluster label plays the document."""
+    """All vectors, beside the text they stand for where there is any; the cluster label plays the document."""
     vectors = C.table(spark, d, "embeddings").select(
         F.col("vec_id").cast("string").alias("doc"), F.col("vec_id").alias("chunk_id"), "embedding", "label"
     )
     texts = C.documents(spark, d).select(F.col("doc_id").alias("doc"), "source", "title", "text")
-    return vectors.join(texts, "doc")
+    return vectors.join(texts, "doc", "left")
 
 
 def vector_questions(spark, d):
@@ -328,7 +320,7 @@ def vector_questions(spark, d):
 
 
 SQL_VECTORS = """vc AS (SELECT e.vec_id AS chunk_id, CAST(e.embedding AS DOUBLE[]) AS v, e.label, c.source, c.title, c.text, c.doc_id
-        FROM embeddings e JOIN corpus c ON c.doc_id = CAST(e.vec_id AS VARCHAR)),
+        FROM embeddings e LEFT JOIN corpus c ON c.doc_id = CAST(e.vec_id AS VARCHAR)),
     dims AS (SELECT label, source, i, avg(x) AS m FROM (SELECT label, source, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vc)
         GROUP BY 1, 2, 3),
     questions AS (SELECT concat_ws('-', label, source) AS query_id, label, source, list(m ORDER BY i) AS q FROM dims GROUP BY label, source),
@@ -339,7 +331,8 @@ SQL_VECTORS = """vc AS (SELECT e.vec_id AS chunk_id, CAST(e.embedding AS DOUBLE[
 
 
 def retrieved_of(spark, d, k=retrieval.CANDIDATES):
-    found = retrieval.vector_topk(vector_chunks(spark, d), vector_questions(spark, d), k)
+    vectors = C.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    found = retrieval.vector_topk(vectors, vector_questions(spark, d), k)
     return found.withColumnRenamed("item_id", "chunk_id").select("query_id", "chunk_id", "rank")
 
 
@@ -520,14 +513,20 @@ def text_search(spark, d):
 
 
 def question_gold(spark, d):
-    """Documents that hold a question's first sentence, found by an equi-join on sentences."""
+    """Documents that hold any sentence of a question, found by an equi-join on sentences.
 
-    def sentences(text):
-        return F.transform(F.split(clean_text(text), r"[.\n]+"), lambda s: F.btrim(s))
+    A question without such a document keeps a row with a NULL document, so it counts as a miss.
+    """
 
-    asked = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), sentences(F.col("text"))[0].alias("sentence"))
-    held = spread(C.documents(spark, d)).select("doc_id", F.explode(F.array_distinct(sentences(F.col("text")))).alias("sentence"))
-    return materialize(held.join(asked, "sentence").select("query_id", "doc_id").distinct(), "gold")
+    def sentences(text):
+        every = F.transform(F.split(clean_text(text), r"[.\n]+"), lambda s: F.btrim(s))
+        return F.explode(F.array_distinct(F.filter(every, lambda s: F.length(s) >= MIN_SENTENCE))).alias("sentence")
+
+    questions = C.table(spark, d, "benchmark")
+    asked = questions.select(F.col("item_id").alias("query_id"), sentences(F.col("text")))
+    held = C.documents(spark, d).select("doc_id", sentences(F.col("text")))
+    found = held.join(asked, "sentence").select("query_id", "doc_id").distinct()
+    return materialize(questions.select(F.col("item_id").alias("query_id")).join(found, "query_id", "left"), "gold")
 
 
 def encoder_for(encoder, column):

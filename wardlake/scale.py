@@ -16,11 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct values one `percentile` aggregation buffer may hold before the ranked path is used.
+# Distinct values that the `percentile` buffers of one aggregation, over all its columns together, may hold before the
+# ranked path is used.
 MAX_QUANTILE_STATE = 1_000_000
-# Rows wanted per ordered bucket in the ranked path, and the most buckets it uses.
+# Rows wanted per ordered bucket in the ranked path.
 QUANTILE_BUCKET_ROWS = 500_000
-MAX_QUANTILE_BUCKETS = 4_096
 
 
 def one_row(df: DataFrame) -> Column:
@@ -33,16 +33,6 @@ def fits_rows(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when it has fewer partitions than that; otherwise leave it alone.
-
-    Meant for plain scans in front of heavy per-row work, where few large row groups would leave
-    cores idle. Large inputs have more partitions than cores and are not shuffled.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL keys match, keeping the left copy of the keys."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -122,13 +112,13 @@ def exact_quantiles(
         rough = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]
         n_rows, *seen = numeric.agg(F.count("*"), *rough).first()
         known_distinct = max(seen)
-    if known_distinct <= max_state:
+    if known_distinct * len(columns) <= max_state:
         wide = numeric.groupBy(*groups).agg(
             *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
         )
         return wide.unpivot(list(groups), columns, "column", "q")
     n_rows = numeric.count() if n_rows is None else n_rows
-    buckets = min(MAX_QUANTILE_BUCKETS, max(8, n_rows // QUANTILE_BUCKET_ROWS))
+    buckets = max(8, n_rows // QUANTILE_BUCKET_ROWS)
     return _ranked_quantiles(numeric, columns, probs, groups, buckets)
 
 

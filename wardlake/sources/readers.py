@@ -27,25 +27,35 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_csv_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """One CSV table, all columns text. Lines with too many fields are dropped, short ones padded with NULL."""
-    return _with_overflow(spark, path, columns).where(~F.col("__overflow")).drop("__overflow")
+# How fields are quoted, in all CSV files read or written: a quote inside a quoted field is doubled.
+# Written instants keep their microseconds.
+INSTANTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+QUOTING = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"'}
 
 
-def dropped_lines(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False
+) -> DataFrame:
+    """One CSV table, all columns text. Lines with too many fields are dropped, short ones padded with NULL.
+
+    ``multi_line`` allows line ends inside quoted fields; such a file is read by one task.
+    """
+    return _with_overflow(spark, path, columns, multi_line).where(~F.col("__overflow")).drop("__overflow")
+
+
+def dropped_lines(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False
+) -> DataFrame:
     """How many lines ``read_csv_table`` leaves out."""
-    return _with_overflow(spark, path, columns).agg(F.count_if("__overflow").alias("dropped"))
+    return _with_overflow(spark, path, columns, multi_line).agg(F.count_if("__overflow").alias("dropped"))
 
 
-def _with_overflow(spark: SparkSession, path: str, columns: Sequence[str] | None) -> DataFrame:
+def _with_overflow(spark: SparkSession, path: str, columns: Sequence[str] | None, multi_line: bool) -> DataFrame:
     """One column more than the table has: a line that fills it has too many fields."""
     columns = list(columns or csv_header(spark, path))
     raw = (
         spark.read.schema(_text_schema(columns, ["__surplus"]))
-        .option("header", True)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
+        .options(**QUOTING, mode="PERMISSIVE", multiLine=multi_line)
         .csv(path)
     )
     return raw.select(*columns, F.col("__surplus").isNotNull().alias("__overflow"))
@@ -56,11 +66,15 @@ def read_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Data
     return {name: read_csv_table(spark, path) for name, path in paths.items()}
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """A user's file by extension: CSV, JSON (records or lines) or Parquet."""
+def read_upload(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A user's file by extension: CSV, JSON (records or lines) or Parquet.
+
+    Uploaded CSV may hold line ends inside quoted fields, for which every file is read by one task; without
+    ``multi_line`` large files are split.
+    """
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return spark.read.options(**QUOTING, inferSchema=True, multiLine=multi_line).csv(path)
     if lowered.endswith((".jsonl", ".ndjson")):
         return spark.read.json(path)
     if lowered.endswith(".json"):
@@ -71,7 +85,7 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").options(**INSTANTS, ignoreNullFields=False).json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +105,7 @@ def read_questions(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Metric tables as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**QUOTING, **INSTANTS).csv(path)
 
 
 def text_columns(df: DataFrame) -> list[Column]:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlake.functions.scalars import safe_id
 
+FOLDERS = ["batch", "tenant_id"]
+# Files that one batch may write for one tenant.
+FILES_PER_TENANT = 8
+
 
 def with_tenant(chunks: DataFrame, name: str = "source") -> DataFrame:
     return chunks.withColumn("tenant_id", safe_id(F.col(name)))
@@ -16,16 +21,23 @@ def append(chunks: DataFrame, path: str, batch: str) -> None:
     """Add one batch of chunk rows. A batch written again replaces itself, so a retried job adds nothing twice."""
     (
         chunks.withColumn("batch", F.lit(batch))
+        .repartition("tenant_id", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns]), F.lit(FILES_PER_TENANT)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "tenant_id")
+        .partitionBy(*FOLDERS)
         .parquet(path)
     )
 
 
 def read_store(spark: SparkSession, path: str, tenant_id: str | None = None) -> DataFrame:
-    """Stored rows; a tenant's rows come from its folders only."""
-    stored = spark.read.parquet(path)
+    """Stored rows; a tenant's rows come from its folders only.
+
+    Folder names are text: tenants ``007`` and ``7`` are two tenants.
+    """
+    found = spark.read.parquet(path)
+    folders = [T.StructField(c, T.StringType()) for c in FOLDERS]
+    schema = T.StructType([*(f for f in found.schema.fields if f.name not in FOLDERS), *folders])
+    stored = spark.read.schema(schema).parquet(path)
     return stored.where(F.col("tenant_id") == tenant_id) if tenant_id is not None else stored
 
 
