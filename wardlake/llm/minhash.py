@@ -6,12 +6,14 @@ tree is what shares its first ``LEAD`` minima there. Most nodes are alone in all
 
 *Neighbours.* Within its region every node is compared with the ``NEIGHBOURS`` nodes that follow in the order, which
 share the longest prefixes with it: in dense regions that is deep, in sparse ones it is ``LEAD``. Pairs whose
-signatures agree well enough are confirmed on the full sets, and the links give a first set of components.
+signatures agree on ``SURE_AGREEMENT`` are confirmed on the full sets, and the links give a first set of components.
 
 *Rest.* A region that still holds several components has pairs the neighbours did not reach. There all nodes outside
-its largest component are held against all nodes of the region, in blocks of bounded size, again only across components
-and only where signatures agree. So every two nodes that share a region are either compared or already connected;
-nothing is capped, and a group of thousands of near copies costs a few comparisons per member.
+its largest component are held against all nodes of the region, in blocks of bounded size, only across components and
+only in the first tree that two nodes share. A pass over the signatures finds the nodes that agree with any other on
+``MIN_AGREEMENT``; these meet again in blocks with their texts, and every such pair is settled on the full sets, unless
+links of the block already connect it. What leaves a block is one link per pair of components, never all pairs. So
+every two nodes that share a region are compared or connected; nothing is capped.
 
 Two nodes of similarity 0.8 share no region with probability (1 - 0.8 ** LEAD) ** TREES = 3e-5, and their signatures
 fall under ``MIN_AGREEMENT`` with probability 2e-4; both fall off fast above 0.8. Everything found is exact.
@@ -29,9 +31,8 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.joins import HOT_SHARE, components, hot_join, rows_with_ids
@@ -42,10 +43,10 @@ TREES, LEAD = 20, 4
 PLACES = TREES * LEAD
 NEIGHBOURS = 3
 SIMILARITY = Fraction(8, 10)
-# Share of equal minima that a pair needs before its full sets are compared.
-MIN_AGREEMENT = 0.64
-# Nodes on either side of one block comparison.
-BLOCK_NODES = 512
+# Share of equal minima that a pair needs before its full sets are compared, in the second and in the first pass.
+MIN_AGREEMENT, SURE_AGREEMENT = 0.64, 0.78
+# Nodes on either side of one block comparison, and how many a block may hold to go through the plain array pass.
+BLOCK_NODES, SMALL_BLOCK = 512, 12
 
 _FACTORS = (mix(np.arange(1, PLACES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = (mix(np.arange(1001, 1001 + PLACES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -95,7 +96,7 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
                     mixed = mix(own)
                     least = minima(own)
                     identity = mixed.sum().view(np.int64), mix(mixed).sum().view(np.int64)
-                    row = *map(int, identity), least.view(np.int64).tolist(), least.astype(np.uint8).tobytes()
+                    row = *map(int, identity), least.view(np.int64).tolist(), least.tobytes()
                 else:
                     row = None, None, None, None
                 for column, value in zip(out.values(), (doc, len(own), *row)):
@@ -106,21 +107,17 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
     return arrow_rows(rows, run, pa.schema(fields), ddl)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shares of equal places between rows of ``a`` and of ``b``."""
-    out = np.empty((len(a), len(b)), dtype=np.float32)
-    for at in range(0, len(a), 64):
-        out[at : at + 64] = (a[at : at + 64, None, :] == b[None, :, :]).mean(axis=2, dtype=np.float32)
-    return out
+def _signatures(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, PLACES)
 
 
 def _neighbours(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes next to each other in a tree's order that agree well enough.
+    """Pairs (a, b) of nodes next to each other in a tree's order that agree on most places.
 
     The order is cut into ranges anywhere, also inside a region; pairs over a cut are left to the second pass.
     """
-    turn = F.expr(f"tree * {LEAD}")
-    order = F.concat(F.substring("signature", turn + 1, PLACES), F.substring("signature", F.lit(1), turn))
+    turn = F.expr(f"tree * {2 * LEAD}")
+    order = F.concat(F.substring("signature", turn + 1, 2 * PLACES), F.substring("signature", F.lit(1), turn))
     keyed = members.select("tree", "region", order.alias("place"), "node")
     dealt = keyed.repartitionByRange("tree", "region", "place", "node").sortWithinPartitions("tree", "region", "place", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -129,12 +126,12 @@ def _neighbours(members: DataFrame) -> DataFrame:
         tail = None
         for batch in batches:
             now = tuple(np.array(batch.column(c)) for c in ("tree", "region", "node"))
-            signs = np.frombuffer(b"".join(batch.column("place").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+            signs = _signatures(batch.column("place").to_pylist())
             tree, region, node, signs = (np.concatenate(p) for p in zip(tail, (*now, signs))) if tail else (*now, signs)
             lefts, rights = [], []
             for step in range(1, NEIGHBOURS + 1):
                 same = (tree[step:] == tree[:-step]) & (region[step:] == region[:-step])
-                same[same] = (signs[:-step][same] == signs[step:][same]).mean(axis=1) >= MIN_AGREEMENT
+                same[same] = (signs[:-step][same] == signs[step:][same]).mean(axis=1) >= SURE_AGREEMENT
                 lefts.append(np.minimum(node[:-step][same], node[step:][same]))
                 rights.append(np.maximum(node[:-step][same], node[step:][same]))
             tail = tuple(x[-NEIGHBOURS:] for x in (tree, region, node, signs))
@@ -144,46 +141,171 @@ def _neighbours(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a region and agree well enough."""
-    own = F.coalesce("component", "node").alias("component")
-    known = members.join(labels.withColumnRenamed("id", "node"), "node", "left")
-    known = materialize(known.select("tree", "region", "node", "signature", own), "forest-rest")
-    region = ["tree", "region"]
-    sizes = known.groupBy(*region, "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy(*region).agg(
+REGION = ["tree", "region"]
+BLOCK = [*REGION, "left", "right"]
+
+
+def _in_blocks(known: DataFrame) -> DataFrame:
+    """Rows of the regions with several components, dealt into blocks (tree, region, left, right).
+
+    ``asks`` marks the nodes outside the region's largest component. A region of few nodes is one block with every row
+    once; in a larger one each block holds a part of the asking nodes and a part of all nodes.
+    """
+    sizes = known.groupBy(*REGION, "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy(*REGION).agg(
         F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("component", F.struct("n", "component")).alias("main")
     ).where("largest < n")
-    left = F.ceil((F.col("n") - F.col("largest")) / BLOCK_NODES).cast("int")
-    rows = known.join(mixed.select(*region, "main", left.alias("lefts"), F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("rights")), region)
-    at = F.xxhash64("node")
-    queries = rows.where("component <> main").select(
-        *region, F.pmod(at, "lefts").cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"),
-        F.lit(True).alias("asks"), "node", "component", "signature",
-    )
-    targets = rows.select(
-        *region, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.pmod(at, "rights").cast("int").alias("right"),
-        F.lit(False).alias("asks"), "node", "component", "signature",
-    )
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        asks = block["asks"].to_numpy()
-        node, component = block["node"].to_numpy(), block["component"].to_numpy()
-        signs = np.frombuffer(b"".join(block["signature"]), dtype=np.uint8).reshape(-1, PLACES)
-        fits = agreement(signs[asks], signs[~asks]) >= MIN_AGREEMENT
-        fits &= component[asks][:, None] != component[~asks][None, :]
-        i, j = np.nonzero(fits)
-        a, b = node[asks][i], node[~asks][j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    blocks = queries.unionByName(targets).groupBy(*region, "left", "right")
-    return blocks.applyInPandas(compare, "a bigint, b bigint").distinct()
+    lefts = F.ceil((F.col("n") - F.col("largest")) / BLOCK_NODES).cast("int").alias("lefts")
+    rights = F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("rights")
+    rows = known.join(mixed.select(*REGION, "main", lefts, rights), REGION)
+    asks, at = F.col("component") != F.col("main"), F.xxhash64("node")
+
+    def place(left: Column, right: Column, asking: Column) -> Column:
+        return F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), asking.alias("asks"))
+
+    once = F.array(place(F.lit(0), F.lit(0), asks))
+    own_left, own_right = F.pmod(at, "lefts"), F.pmod(at, "rights")
+    asking = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda r: place(own_left, r, F.lit(True)))
+    asked = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda x: place(x, own_right, F.lit(False)))
+    places = F.when(F.col("rights") == 1, once).when(asks, F.concat(asking, asked)).otherwise(asked)
+    return rows.select(*REGION, F.inline(places), "node", "component", "signature")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """Whole blocks of rows sorted by block: arrays of tree, block number, asks, node, component, signatures, and
+    ``more`` columns as lists. The last block of a batch waits for the next batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        keys = [held.column(c).to_numpy() for c in BLOCK]
+        opens = np.ones(held.num_rows, dtype=bool)
+        if held.num_rows:
+            opens[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            last = int(np.flatnonzero(opens)[-1])
+            if last:
+                yield _arrays(held.slice(0, last), opens[:last], more)
+                held = held.slice(last).combine_chunks()
+    if held is not None and held.num_rows:
+        opens = np.zeros(held.num_rows, dtype=bool)
+        opens[0] = True
+        yield _arrays(held, opens, more)
+
+
+def _arrays(rows: pa.Table, opens: np.ndarray, more: tuple[str, ...]) -> tuple:
+    tree, node, component = (rows.column(c).to_numpy() for c in ("tree", "node", "component"))
+    asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    signs = _signatures(rows.column("signature").to_pylist())
+    return tree, np.cumsum(opens) - 1, asks, node, component, signs, *(rows.column(c).to_pylist() for c in more)
+
+
+def _candidates(tree, block, asks, component, signs) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs inside blocks that agree well enough, cross components, and share no earlier tree."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        wanted = (component[i] != component[j]) & (asks[i] | asks[j])
+        i, j = i[wanted], j[wanted]
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            same = signs[x] == signs[y]
+            good = same.mean(axis=1, dtype=np.float32) >= MIN_AGREEMENT
+            x, y, same = x[good], y[good], same[good]
+            first = same.reshape(-1, TREES, LEAD).all(axis=2).argmax(axis=1) == tree[x]
+            found.append((x[first], y[first]))
+
+    sizes = np.bincount(block)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    small = np.flatnonzero(sizes[block] <= SMALL_BLOCK)
+    for step in range(1, SMALL_BLOCK):
+        i = small[small + step < len(block)]
+        i = i[block[i] == block[i + step]]
+        keep(i, i + step)
+    for b in np.flatnonzero(sizes > SMALL_BLOCK):
+        rows = np.arange(starts[b], starts[b] + sizes[b])
+        for i in rows[asks[rows]]:
+            keep(np.full(sizes[b], i), rows)
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def _promising(dealt: DataFrame) -> DataFrame:
+    """(tree, region, node) of the nodes that agree with any other of their block."""
+    schema = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("node", pa.int64())])
+    rows = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, block, asks, node, component, signs, region in _blocks(batches, "region"):
+            at = np.unique(np.concatenate(_candidates(tree, block, asks, component, signs)))
+            columns = tree[at], np.array(region, dtype=np.int64)[at], node[at]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return rows.mapInArrow(run, "tree int, region bigint, node bigint").distinct()
+
+
+def _settled(dealt: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) between components of a block, confirmed on full sets; takes blocks with ``text``."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    rows = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, block, asks, node, component, signs, texts in _blocks(batches, "text"):
+            left, right = _candidates(tree, block, asks, component, signs)
+            needed = np.unique(np.concatenate([left, right]))
+            raw = [None if texts[i] is None else texts[i].encode() for i in needed]
+            sets = dict(zip(needed.tolist(), shingle_sets(raw, k)))
+            order = np.argsort(-(signs[left] == signs[right]).sum(axis=1), kind="stable")
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            a, b = [], []
+            for i, j in zip(left[order].tolist(), right[order].tolist()):
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y and similar(sets[i], sets[j]):
+                    joined[max(x, y)] = min(x, y)
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _rest_links(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Links between components that share a region and were not compared as neighbours."""
+    own = F.coalesce("component", "node").alias("component")
+    known = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select(*REGION, "node", own, "signature")
+    known = materialize(known, "forest-known")
+    promising = materialize(_promising(_in_blocks(known)), "forest-promising")
+    again = known.join(promising, [*REGION, "node"], "left_semi")
+    texts = _texts(docs, promising.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
+    return _settled(_in_blocks(again).join(texts, "node"), k)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of hashes, each sorted, have at least ``SIMILARITY``."""
+    least, most = sorted((len(x), len(y)))
+    if least < SIMILARITY * most:
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    common = int((x[at] == y).sum())
+    return common > 0 and common >= SIMILARITY * (len(x) + len(y) - common)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return materialize(rows_with_ids(own, ids, "doc_id"), "forest-texts")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Of distinct ``pairs`` (a, b) those whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(rows_with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ends, "doc_id"), "forest-texts")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
@@ -194,8 +316,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             a, b = [], []
             both = zip(shingle_sets(batch["text_a"], k), shingle_sets(batch["text_b"], k))
             for left, right, (x, y) in zip(batch["a"], batch["b"], both):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common and common >= SIMILARITY * (len(x) + len(y) - common):
+                if len(x) and similar(x, y):
                     a.append(left)
                     b.append(right)
             yield {"a": a, "b": b}
@@ -225,9 +346,8 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     links = materialize(links, "forest-links")
     labels = components(links)
 
-    rest = materialize(_rest(members, labels).join(near, ["a", "b"], "left_anti"), "forest-rest-pairs")
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, k)
+    more = materialize(_rest_links(members, labels, docs, k), "forest-more")
+    if not more.isEmpty():
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     found = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left")
