@@ -37,7 +37,7 @@ def outcome_distribution(patients: DataFrame) -> DataFrame:
 
 
 def share_of_total(n: Column) -> Column:
-    """Percent of the grand total; meant for already aggregated frames."""
+    """Percent of the grand total, for aggregated frames with one row per fixed class."""
     return F.lit(100.0) * n / F.sum(n).over(Window.partitionBy(F.lit(1)))
 
 

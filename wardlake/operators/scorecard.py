@@ -179,17 +179,16 @@ def provider_bucket(scored: DataFrame) -> DataFrame:
 def department_insights(scored: DataFrame) -> DataFrame:
     """Scored, flagged, pooled O/E against the hospital's, best and worst provider per department."""
     hospital = scored.agg(F.coalesce(to_cents(pooled()), F.lit(1.0)).alias("h")).scalar()
-    key = F.when(F.col("oe_mortality").isNotNull(), F.struct("oe_mortality", "doctor_id", "doctor_name"))
-    worst_key = F.when(
-        F.col("oe_mortality").isNotNull(),
-        F.struct("oe_mortality", (-F.col("doctor_id")).alias("neg_id"), "doctor_name"),
-    )
+    # of equal ratios the provider with the smaller id is named, whatever type ids have
+    is_scored = F.col("oe_mortality").isNotNull()
+    lowest = F.when(is_scored, F.struct("oe_mortality", "doctor_id", "doctor_name"))
+    highest = F.when(is_scored, F.struct((-F.col("oe_mortality")).alias("turned"), "doctor_id", "doctor_name"))
     rows = scored.groupBy("department").agg(
         F.count("oe_mortality").alias("scored"),
         F.count_if(F.col("oe_mortality") > REVIEW_ABOVE).alias("flagged"),
         pooled().alias("department_oe"),
-        F.min(key).getField("doctor_name").alias("best_provider"),
-        F.max(worst_key).getField("doctor_name").alias("worst_provider"),
+        F.min(lowest).getField("doctor_name").alias("best_provider"),
+        F.min(highest).getField("doctor_name").alias("worst_provider"),
     )
     against = (
         F.when(F.col("department_oe") < F.col("hospital_oe"), "better than")
