@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from wardlake.llm.cuckoo import MAX_LOAD, CuckooFilter, Full
+from wardlake.llm.joins import HOT_SHARE, hot_join
 from wardlake.session import scratch_path
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -34,7 +35,6 @@ MIN_KEY_CHARS = 10
 MIN_SHARDS = 32
 # Line keys that one shard should hold.
 SHARD_KEYS = 500_000
-HOT_SHARE = 20_000
 
 KEY = ["k1", "k2"]
 _FILTERS = "shard int, filter binary"
@@ -155,16 +155,9 @@ class LineIndex:
         refs = line_refs(docs)
         passed = self.maybe_repeated(refs.select(*KEY).distinct())
         confirmed = self.repeated().join(passed, KEY, "left_semi").select(*KEY, "n_docs", "first_doc")
-        # keys with over 1 / HOT_SHARE of all references: at most HOT_SHARE of them, so they can be broadcast
         total = self.counts().agg(F.sum("n_docs")).first()[0] or 0
-        hot = F.col("n_docs") * HOT_SHARE >= total
-        hot_first = confirmed.where(hot).select(*KEY, F.col("first_doc").alias("hot_first"))
-        rest = confirmed.where(~hot).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "first_doc")
-        marked = refs.join(F.broadcast(hot_first), KEY, "left")
-        # references to hot keys are settled and go through the join spread by their place
-        spread = F.when(F.col("hot_first").isNotNull(), F.xxhash64("doc_id", "pos"))
-        joined = marked.withColumns({"j1": F.coalesce(spread, "k1"), "j2": F.col("k2")}).join(rest, ["j1", "j2"], "left")
-        hit = joined.where(F.col("doc_id") != F.coalesce("hot_first", "first_doc"))
+        found = hot_join(refs, confirmed, KEY, F.col("n_docs") * HOT_SHARE >= total, ["first_doc"])
+        hit = found.where(F.col("doc_id") != F.col("first_doc"))
         return hit.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("positions"))
 
 
