@@ -1,3 +1,57 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): return None
+"""Training corpus: toxic documents out, repeated lines out, near-duplicates out, benchmark leaks out, then packed.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes each result as
+Parquet to the shared folder and reads it again, so a lost executor repeats part of one stage only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wardlake.llm import contamination, lines, minhash, packing, toxicity
+from wardlake.session import materialize
+
+# Words of a shingle in the near-duplicate stage; two documents are near-duplicates from similarity 0.8 on.
+SHINGLE_WORDS = 5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.clean_documents(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.clean_documents(docs, SHINGLE_WORDS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences with their token ids."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_benchmark_leaks),
+    ("pack", pack),
+]
+
+# Toxicity is learned and packing is online: SQL cannot state the result. tests/llm/test_pipeline.py checks it.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ DOCS = "doc_id bigint, text string, k1 string, n_chars bigint, positions int"
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def expected(rows):
+def kept_texts(rows):
     def key(line):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(WHITE))
 
@@ -26,8 +26,12 @@ def expected(rows):
         every = (text or "").split("\n")
         gone = [doc is not None and len(holders.get(key(x), ())) >= 2 and min(holders[key(x)]) != doc for x in every]
         kept = "\n".join(x for x, g in zip(every, gone) if not g)
-        out.append((doc, len(every), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out, key=repr)
+        out.append((doc, len(every), sum(gone), kept))
+    return out
+
+
+def expected(rows):
+    return sorted(((d, n, lost, hashlib.sha256(kept.encode()).hexdigest()) for d, n, lost, kept in kept_texts(rows)), key=repr)
 
 
 def frame(spark, rows):
@@ -53,7 +57,11 @@ def test_against_brute_force(spark, monkeypatch, hot_share):
     assert got(lines.judged(frame(spark, rows))) == expected(rows)
     clean = lines.clean_documents(frame(spark, rows))
     assert clean.columns == frame(spark, rows).columns
-    assert all(r.n_chars == len(r.text) for r in clean.where("text is not null").collect())
+    left = clean.collect()
+    assert all(r.n_chars == len(r.text) for r in left if r.text is not None)
+    assert sorted((r.doc_id or -1, r.text or "") for r in left) == sorted(
+        (d or -1, kept) for d, _, lost, kept in kept_texts(rows) if not lost or kept.strip(WHITE)
+    )  # only those that lost all they said are gone
     assert got(lines.judged(frame(spark, []))) == []
 
 

@@ -226,10 +226,14 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines dropped from ``text`` and ``n_chars``, where present, counted anew."""
+    """``docs`` with repeated lines dropped from ``text`` and ``n_chars``, where present, counted anew.
+
+    Documents of which nothing but white space is left go, as all they said is in others.
+    """
     done = deduplicated(docs)
+    emptied = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(WHITE)) == "")
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    return done.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return done.where(~F.coalesce(emptied, F.lit(False))).select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 JUDGED_SQL = r"""
