@@ -11,7 +11,7 @@ from wardlake.operators import features as feats
 from wardlake.operators import model_eval as ops
 from wardlake.plans.features import FLAGS, VITALS, assembled_of
 from wardlake.plans.registry import query
-from wardlake.session import materialize
+from wardlake.session import materialize, scratch_path
 
 # smaller estimators than the defaults, so that the registered queries stay quick on one machine
 QUICK = risk.Settings(trees=10, forest_depth=5, rounds=5, max_iter=20)
@@ -120,19 +120,32 @@ def train_risk_models(spark, d):
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    best = {target: "logreg" for target in feats.TARGETS}
-    return risk.cross_validate(stay_features(spark, d), best, FLAGS, VITALS, QUICK)
+    features = stay_features(spark, d)
+    _, scores = risk.train_all(features, FLAGS, VITALS, QUICK)
+    best = risk.best_models(ops.model_metrics(scores, GROUPS))
+    return risk.cross_validate(features, best, FLAGS, VITALS, QUICK)
 
 
 @query("risk_scores")
 def risk_scores(spark, d):
     features = stay_features(spark, d)
-    quick = risk.Settings(trees=10, forest_depth=5, rounds=5, max_iter=20, models=("logreg", "random_forest"))
-    models, scores = risk.train_all(features, FLAGS, VITALS, quick)
+    models, scores = risk.train_all(features, FLAGS, VITALS, QUICK)
     best = risk.best_models(ops.model_metrics(scores, GROUPS))
     return risk.score_stays(features, models, best)
 
 
+@query("what_if_scores")
+def what_if_scores(spark, d):
+    """Models stored, read again, and asked about one made-up stay: the cohort's medians at age 80."""
+    features, store = stay_features(spark, d), scratch_path(spark, "models")
+    wanted = risk.Settings(models=("logreg",))
+    risk.train_all(features, FLAGS, VITALS, wanted, save_to=store)
+    models = risk.load_models(store, [(target, "logreg") for target in feats.TARGETS])
+    columns = sorted({c for target in feats.TARGETS for c in risk.feature_columns(target, FLAGS, VITALS)})
+    asked = risk.what_if(features, columns, {"age": 80.0})
+    return risk.score_stays(asked, models, {target: "logreg" for target in feats.TARGETS})
+
+
 _TARGETS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 _TEXT = {"o_orderstatus", "o_orderdate", "o_orderpriority"}
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from wardlake import clinical as C
 from wardlake.clinical import with_ctes
 from wardlake.operators import series as ops
+from wardlake.operators import uploads
 from wardlake.plans.registry import query
+from wardlake.plans.tables import upload_of
 
 SINCE = "1996-01-01"
 LAST = "2001-08-15"  # as-of date: its month is left out
@@ -109,3 +111,21 @@ def error_metrics(spark, d):
 def capacity_plan(spark, d):
     filled = filled_of(spark, d)
     return ops.capacity_plan(filled, ops.extrapolate(ops.holt_fixed(filled, ALPHA, BETA), 6))
+
+
+@query("capacity_plan_seasonal")
+def capacity_plan_seasonal(spark, d):
+    """The plan on the fitted seasonal forecast; series too short for it are left out of the plan."""
+    filled = filled_of(spark, d)
+    ahead = ops.holt_winters_forecast(filled, 6).where(F.col("error").isNull()).drop("error")
+    return ops.capacity_plan(filled, ahead)
+
+
+@query("upload_forecast")
+def upload_forecast(spark, d):
+    """From an upload alone: find its date column, count months, fill gaps, fit the trend, look six months ahead."""
+    table = upload_of(spark, d)
+    found = uploads.detect_date_column(table).first()  # one row
+    monthly = uploads.monthly_volume(table, found["column_name"])
+    series = monthly.select(F.lit("all").alias("key"), "month", F.col("encounters").alias("y"))
+    return ops.holt_forecast(ops.fill_months(series), 6)

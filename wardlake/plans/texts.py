@@ -625,3 +625,49 @@ def set_overlap(spark, d):
 def tool_call_scores(spark, d):
     log = tool_log(spark, d).withColumn("size_class", F.col("steps"))
     return retrieval_eval.tool_call_scores(log, ["size_class"])
+
+
+# --- whole ways from raw input to chunks -----------------------------------------------------------
+
+
+@query(
+    "oversized_documents",
+    with_ctes(
+        "corpus",
+        f"""SELECT source, count(*) FILTER (length({sql_clean('text')}) > 40000) AS oversized FROM corpus
+            WHERE source IN ({TRUSTED_IN}) GROUP BY source""",
+    ),
+)
+def oversized_documents(spark, d):
+    return docs.oversized(C.documents(spark, d), TRUSTED)
+
+
+@query(
+    "corpus_build",
+    with_ctes(
+        "corpus",
+        f"""SELECT doc_id, source, {SQL_CITATION} AS citation FROM (SELECT *, row_number() OVER (PARTITION BY source
+                ORDER BY CAST(doc_id AS BIGINT)) AS rn FROM (SELECT *, {sql_clean('text')} AS t FROM corpus)
+            WHERE source IN ({TRUSTED_IN}) AND length(t) BETWEEN 100 AND 40000) WHERE rn <= 200""",
+    ),
+)
+def corpus_build(spark, d):
+    """Every document that the build keeps, seen through its chunks."""
+    built = docs.corpus_build(C.documents(spark, d), TRUSTED, [F.col("doc_id").cast("bigint")])
+    return built.select("doc_id", "source", "citation").distinct()
+
+
+@query(
+    "page_ingest",
+    f"""SELECT doc_id, page, concat('web: ', doc_id, ' (p.', page, ')') AS citation FROM (SELECT page_id,
+        regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS doc_id, row_number() OVER (PARTITION BY
+        regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) ORDER BY page_id) AS page, {_sql_page_text()} AS text FROM pages)
+        WHERE length(text) >= 100""",
+)
+def page_ingest(spark, d):
+    """Extracted pages stored as chunks with page citations, seen page by page."""
+    store = scratch_path(spark, "page-store")
+    chunks = docs.page_chunks(docs.extract_pages(C.table(spark, d, "pages")), "web")
+    tenants.append(chunks, store, "pages")
+    stored = tenants.read_store(spark, store, "web")
+    return stored.select("doc_id", F.col("page").cast("bigint"), "citation").distinct()
