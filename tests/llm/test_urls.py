@@ -69,3 +69,11 @@ def test_verdicts_of_rules_and_model(spark):
 
 def test_empty_table(spark):
     assert u.judged(frame(spark, [])).count() == 0
+
+
+def test_top_counts_stay_within_the_limit(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + i // 10) for i in range(1000)], "word string, n bigint")
+    got = u.top(counts, 300)
+    assert 150 < len(got) <= 300
+    assert min(r.n for r in got) > 70
+    assert len(u.top(counts, 5000)) == 1000 and u.top(counts, 0) == []

@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.words import arrow_rows
@@ -142,8 +142,17 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(words).where(long).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def top(counts: DataFrame, order: Column, limit: int) -> list:
-    return counts.orderBy(order, counts.columns[0]).limit(limit).collect()
+def top(counts: DataFrame, limit: int) -> list:
+    """At most ``limit`` rows of the largest ``n``: all above a cut that a histogram of log counts gives."""
+    level = F.floor(F.log2("n") * 16)
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
+    cut, total = None, 0
+    for at, rows in sorted(((r.level, r.rows) for r in levels), reverse=True):
+        total += rows
+        if total > limit:
+            break
+        cut = at
+    return [] if cut is None else counts.where(level >= cut).collect()
 
 
 def _tokenized(pages: DataFrame, book: RuleBook, segment: Segmenter) -> DataFrame:
@@ -180,7 +189,7 @@ def log_odds(counts: list, totals: dict[str, int], n_tokens: int) -> dict[str, f
 
 def fit(pages: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Segmenter, dict[str, float]]:
     """Unigram model and token weights; both are bounded by their documented sizes."""
-    words = top(word_counts(pages), F.desc("n"), MAX_WORDS)
+    words = top(materialize(word_counts(pages), "url-words"), MAX_WORDS)
     counts = {r.word: r.n for r in words}
     known = sum(counts.values())
     # seed words count as ordinary words of the language
@@ -189,7 +198,7 @@ def fit(pages: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Segmenter, dic
     found = _tokenized(pages, RuleBook(rules), segment).groupBy("token").agg(F.count("*").alias("n"), is_blocked)
     found = materialize(found, "url-tokens")
     n_tokens, n, blocked = (x or 0 for x in found.agg(F.count("*"), F.sum("n"), F.sum("blocked")).first())
-    weights = log_odds(top(found, F.desc("n"), MAX_TOKENS), {BLOCK: blocked, ALLOW: n - blocked}, n_tokens)
+    weights = log_odds(top(found, MAX_TOKENS), {BLOCK: blocked, ALLOW: n - blocked}, n_tokens)
     return segment, weights
 
 
