@@ -7,7 +7,9 @@ whatever share of the allowed names holds them.
 
 Word and token counts cover all pages and are added up before the shuffle; the two models that are broadcast are
 bounded by ``MAX_WORDS`` and ``MAX_TOKENS``. Judging is one pass without a shuffle, however common a host is. Classes
-weigh the same at the start, since the rules do not say how many of the other addresses are bad.
+weigh the same at the start, since the rules do not say how many of the other addresses are bad. Words of the rules
+themselves (``org``, ``de``) only tell that a rule decided, so the model leaves them out; and it blocks an address only
+at odds of ``MIN_ODDS`` to one, so that what no known word speaks against is allowed.
 
 Defined results: a null address, or one without ``://``, has an empty host and path, fits no rule and is allowed unless
 the model objects to an empty name; repeated pages are judged each; without rules or pages the seed words alone decide.
@@ -48,6 +50,8 @@ MAX_WORDS = 50_000
 MAX_TOKENS = 100_000
 MIN_WORD, MAX_WORD = 2, 24
 SMOOTHING = 1.0
+# An address is blocked if it is so many times likelier as a blocked one.
+MIN_ODDS = 10.0
 NUMBER = "<number>"
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+")
@@ -182,7 +186,7 @@ def log_odds(counts: list, totals: dict[str, int], n_tokens: int) -> dict[str, f
     def share(n: int, label: str) -> float:
         return (n + SMOOTHING) / (totals[label] + SMOOTHING * (n_tokens + 1))
 
-    odds = {r.token: math.log(share(r.blocked, BLOCK) / share(r.n - r.blocked, ALLOW)) for r in counts}
+    odds = {} if not (totals[BLOCK] and totals[ALLOW]) else {r.token: math.log(share(r.blocked, BLOCK) / share(r.n - r.blocked, ALLOW)) for r in counts}
     seeded = math.log(SEED_SHARE[BLOCK] / SEED_SHARE[ALLOW])
     return odds | {mark + word: seeded for word in SEEDS for mark in ("h:", "p:")}
 
@@ -199,11 +203,12 @@ def fit(pages: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Segmenter, dic
     found = materialize(found, "url-tokens")
     n_tokens, n, blocked = (x or 0 for x in found.agg(F.count("*"), F.sum("n"), F.sum("blocked")).first())
     weights = log_odds(top(found, MAX_TOKENS), {BLOCK: blocked, ALLOW: n - blocked}, n_tokens)
-    return segment, weights
+    of_rules = {t for rule, _ in rules for t in tokens(*split_url(f"://{rule}"), segment)}
+    return segment, {t: w for t, w in weights.items() if t not in of_rules}
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page, and the model's ``score`` (over 0: block)."""
+    """page_id, host, path, rule, verdict of every page, and the model's ``score``, the logarithm of the odds for blocking."""
     segment, weights = fit(pages, rules)
     segment.known.clear()
     spread = pages.sparkSession.sparkContext.broadcast((RuleBook(rules), segment, weights))
@@ -219,7 +224,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
                 host, path = split_url(raw and raw.decode())
                 rule = book.find(host, path)
                 score = sum(weights.get(t, 0.0) for t in tokens(host, path, segment))
-                verdict = rule[1] if rule else BLOCK if score > 0 else ALLOW
+                verdict = rule[1] if rule else BLOCK if score >= math.log(MIN_ODDS) else ALLOW
                 for column, value in zip(out.values(), (page, host, path, rule and rule[0], verdict, score)):
                     column.append(value)
             yield out
