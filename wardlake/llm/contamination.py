@@ -14,7 +14,6 @@ documents are handled row by row; an empty table on either side gives clean docu
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,27 +224,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         grams = docs.sparkSession.sparkContext.broadcast(NgramSet(part))
         out = keep_rows(out, lambda texts, grams=grams: [not spans for _, spans, _ in grams.value.scan(texts)])
     return out
-
-
-def brute_force(texts: dict[int, str | None], items: list[tuple[int, str | None]]) -> dict[int, tuple]:
-    """The same columns by plain comparison of every window; for tests."""
-    import re
-
-    def words(text: str | None) -> list[str]:
-        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
-
-    out = {}
-    for doc, text in texts.items():
-        own, hit, found = words(text), set(), set()
-        for item, passage in items:
-            theirs = words(passage)
-            k = min(WINDOW, len(theirs))
-            for i in range(len(theirs) - k + 1 if k else 0):
-                for j in range(len(own) - k + 1):
-                    if own[j : j + k] == theirs[i : i + k]:
-                        hit.update(range(j, j + k))
-                        found.add(item)
-        names = ",".join(sorted(map(str, found)))
-        out[doc] = (len(own), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
-    return out
