@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.joins import HOT_SHARE, components, hot_join, rows_with_ids
-from wardlake.llm.words import NOT_SPACE, Words, arrow_rows, chunks, mix, window_hashes
+from wardlake.llm.words import NOT_SPACE, Words, arrow_rows, chunks, mix, release_memory, window_hashes
 from wardlake.session import materialize
 
 TREES, LEAD = 20, 4
@@ -272,6 +272,7 @@ def _settled(dealt: DataFrame, k: int) -> DataFrame:
                     a.append(int(node[i]))
                     b.append(int(node[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        release_memory()
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 

@@ -136,7 +136,7 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) ->
             return out
 
         for batch in batches:
-            for lo, hi in chunks(batch["text"], 4 << 20):
+            for lo, hi in chunks(batch["text"], 2 << 20):
                 ids = encoder.encode(batch["text"][lo:hi])
                 # copies, since open windows would otherwise hold on to the whole batch
                 whole = (np.concatenate([i, end]) for i in ids)

@@ -13,18 +13,18 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 from wardlake.llm.words import NOT_SPACE, Words, chunks
 
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids one worker remembers (some 60 bytes each); then it starts anew.
-MAX_WORDS = 1_000_000
-MAX_CORES = 400_000
-# Longer words are encoded each time.
-MAX_WORD_BYTES = 64
-BATCH_BYTES = 3 << 20
+# Words that one worker remembers, and the ids they may have (some 45 MB together); then it starts anew.
+MAX_WORDS, MAX_IDS = 1_000_000, 5_000_000
+BATCH_BYTES = 1 << 20
+# Words given to the tokenizer at once.
+ENCODE_WORDS = 1000
 
 _TRAILING = b".,;:!?*#%$&|)"
 # first bytes of the combining marks U+0300 to U+036F in UTF-8
@@ -44,10 +44,13 @@ class WordTokenizer:
         self.starts = np.zeros(0, dtype=np.int64)
         self.counts = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
-        self.cores: dict[bytes, list[int]] = {}
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = []
+        # the library's result objects are far larger than the ids, so only few live at a time
+        for at in range(0, len(texts), ENCODE_WORDS):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + ENCODE_WORDS], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Little-endian uint32 ids of every text; null counts as empty."""
@@ -66,7 +69,7 @@ class WordTokenizer:
         if not len(words.hashes):
             return self.flat[:0], np.zeros(len(texts) + 1, dtype=np.int64)
         distinct, sample, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > MAX_WORDS:
+        if len(self.keys) + len(distinct) > MAX_WORDS or len(self.flat) > MAX_IDS:
             self._forget()
         at = np.searchsorted(self.keys, distinct)
         at[at == len(self.keys)] = 0
@@ -81,23 +84,29 @@ class WordTokenizer:
         return self.flat[source], ends[words.first]
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Remember the ids of new words, and of the parts that they consist of."""
         split = []
         for word in words:
             core = word.rstrip(_TRAILING)
             # a run of punctuation is one piece, so the rest must end in a letter or digit
-            split.append((core, word[len(core) :]) if core and _ends_word(core) else (word, b""))
-        if len(self.cores) > MAX_CORES:
-            self.cores.clear()
-        fresh = list({p for pair in split for p in pair if p and p not in self.cores})
-        found = dict(zip(fresh, self._encoded([p.decode() for p in fresh])))
-        self.cores.update((p, ids) for p, ids in found.items() if len(p) <= MAX_WORD_BYTES)
-        ids = []
-        for pair in split:
-            ids.append([i for p in pair if p for i in (found.get(p) or self.cores.get(p) or [])])
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype="<u4", count=int(counts.sum()))
+            split.append((core, word[len(core) :]) if core and _ends_word(core) else (word,))
+        parts = list({p for pair in split for p in pair if p})
+        hashes = Words(parts, NOT_SPACE).hashes
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == hashes if len(self.keys) else np.zeros(len(parts), dtype=bool)
+        ids: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(known):
+            ids[parts[i]] = self.flat[self.starts[at[i]] : self.starts[at[i]] + self.counts[at[i]]].tolist()
+        fresh = [parts[i] for i in np.flatnonzero(~known)]
+        ids.update(zip(fresh, self._encoded([p.decode() for p in fresh])))
+        made = [ids[pair[0]] if len(pair) == 1 or not pair[1] else ids[pair[0]] + ids[pair[1]] for pair in split]
+        made += [ids[p] for p in fresh]
+        keys, first = np.unique(np.concatenate([keys, hashes[~known]]), return_index=True)
+        made = [made[i] for i in first]
+        counts = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
         starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), dtype="<u4", count=int(counts.sum()))])
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.starts = np.insert(self.starts, place, starts)

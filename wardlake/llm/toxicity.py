@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.words import ALPHANUMERIC, Words, arrow_rows, chunks
+from wardlake.llm.words import ALPHANUMERIC, Words, arrow_rows, chunks, release_memory
 from wardlake.session import materialize
 
 # Most labelled documents that the lexicon is learned from.
@@ -188,7 +188,7 @@ def _document_counts(rows: DataFrame, candidates: frozenset[str] | None) -> Data
                             found = features(fold(word.decode()))
                             if candidates is not None:
                                 found = [f for f in found if f in candidates]
-                            if len(known) < MAX_KNOWN_WORDS // 4:
+                            if len(known) < MAX_KNOWN_WORDS // 16:
                                 known[word] = found
                         own.update(found)
                     total.update(own)
@@ -233,6 +233,7 @@ def with_density(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             density = pa.array(list(spread.value.densities(texts)), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), density], names=[*keep, "density"])
+        release_memory()
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "density double"]))
 

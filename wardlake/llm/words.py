@@ -6,6 +6,8 @@ A batch of texts is joined into one byte buffer; word borders come from a table
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 
 # Bytes of text handled at once; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 20
+# Rows of an Arrow batch turned into lists at once.
+PART_ROWS = 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -107,15 +111,29 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 def arrow_rows(
     df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: pa.Schema, ddl: str
 ) -> DataFrame:
-    """Map Arrow batches: ``fn`` gets each batch as lists by column (text as bytes) and yields columns of ``schema``."""
+    """Map Arrow batches: ``fn`` gets parts of them as lists by column (text as bytes) and yields columns of ``schema``.
+
+    Parts hold at most ``PART_ROWS`` rows, so that a worker copies little of a batch at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(as_lists(b) for b in batches):
+        parts = (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS))
+        for out in fn(as_lists(part) for part in parts):
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+        release_memory()
 
     return df.mapInArrow(run, ddl)
 
 
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system; workers live on and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def as_lists(batch: pa.RecordBatch) -> dict[str, list]:
     out = {}
     for name, column in zip(batch.schema.names, batch.columns):
@@ -134,5 +152,6 @@ def keep_rows(df: DataFrame, keep: Callable[[list[bytes | None]], Sequence[bool]
         for batch in batches:
             texts = as_lists(batch.select([text]))[text]
             yield batch.filter(pa.array([bool(k) for k in keep(texts)], pa.bool_()))
+        release_memory()
 
     return df.mapInArrow(run, df.schema)
