@@ -209,7 +209,9 @@ def deduplicated(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     )
     joined = rows.join(index.drops(docs), ["doc_id", "tag"], "left")
     text = F.col("row.text")
-    kept = F.when(F.col("positions").isNull(), text).otherwise(_without(text, F.col("positions")))
+    # only texts that lose lines travel to Python
+    losing = F.col("positions").isNotNull()
+    kept = F.when(losing, _without(F.when(losing, text), F.col("positions"))).otherwise(text)
     return joined.select(
         "row",
         kept.alias("text"),

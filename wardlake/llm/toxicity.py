@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.words import ALPHANUMERIC, Words, arrow_rows, chunks, release_memory
+from wardlake.llm.words import ALPHANUMERIC, Words, arrow_rows, chunks, keep_rows, release_memory
 from wardlake.session import materialize
 
 # Most labelled documents that the lexicon is learned from.
@@ -258,13 +258,18 @@ def log_density(density: Column) -> Column:
     return F.log1p(density * 100)
 
 
-def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, *keep: str) -> DataFrame:
-    """Columns ``keep`` and ``score`` (0 to 1) of every document."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Lexicon, float, float]:
+    """Lexicon, slope and offset learned from at most ``rows`` labelled documents."""
     training = materialize(training_rows(docs, labels, rows), "toxicity-training")
     lexicon = learn(training)
     x = F.round(log_density(F.col("density")), 2).alias("x")
     points = with_density(training, lexicon, "toxic").groupBy(x, "toxic").agg(F.count("*").alias("n"))
-    slope, offset = fit_curve([(r.x, r.toxic, r.n) for r in points.collect()])
+    return lexicon, *fit_curve([(r.x, r.toxic, r.n) for r in points.collect()])
+
+
+def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, *keep: str) -> DataFrame:
+    """Columns ``keep`` and ``score`` (0 to 1) of every document."""
+    lexicon, slope, offset = fit(docs, labels, rows)
     score = 1 / (1 + F.exp(-(F.lit(slope) * log_density(F.col("density")) + F.lit(offset))))
     return with_density(docs, lexicon, *keep).select(*keep, score.alias("score"))
 
@@ -277,6 +282,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` whose score is under ``threshold``, with all their columns."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    return scored(rows, labels, TRAIN_ROWS, "row").where(F.col("score") < threshold).select("row.*")
+    """Rows of ``docs`` whose score is under ``threshold``, with all their columns and without a shuffle."""
+    lexicon, slope, offset = fit(docs, labels)
+    spread = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def clean(texts: list[bytes | None]) -> list[bool]:
+        scores = (slope * math.log1p(100 * density) + offset for density in spread.value.densities(texts))
+        return [1 / (1 + math.exp(-score)) < threshold for score in scores]
+
+    return keep_rows(docs, clean)

@@ -149,9 +149,9 @@ def keep_rows(df: DataFrame, keep: Callable[[list[bytes | None]], Sequence[bool]
     """Rows whose texts ``keep`` accepts, batch by batch, with all columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_lists(batch.select([text]))[text]
-            yield batch.filter(pa.array([bool(k) for k in keep(texts)], pa.bool_()))
+        for part in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
+            texts = as_lists(part.select([text]))[text]
+            yield part.filter(pa.array([bool(k) for k in keep(texts)], pa.bool_()))
         release_memory()
 
     return df.mapInArrow(run, df.schema)
