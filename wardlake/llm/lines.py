@@ -198,6 +198,10 @@ def _without(text: pd.Series, positions: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+# so that a plan which uses the text in several places runs it once
+_without = _without.asNondeterministic()
+
+
 def deduplicated(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """Rows ``(row, text, n_lines, n_dropped)``: the row as it was, its text without the dropped lines, the counts.
 
