@@ -77,3 +77,13 @@ def test_top_counts_stay_within_the_limit(spark):
     assert 150 < len(got) <= 300
     assert min(r.n for r in got) > 70
     assert len(u.top(counts, 5000)) == 1000 and u.top(counts, 0) == []
+
+
+def test_rare_words_count_however_many_words_there_are(spark):
+    # 60,000 commoner words stand before the two that decide
+    words = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q" for i in range(60_000))
+    rows = [(0, "http://a.fine/", f"<p>{words} {words}</p>"), (1, "http://a.fine/", "<p>zzuno zzdue</p>")]
+    rows += [(2 + i, "http://zzdue.evil/", "") for i in range(5)] + [(9, "http://zzunozzdue.other/", None)]
+    got = {r.page_id: r for r in u.judged(frame(spark, rows), [("fine/", "allow"), ("evil/", "block")]).collect()}
+    # the rare word is split off, and weighs
+    assert len(got) == len(rows) and got[9].score > 1 and got[9].rule is None

@@ -5,9 +5,10 @@ probabilities counted in the text of all pages). The tokens of host and path fee
 learns from the addresses that the rules decide, and from a short list of seed words that always count for blocking,
 whatever share of the allowed names holds them.
 
-Word and token counts cover all pages and are added up before the shuffle; the two models that are broadcast are
-bounded by ``MAX_WORDS`` and ``MAX_TOKENS``. Judging is one pass without a shuffle, however common a host is. Classes
-weigh the same at the start, since the rules do not say how many of the other addresses are bad. Words of the rules
+Word and token counts cover all pages and are added up before the shuffle. They stay tables, whatever their number: each
+distinct letter run of the addresses is joined to the words that stand in it and split on its own, its tokens are joined
+to their weights, and pages are judged in blocks of rows with the weights of the block's distinct runs, so that a common
+host or run counts once per block. Nothing that grows is broadcast or collected. Classes weigh the same at the start, since the rules do not say how many of the other addresses are bad. Words of the rules
 themselves (``org``, ``de``) only tell that a rule decided, so the model leaves them out; and it blocks an address only
 at odds of ``MIN_ODDS`` to one, so that what no known word speaks against is allowed.
 
@@ -22,7 +23,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.words import arrow_rows
@@ -46,13 +47,14 @@ SEEDS += ("phishing", "pills", "poker", "porn", "replica", "scam", "sex", "slots
 # How likely a seed word is as a token of a blocked or an allowed address.
 SEED_SHARE = {BLOCK: 1e-2, ALLOW: 1e-4}
 
-MAX_WORDS = 50_000
-MAX_TOKENS = 100_000
 MIN_WORD, MAX_WORD = 2, 24
 SMOOTHING = 1.0
 # An address is blocked if it is so many times likelier as a blocked one.
 MIN_ODDS = 10.0
 NUMBER = "<number>"
+# Pages judged at once, as a power of two, and candidates for words handed on at once.
+BLOCK_BITS = 12
+PARTS_AT_ONCE = 50_000
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+")
 
@@ -90,8 +92,8 @@ class RuleBook:
 class Segmenter:
     """Splits a run of letters into its most probable words."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
         # an unknown word gets less likely tenfold with every letter
@@ -129,13 +131,15 @@ class Segmenter:
         return words[::-1]
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Host words (marked), path words (plain), every number as one token."""
-    out = []
-    for mark, text in (("h:", host), ("p:", path.lower())):
-        for part in _TOKEN.findall(text):
-            out += [mark + NUMBER] if part[0].isdigit() else [mark + w for w in segment(part)]
-    return out
+def marked_runs(host: str, path: str) -> list[str]:
+    """Letter runs of host (``h:``) and path (``p:``) with their marks; every number is the same run."""
+    parts = [(mark, part) for mark, text in (("h:", host), ("p:", path.lower())) for part in _TOKEN.findall(text)]
+    return [mark + (NUMBER if part[0].isdigit() else part) for mark, part in parts]
+
+
+def tokens_of(run: str, segment: Segmenter) -> list[str]:
+    """Words of a marked run, each with its mark."""
+    return [run] if run[2:] == NUMBER else [run[:2] + w for w in segment(run[2:])]
 
 
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -159,75 +163,143 @@ def top(counts: DataFrame, limit: int) -> list:
     return [] if cut is None else counts.where(level >= cut).collect()
 
 
-def _tokenized(pages: DataFrame, book: RuleBook, segment: Segmenter) -> DataFrame:
-    """(label, token) of the addresses that a rule decides."""
-    spread = pages.sparkSession.sparkContext.broadcast((book, segment))
-    schema = pa.schema([("label", pa.string()), ("tokens", pa.list_(pa.string()))])
+def _placed(pages: DataFrame) -> DataFrame:
+    """page_id, url and the block of ``1 << BLOCK_BITS`` rows at most, written once so that blocks stay as they are."""
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")
+    return materialize(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", block), "url-blocks")
+
+
+def _uses(placed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(block, run, n, blocked): marked runs of each block, and how often rules decide or block an address with them."""
+    book = RuleBook(rules)
+    schema = pa.schema([("block", pa.int64()), ("run", pa.string()), ("n", pa.int64()), ("blocked", pa.int64())])
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
-        book, segment = spread.value
         for batch in batches:
-            labels, found = [], []
-            for raw in batch["url"]:
+            found: dict[tuple[int, str], list[int]] = {}
+            for block, raw in zip(batch["block"], batch["url"]):
                 host, path = split_url(raw and raw.decode())
                 rule = book.find(host, path)
-                if rule:
-                    labels.append(rule[1])
-                    found.append(tokens(host, path, segment))
-            yield {"label": labels, "tokens": found}
+                for name in marked_runs(host, path):
+                    counts = found.setdefault((block, name), [0, 0])
+                    counts[0] += rule is not None
+                    counts[1] += rule is not None and rule[1] == BLOCK
+            columns = ([k[0] for k in found], [k[1] for k in found], [n for n, _ in found.values()], [b for _, b in found.values()])
+            yield dict(zip(schema.names, columns))
 
-    rows = arrow_rows(pages.select("url"), run, schema, "label string, tokens array<string>")
-    return rows.select("label", F.explode("tokens").alias("token"))
+    rows = arrow_rows(placed.select("block", "url"), run, schema, "block bigint, run string, n bigint, blocked bigint")
+    return rows.groupBy("block", "run").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
 
 
-def log_odds(counts: list, totals: dict[str, int], n_tokens: int) -> dict[str, float]:
-    """Per token the logarithm of how much likelier it is in a blocked address."""
+def _parts(runs: DataFrame) -> DataFrame:
+    """(id, word): everything in a run that may be a word, some more than once if the run is very long."""
+    schema = pa.schema([("id", pa.int64()), ("word", pa.string())])
 
-    def share(n: int, label: str) -> float:
-        return (n + SMOOTHING) / (totals[label] + SMOOTHING * (n_tokens + 1))
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        for batch in batches:
+            ids: list[int] = []
+            words: list[str] = []
+            for at, raw in zip(batch["id"], batch["run"]):
+                name = raw.decode()[2:]
+                found: set[str] = set()
+                for i in range(len(name) if name != NUMBER else 0):
+                    found.update(name[i:j] for j in range(i + MIN_WORD, min(i + MAX_WORD, len(name)) + 1))
+                    if len(found) > PARTS_AT_ONCE:
+                        yield {"id": [at] * len(found), "word": list(found)}
+                        found = set()
+                ids += [at] * len(found)
+                words += found
+                if len(words) > PARTS_AT_ONCE:
+                    yield {"id": ids, "word": words}
+                    ids, words = [], []
+            yield {"id": ids, "word": words}
+
+    return arrow_rows(runs.select("id", "run"), run, schema, "id bigint, word string")
+
+
+def _segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """``runs`` with the ``tokens`` of each, split by the counts of all words that stand in it."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    # seed words count as ordinary words of the language
+    counted = {r.word: r.n for r in words.where(F.col("word").isin(*SEEDS)).collect()}
+    seeds = {w: max(counted.get(w, 0), 1 + total // 100_000) for w in SEEDS}
+    total += sum(seeds.values()) - sum(counted.values())
+    known = _parts(runs).join(words, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.string()))])
 
-    odds = {} if not (totals[BLOCK] and totals[ALLOW]) else {r.token: math.log(share(r.blocked, BLOCK) / share(r.n - r.blocked, ALLOW)) for r in counts}
-    seeded = math.log(SEED_SHARE[BLOCK] / SEED_SHARE[ALLOW])
-    return odds | {mark + word: seeded for word in SEEDS for mark in ("h:", "p:")}
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        for batch in batches:
+            split = []
+            for raw, found in zip(batch["run"], batch["known"]):
+                name = raw.decode()
+                counts = {r["word"]: r["n"] for r in found or ()} | {w: n for w, n in seeds.items() if w in name}
+                split.append(tokens_of(name, Segmenter(counts, total)))
+            yield {"id": batch["id"], "tokens": split}
 
+    rows = runs.select("id", "run").join(known, "id", "left")
+    tokens = arrow_rows(rows, run, schema, "id bigint, tokens array<string>")
+    return runs.join(tokens, "id")
 
-def fit(pages: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Segmenter, dict[str, float]]:
-    """Unigram model and token weights; both are bounded by their documented sizes."""
-    words = top(materialize(word_counts(pages), "url-words"), MAX_WORDS)
-    counts = {r.word: r.n for r in words}
-    known = sum(counts.values())
-    # seed words count as ordinary words of the language
-    segment = Segmenter(counts | {w: max(counts.get(w, 0), 1 + known // 100_000) for w in SEEDS})
-    is_blocked = F.sum((F.col("label") == BLOCK).cast("bigint")).alias("blocked")
-    found = _tokenized(pages, RuleBook(rules), segment).groupBy("token").agg(F.count("*").alias("n"), is_blocked)
-    found = materialize(found, "url-tokens")
+
+def log_odds(found: DataFrame, of_rules: Sequence[str]) -> DataFrame:
+    """(token, weight): the logarithm of how much likelier a token is in a blocked address; 0 for all tokens not in it."""
     n_tokens, n, blocked = (x or 0 for x in found.agg(F.count("*"), F.sum("n"), F.sum("blocked")).first())
-    weights = log_odds(top(found, MAX_TOKENS), {BLOCK: blocked, ALLOW: n - blocked}, n_tokens)
-    of_rules = {t for rule, _ in rules for t in tokens(*split_url(f"://{rule}"), segment)}
-    return segment, {t: w for t, w in weights.items() if t not in of_rules}
+    totals = {BLOCK: blocked, ALLOW: n - blocked}
+
+    def share(n: Column, label: str) -> Column:
+        return (n + SMOOTHING) / (totals[label] + SMOOTHING * (n_tokens + 1))
+
+    learned = F.lit(0.0)
+    if totals[BLOCK] and totals[ALLOW]:
+        learned = F.log(share(F.col("blocked"), BLOCK) / share(F.col("n") - F.col("blocked"), ALLOW))
+    seeded = math.log(SEED_SHARE[BLOCK] / SEED_SHARE[ALLOW])
+    seeds = [(mark + word, seeded) for word in SEEDS for mark in ("h:", "p:")]
+    seeds = found.sparkSession.createDataFrame(seeds, "token string, seeded double")
+    weights = found.join(seeds, "token", "full").select("token", F.coalesce("seeded", learned).alias("weight"))
+    return weights.where(~F.col("token").isin(*of_rules)) if of_rules else weights
+
+
+def run_weights(uses: DataFrame, pages: DataFrame, rules: Sequence[Rule] = RULES, html: str = "html") -> DataFrame:
+    """(run, weight) of the marked runs whose words speak for or against blocking."""
+    spark = pages.sparkSession
+    words = materialize(word_counts(pages, html), "url-words")
+    rule_runs = [(run, 0, 0) for rule, _ in rules for run in marked_runs(*split_url(f"://{rule}"))]
+    runs = uses.select("run", "n", "blocked").union(spark.createDataFrame(rule_runs, "run string, n bigint, blocked bigint"))
+    runs = runs.groupBy("run").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    runs = materialize(runs.withColumn("id", F.monotonically_increasing_id()), "url-runs")
+    split = materialize(_segmented(runs, words), "url-split")
+    found = split.where("n > 0").select(F.explode("tokens").alias("token"), "n", "blocked")
+    found = materialize(found.groupBy("token").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), "url-tokens")
+    # the rules are a short fixed list
+    of_rules = split.where(F.col("run").isin(*{run for run, _, _ in rule_runs})).select(F.explode("tokens")) if rule_runs else None
+    weights = log_odds(found, sorted({r[0] for r in of_rules.collect()}) if rule_runs else ())
+    # summed as decimals, so that the order of rows does not matter
+    weight = F.sum(F.col("weight").cast("decimal(38,12)")).cast("double").alias("weight")
+    by_id = split.select("id", F.explode("tokens").alias("token")).join(weights, "token").groupBy("id").agg(weight)
+    return split.select("id", "run").join(by_id, "id").where("weight <> 0").select("run", "weight")
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page, and the model's ``score``, the logarithm of the odds for blocking."""
-    segment, weights = fit(pages, rules)
-    segment.known.clear()
-    spread = pages.sparkSession.sparkContext.broadcast((RuleBook(rules), segment, weights))
+    placed = _placed(pages)
+    uses = materialize(_uses(placed, rules), "url-uses")
+    weights = uses.select("block", "run").join(run_weights(uses, pages, rules), "run").select("block", "run", "weight")
+    book = RuleBook(rules)
     fields = [("page_id", pa.int64())]
     fields += [(name, pa.string()) for name in ("host", "path", "rule", "verdict")] + [("score", pa.float64())]
     schema = pa.schema(fields)
 
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
-        book, segment, weights = spread.value
-        for batch in batches:
-            out: dict[str, list] = {name: [] for name in schema.names}
-            for page, raw in zip(batch["page_id"], batch["url"]):
-                host, path = split_url(raw and raw.decode())
-                rule = book.find(host, path)
-                score = sum(weights.get(t, 0.0) for t in tokens(host, path, segment))
-                verdict = rule[1] if rule else BLOCK if score >= math.log(MIN_ODDS) else ALLOW
-                for column, value in zip(out.values(), (page, host, path, rule and rule[0], verdict, score)):
-                    column.append(value)
-            yield out
+    def judge(block: pa.Table, known: pa.Table) -> pa.Table:
+        weights = dict(zip(known["run"].to_pylist(), known["weight"].to_pylist()))
+        out: dict[str, list] = {name: [] for name in schema.names}
+        for page, url in zip(block["page_id"].to_pylist(), block["url"].to_pylist()):
+            host, path = split_url(url)
+            rule = book.find(host, path)
+            score = sum(weights.get(run, 0.0) for run in marked_runs(host, path))
+            verdict = rule[1] if rule else BLOCK if score >= math.log(MIN_ODDS) else ALLOW
+            for column, value in zip(out.values(), (page, host, path, rule and rule[0], verdict, score)):
+                column.append(value)
+        return pa.Table.from_pydict(out, schema=schema)
 
     ddl = "page_id bigint, host string, path string, rule string, verdict string, score double"
-    return arrow_rows(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url"), run, schema, ddl)
+    return placed.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(judge, ddl)
