@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlake.models import automl, risk
 from wardlake.operators import model_eval as ops
+from wardlake.plans import models as plans
 
 
 def brute_auc(rows):
@@ -185,3 +186,17 @@ def test_risk_models_are_trained_stored_chosen_and_used(spark, tmp_path):
     assert one == two and len(one) == stays.count() and all(0 <= v <= 100 for v in one.values())
     folds = risk.cross_validate(stays, best, FLAGS, VITALS, small, [target], folds=2).collect()
     assert {r["metric"] for r in folds} == set(risk.CV_METRICS) and all(0 <= r["mean"] <= 1 for r in folds)
+
+
+@pytest.mark.parametrize("name", ["train_risk_models", "cross_validate", "risk_scores"])
+def test_registered_queries_fit_the_full_sizes(monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(plans, "stay_features", lambda spark, d: None)
+    monkeypatch.setattr(plans.ops, "model_metrics", lambda scores, groups: None)
+    monkeypatch.setattr(risk, "train_all", lambda f, flags, vitals, s=None: (seen.append(s or risk.Settings()), ({}, None))[1])
+    monkeypatch.setattr(risk, "cross_validate", lambda f, best, flags, vitals, s=None: seen.append(s or risk.Settings()))
+    monkeypatch.setattr(risk, "best_models", lambda metrics: {})
+    monkeypatch.setattr(risk, "score_stays", lambda f, models, best: None)
+    getattr(plans, name)(None, "")
+    full = risk.Settings(trees=300, forest_depth=30, rounds=300, max_iter=1000)
+    assert seen == [full] * (2 if name == "cross_validate" else 1)

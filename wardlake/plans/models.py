@@ -13,8 +13,6 @@ from wardlake.plans.features import FLAGS, VITALS, assembled_of
 from wardlake.plans.registry import query
 from wardlake.session import materialize, scratch_path
 
-# smaller estimators than the defaults, so that the registered queries stay quick on one machine
-QUICK = risk.Settings(trees=10, forest_depth=5, rounds=5, max_iter=20)
 MULTIPLIERS = {"one": 2654435761, "two": 2246822519, "three": 3266489917}
 
 
@@ -114,22 +112,22 @@ def stay_features(spark, d):
 
 @query("train_risk_models")
 def train_risk_models(spark, d):
-    _, scores = risk.train_all(stay_features(spark, d), FLAGS, VITALS, QUICK)
+    _, scores = risk.train_all(stay_features(spark, d), FLAGS, VITALS, risk.Settings())
     return ops.model_metrics(scores, GROUPS)
 
 
 @query("cross_validate")
 def cross_validate(spark, d):
     features = stay_features(spark, d)
-    _, scores = risk.train_all(features, FLAGS, VITALS, QUICK)
+    _, scores = risk.train_all(features, FLAGS, VITALS, risk.Settings())
     best = risk.best_models(ops.model_metrics(scores, GROUPS))
-    return risk.cross_validate(features, best, FLAGS, VITALS, QUICK)
+    return risk.cross_validate(features, best, FLAGS, VITALS, risk.Settings())
 
 
 @query("risk_scores")
 def risk_scores(spark, d):
     features = stay_features(spark, d)
-    models, scores = risk.train_all(features, FLAGS, VITALS, QUICK)
+    models, scores = risk.train_all(features, FLAGS, VITALS, risk.Settings())
     best = risk.best_models(ops.model_metrics(scores, GROUPS))
     return risk.score_stays(features, models, best)
 
