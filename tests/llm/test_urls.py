@@ -87,3 +87,11 @@ def test_rare_words_count_however_many_words_there_are(spark):
     got = {r.page_id: r for r in u.judged(frame(spark, rows), [("fine/", "allow"), ("evil/", "block")]).collect()}
     # the rare word is split off, and weighs
     assert len(got) == len(rows) and got[9].score > 1 and got[9].rule is None
+
+
+def test_counts_outweigh_seed_words(spark):
+    rows = [(i, f"http://farm.fine/{i}", "") for i in range(60)] + [(100 + i, f"http://lottery.evil/{i}", "") for i in range(60)]
+    rows += [(200, "http://farm.other/", ""), (201, "http://casino.other/", ""), (202, "http://lottery-casino.other/", "")]
+    got = {r.page_id: r for r in u.judged(frame(spark, rows), [("fine/", "allow"), ("evil/", "block")]).collect()}
+    # sixty allowed addresses speak for one seed word, none for the other
+    assert (got[200].verdict, got[201].verdict, got[202].verdict) == ("allow", "block", "block")

@@ -2,8 +2,8 @@
 
 Names such as ``cheapflightstoday`` are split by the most probable sequence of known words (Viterbi over unigram
 probabilities counted in the text of all pages). The tokens of host and path feed a multinomial naive Bayes model. It
-learns from the addresses that the rules decide, and from a short list of seed words that always count for blocking,
-whatever share of the allowed names holds them.
+learns from the addresses that the rules decide, and from a short list of seed words that count for blocking from the
+start, as if some blocked addresses held them, until the allowed addresses with them outweigh that.
 
 Word and token counts cover all pages and are added up before the shuffle. They stay tables, whatever their number: each
 distinct letter run of the addresses is joined to the words that stand in it and split on its own, its tokens are joined
@@ -44,7 +44,7 @@ RULES: tuple[Rule, ...] = (
 # Words that count for blocking from the start.
 SEEDS = ("adult", "bet", "betting", "bonus", "casino", "cheap", "clickbait", "farm", "gamble", "hack", "malware", "pharma")
 SEEDS += ("phishing", "pills", "poker", "porn", "replica", "scam", "sex", "slots", "spam", "viagra", "warez", "xxx")
-# How likely a seed word is as a token of a blocked or an allowed address.
+# How likely a seed word is as a token of a blocked or an allowed address, before any is counted.
 SEED_SHARE = {BLOCK: 1e-2, ALLOW: 1e-4}
 
 MIN_WORD, MAX_WORD = 2, 24
@@ -246,16 +246,21 @@ def log_odds(found: DataFrame, of_rules: Sequence[str]) -> DataFrame:
     n_tokens, n, blocked = (x or 0 for x in found.agg(F.count("*"), F.sum("n"), F.sum("blocked")).first())
     totals = {BLOCK: blocked, ALLOW: n - blocked}
 
+    # smoothed size of a class; without both classes nothing but the seeds' own counts is known
+    known = totals[BLOCK] and totals[ALLOW]
+    size = {label: total + SMOOTHING * (n_tokens + 1) if known else 1.0 for label, total in totals.items()}
+    # what an unseen seed word has beyond smoothing in the blocked class, in proportion to that class's size
+    prior = SMOOTHING * (SEED_SHARE[BLOCK] / SEED_SHARE[ALLOW] - 1) * max(1.0, size[BLOCK] / size[ALLOW])
+
     def share(n: Column, label: str) -> Column:
-        return (n + SMOOTHING) / (totals[label] + SMOOTHING * (n_tokens + 1))
-
-    learned = F.lit(0.0)
-    if totals[BLOCK] and totals[ALLOW]:
-        learned = F.log(share(F.col("blocked"), BLOCK) / share(F.col("n") - F.col("blocked"), ALLOW))
-    seeded = math.log(SEED_SHARE[BLOCK] / SEED_SHARE[ALLOW])
-    seeds = [(mark + word, seeded) for word in SEEDS for mark in ("h:", "p:")]
-    seeds = found.sparkSession.createDataFrame(seeds, "token string, seeded double")
-    weights = found.join(seeds, "token", "full").select("token", F.coalesce("seeded", learned).alias("weight"))
+        return (F.coalesce(n, F.lit(0)) + SMOOTHING) / size[label]
+
+    seeds = [(mark + word, prior) for word in SEEDS for mark in ("h:", "p:")]
+    seeds = found.sparkSession.createDataFrame(seeds, "token string, prior double")
+    given = F.coalesce("prior", F.lit(0.0))
+    learned = F.log(share(F.col("blocked"), BLOCK) + given / size[BLOCK]) - F.log(share(F.col("n") - F.col("blocked"), ALLOW))
+    weight = learned if known else F.log(1 + given / SMOOTHING)
+    weights = found.join(seeds, "token", "full").select("token", weight.alias("weight"))
     return weights.where(~F.col("token").isin(*of_rules)) if of_rules else weights
 
 
