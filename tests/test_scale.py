@@ -60,3 +60,17 @@ def test_exact_quantiles_single_value_and_nulls(spark):
 def test_fits_rows(spark):
     assert scale.fits_rows(spark.range(5), 5)
     assert not scale.fits_rows(spark.range(6), 5)
+
+
+def test_sorted_running_equals_plain_window_with_hot_and_null_keys(spark):
+    df = skewed(spark).withColumn("k", F.when(F.col("k") != "k3", F.col("k"))).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    got = scale.sorted_running(df, ["k"], [F.col("t"), F.col("id")], {"upto": F.col("v")})
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(order).alias("upto"))
+    assert sorted(map(tuple, got.drop("__part").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    hot = got.where("k = 'hot'").groupBy("__part").count().collect()
+    assert len(hot) > 1 and max(r["count"] for r in hot) < 2000  # the hot key fills several partitions
+    empty = scale.sorted_running(df.limit(0), ["k"], [F.col("t")], {"upto": F.col("v")})
+    assert empty.count() == 0

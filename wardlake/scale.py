@@ -4,6 +4,7 @@
   inside the key; a window over the (small) bucket totals gives the carry, a window inside each
   bucket gives the rest. The widest task sees one bucket, not one key.
 * ``row_numbers``: the same for ``row_number``.
+* ``sorted_running``: the same without a bucket column: the rows are range-sorted and the partitions are the buckets.
 * ``exact_quantiles``: interpolated quantiles without one task holding every value.
 """
 
@@ -16,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlake.session import materialize
+
 # Distinct values that the `percentile` buffers of one aggregation, over all its columns together, may hold before the
 # ranked path is used.
 MAX_QUANTILE_STATE = 1_000_000
@@ -90,6 +93,24 @@ def row_numbers(
     return running(df, keys, bucket, order, {name: one}, {total: one} if total else None)
 
 
+def sorted_running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, Column],
+    name: str = "sorted",
+) -> DataFrame:
+    """Add inclusive running sums per key along ``order``, and ``__part``, the range partition of the row.
+
+    The rows are range-partitioned by (keys, order), so a hot key spreads over as many tasks as its rows need and only
+    rows equal in all of ``order`` must share one; they are written once, so that every later use sees the same
+    partitions. Then the totals of each (key, partition) carry over as in ``running``. Null keys are a key like others.
+    """
+    part = F.spark_partition_id()
+    laid = materialize(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__part", part), name)
+    return running(laid, keys, F.col("__part"), order, sums)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
