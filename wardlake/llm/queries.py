@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import chat, contamination, digests, lines, minhash, packing, sharding, toxicity, urls, warc
+from wardlake.llm import chat, contamination, digests, lines, minhash, mixing, packing, sharding, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,3 +76,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query("op13_mix_sources", mixing.MIXED_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
