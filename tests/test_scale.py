@@ -15,12 +15,13 @@ def skewed(spark, n=4000):
 
 def test_running_equals_plain_window(spark):
     df = skewed(spark)
-    got = scale.running(df, ["k"], F.floor(F.col("t") / 10), [F.col("t"), F.col("id")], {"upto": F.col("v")}, {"all": F.col("v")})
+    got = scale.running(df, ["k"], F.floor(F.col("t") / 10), [F.col("t"), F.col("id")], {"upto": F.col("v")}, {"all": F.col("v")}, {"x": F.col("id")})
     order = Window.partitionBy("k").orderBy("t", "id")
     want = df.select(
         "*",
         F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.sum("v").over(Window.partitionBy("k")).alias("all"),
+        F.bit_xor("id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x"),
     )
     assert sorted(got.collect()) == sorted(want.collect())
 

@@ -50,18 +50,21 @@ def running(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     totals: Mapping[str, Column] | None = None,
+    xors: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per key, ordered by (bucket, order).
 
     ``bucket`` must never decrease along ``order`` and ``order`` must be unique inside a bucket.
     ``totals`` adds whole-key sums, computed from the bucket totals, so they cost no extra pass.
+    ``xors`` adds running exclusive-ors of integers.
     """
-    totals = dict(totals or {})
+    totals, xors = dict(totals or {}), dict(xors or {})
     keyed = df.withColumn("__bucket", bucket)
     group = [*keys, "__bucket"]
     parts = keyed.groupBy(*group).agg(
         *[F.sum(c).alias(f"__part_{n}") for n, c in sums.items()],
         *[F.sum(c).alias(f"__all_{n}") for n, c in totals.items()],
+        *[F.bit_xor(c).alias(f"__part_{n}") for n, c in xors.items()],
     )
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -69,14 +72,20 @@ def running(
         *group,
         *[F.coalesce(F.sum(f"__part_{n}").over(before), F.lit(0)).alias(f"__carry_{n}") for n in sums],
         *[F.sum(f"__all_{n}").over(whole).alias(n) for n in totals],
+        *[F.coalesce(F.bit_xor(f"__part_{n}").over(before), F.lit(0)).alias(f"__carry_{n}") for n in xors],
     )
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = keyed.select("*", *[F.sum(c).over(inside).alias(f"__in_{n}") for n, c in sums.items()])
+    local = keyed.select(
+        "*",
+        *[F.sum(c).over(inside).alias(f"__in_{n}") for n, c in sums.items()],
+        *[F.bit_xor(c).over(inside).alias(f"__in_{n}") for n, c in xors.items()],
+    )
     joined = null_safe_join(local, carry, group)
     return joined.select(
         *df.columns,
         *[(F.col(f"__carry_{n}") + F.col(f"__in_{n}")).alias(n) for n in sums],
         *[F.col(n) for n in totals],
+        *[F.col(f"__carry_{n}").bitwiseXOR(F.col(f"__in_{n}")).alias(n) for n in xors],
     )
 
 
