@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import chat, contamination, digests, lines, minhash, mixing, packing, sharding, toxicity, urls, warc
+from wardlake.llm import chat, contamination, digests, lines, minhash, mixing, packing, sharding, toxicity, tries, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,3 +81,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_mix_sources", mixing.MIXED_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", tries.TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.shared_head_trie(table(spark, sf_dir, "conversations"))
