@@ -57,23 +57,16 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int =
     level = [full_at, F.col("__rank")]
     sums = {"__caps": cap.cast(WIDE), "__weights": weight.cast(WIDE)}
     filled = sorted_running(weighed.withColumn("__full_at", full_at), [], level, sums, "mix-levels").drop("__part")
-    whole = filled.agg(
-        F.coalesce(F.max("__weights"), F.lit(0)).cast("decimal(19,0)").alias("__all_weights"),
-        F.coalesce(F.sum("source_size"), F.lit(0)).cast("decimal(19,0)").alias("__total"),
-    )
-    placed = filled.crossJoin(F.broadcast(whole))  # one row
-    left_weight = (F.col("__all_weights") - F.col("__weights") + weight).cast("decimal(17,0)")
-    left_words = (F.col("__total") * F.lit(percent) - (F.col("__caps") - cap) * F.lit(100)).cast("decimal(26,0)")
+    all_weights, total = (int(x or 0) for x in filled.agg(F.max("__weights"), F.sum("source_size")).first())
+    left_weight = (F.lit(all_weights) - F.col("__weights") + weight).cast("decimal(17,0)")
+    left_words = (F.lit(total * percent) - (F.col("__caps") - cap) * F.lit(100)).cast("decimal(26,0)")
     full = (cap * left_weight).cast("decimal(35,0)") * F.lit(100) < left_words * weight
-    marked = materialize(placed.withColumn("__full", full), "mix-full")
-    rest = marked.agg(
-        F.coalesce(F.sum(F.when(F.col("__full"), cap)), F.lit(0)).cast(WIDE).alias("__full_caps"),
-        F.coalesce(F.sum(F.when(~F.col("__full"), weight)), F.lit(1)).cast("double").alias("__open_weight"),
-    )
-    words = (F.col("__total") * F.lit(percent) - F.col("__full_caps") * F.lit(100)).cast("double")
-    share = F.col("__weight").cast("double") * words / (F.col("__open_weight") * F.lit(100.0))
+    marked = materialize(filled.withColumn("__full", full), "mix-full")
+    full_caps, open_weight = marked.agg(F.sum(F.when(F.col("__full"), cap)), F.sum(F.when(~F.col("__full"), weight))).first()
+    words = float(total * percent - int(full_caps or 0) * 100)
+    share = F.col("__weight").cast("double") * F.lit(words) / F.lit(float(open_weight or 1) * 100.0)
     target = F.when(F.col("__full"), cap.cast("double")).otherwise(share)
-    return marked.crossJoin(F.broadcast(rest)).select(*sources.columns, target.alias("target"))
+    return marked.select(*sources.columns, target.alias("target"))
 
 
 def _source_key(source: Column) -> Column:
