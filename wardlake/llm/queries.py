@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import chat, contamination, digests, lines, minhash, mixing, packing, sharding, toxicity, tries, urls, warc
+from wardlake.llm import chat, contamination, digests, lines, minhash, mixing, packing, sharding, toxicity, tries, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,3 +86,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_prefix_trie", tries.TRIE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_whiten")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.judged(table(spark, sf_dir, "embeddings"))
