@@ -9,29 +9,56 @@ DOCS = "doc_id bigint, text string, score string, density int, toxic int"
 LABELS = "doc_id bigint, toxic int, text string"
 
 
+DISGUISES = {
+    "1D10T": "idiot", "іdіоt": "idiot", "idiοt": "idiot", "ιdιοτ": "idiot", "IDІОТ": "idiot", "mοrοn": "moron", "ΜΟRΟΝ": "moron",
+    "αsshοle": "asshole", "@sshole": "asshole", "sсυm": "scum", "$cum": "scum", "$tupid": "stupid", "stup1d": "stupid",
+    "Տtupid": "stupid", "p@thetic": "pathetic", "lоѕеr": "loser", "tra$h": "trash", "cӏown": "clown", "wοrthlеss": "worthless",
+    "ԁumba$$": "dumbass", "ЅСUM": "scum", "f\u1d0f\u1d0fl": "fool", "lօser": "loser", "sհithead": "shithead",
+}
+
+
 def test_folding():
-    assert t.fold("1D10T") == "idiot" and t.fold("іdіоt") == "idiot" and t.fold("p@thetic") == "pathetic"
-    assert t.fold("$tupid$$") == "tupid" or t.fold("$tupid$$") == "stupid"
-    assert t.fold("12345") == "12345" and t.fold("«Été»") == "été"
+    for letter, latin in t.HOMOGLYPHS.items():
+        assert t.fold(f"x{letter}x") == f"x{latin}x"
+        assert not letter.isascii() and latin.isascii() and len(latin) == 1 and letter == letter.lower()
+    for letter, latin in t.CAPITALS.items():
+        assert t.fold(f"X{letter}X") == f"x{latin}x" and letter.isupper()
+    for sign, latin in t.SIGNS.items():
+        assert t.fold(f"x{sign}x") == f"x{latin}x"
+    for disguised, word in DISGUISES.items():
+        assert t.fold(disguised) == word, disguised
+    assert t.fold("12345") == "12345" and t.fold("$100") == "100" and t.fold("«Été»") == "été" and t.fold("$$") == ""
+    assert t.fold("idiot$") == "idiots" and t.readings("@idiot") == ["aidiot", "idiot"]
+    assert t.readings("$tupid$") == ["stupids", "tupid", "stupid"] and t.readings("plain") == ["plain"]
+
+
+def test_disguises_of_default_words_are_found():
+    lexicon = t.Lexicon({f"^{w}$": t.DEFAULT_WEIGHT for w in t.DEFAULT_LEXICON})
+    for disguised, word in DISGUISES.items():
+        if word in t.DEFAULT_LEXICON:
+            assert next(lexicon.densities([f"you {disguised} there".encode()])) > 0, disguised
+    for text in ("you @idiot", "you $tupid$", "you idiot$$", "a $100 note", "mail a@b"):
+        assert (next(lexicon.densities([text.encode()])) > 0) == ("idiot" in text or "tupid" in text), text
 
 
 def plain(lexicon, text):
     """The density by words, one at a time."""
     import re
 
-    words = [t.fold(w) for w in re.findall(r"[0-9A-Za-z@$\x80-\U0010ffff]+", text or "")]
+    raw = re.findall(r"[0-9A-Za-z@$\x80-\U0010ffff]+", text or "")
+    words = [t.fold(w) for w in raw]
     total = 0.0
     for i, w in enumerate(words):
         excused = any(words[i - k : i - k + len(e.split())] == e.split() for e in lexicon.exceptions for k in range(len(e.split())) if i >= k)
         if not excused:
-            total += max((v for e, v in lexicon.weights.items() if f"^{w}$".startswith(e)), default=0.0)
+            total += max((v for e, v in lexicon.weights.items() for r in t.readings(raw[i]) if f"^{r}$".startswith(e)), default=0.0)
     return total / (len(words) + t.LENGTH_OFFSET)
 
 
 def test_densities_against_plain_matching():
     rng = random.Random(16)
     lexicon = t.Lexicon({"^trash$": 3.0, "^idio": 2.0, "^idiot$": 5.0, "^clown$": 1.5})
-    words = ["trash", "can", "TR4SH", "idiots", "Idiot!", "class", "clown", "fish", "ordinary", "été", "ord", "$$", "idi"]
+    words = ["trash", "can", "TR4SH", "idiots", "Idiot!", "class", "clown", "fish", "ordinary", "été", "ord", "$$", "idi", "@idiot", "idiοt$"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(200)]
     texts += ["", "trash", "trash can", "class clown fish trash", "idiot " * 200_000]
     got = list(lexicon.densities([x.encode() for x in texts] + [None]))
@@ -69,6 +96,17 @@ def test_learned_lexicon_on_held_out_documents(spark):
     assert kept.count() == sum(1 - r.predicted for r in got)
 
 
+def test_words_of_few_documents_are_learned(spark):
+    """Toxic words that are each in one in a hundred toxic documents only."""
+    insults = [f"zib{a}{b}q" for a in "bcdfghjklm" for b in "aeiouwyzxv"]
+    rows = [(f"plain word number {i % 50} and {insults[i % 100]} again", 1) for i in range(1000)]
+    rows += [(f"plain word number {i % 50} and more again", 0) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "text string, toxic int").repartition(4)
+    weights = t.learn(frame).weights
+    assert all(t.Lexicon(weights).weight(w) > 2 for w in insults)
+    assert all(t.Lexicon(weights).weight(w) == 0 for w in ("plain", "word", "again", "more"))
+
+
 def test_default_lexicon_without_labels(spark):
     frame = spark.createDataFrame([(1, "you idiot, you moron", "", 0, 0), (2, "a fine day", "", 0, 0)], DOCS)
     got = {r.doc_id: r.predicted for r in t.judged(frame, spark.createDataFrame([], LABELS)).collect()}

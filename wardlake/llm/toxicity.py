@@ -1,14 +1,15 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded words, normalised by length, with exceptions.
 
-Folding turns homoglyphs of other alphabets and digits or signs written for letters into plain letters. The lexicon
-holds whole words and word beginnings that are much commoner in toxic documents; an entry's weight is the logarithm of
-that ratio. Words are found and hashed as arrays, each distinct word is folded and matched once per worker, and the
+Folding turns homoglyphs of other alphabets and digits or signs written for letters into plain letters; a sign at a
+word's border is read both as a letter and as no part of the word. The lexicon holds whole words and word beginnings
+that are much commoner in toxic documents, by more than chance explains; an entry's weight is the logarithm of that
+ratio. Words are found and hashed as arrays, each distinct word is folded and matched once per worker, and the
 weights of a document's words are added up and divided by its length. A hit inside an exception phrase does not count.
 A logistic curve over this density gives the score.
 
-Learning reads at most ``TRAIN_ROWS`` labelled documents outside the held-out third, chosen by hash. Candidates come
-from the toxic ones among them, so their number is bounded by ``MIN_SHARE``, whatever the size of the corpus; what goes
-to the executors is this lexicon. Scoring is one pass over all whole texts without a shuffle.
+Learning reads at most ``TRAIN_ROWS`` labelled documents outside the held-out third, chosen by hash, which bounds the
+entries whatever the size of the corpus. Spark counts and compares them, and only those that pass reach the driver; what
+goes to the executors is this lexicon. Scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts have no words and get the score of zero density; documents without a label are
 scored like others; a document labelled more than once counts as toxic if any label says so; without labelled rows of
@@ -33,10 +34,10 @@ from wardlake.session import materialize
 
 # Most labelled documents that the lexicon is learned from.
 TRAIN_ROWS = 50_000
-# An entry occurs in at least this share of the toxic documents, and in at least so many.
-MIN_SHARE, MIN_DOCUMENTS = 0.02, 3
-# Least logarithm of how much commoner an entry is in toxic documents.
-MIN_WEIGHT = 2.0
+# An entry occurs in at least so many toxic documents.
+MIN_DOCUMENTS = 3
+# Least logarithm of how much commoner an entry is in toxic documents, and how many of its standard errors are above 0.
+MIN_WEIGHT, SURE = 2.0, 3.0
 # Lengths of word beginnings that may become entries.
 STEMS = (4, 5, 6)
 STEM_GAIN = 1.3
@@ -55,10 +56,26 @@ EXCEPTIONS = ("class clown", "clown fish", "trash can", "trash bin", "recycle tr
 AROUND = 3
 
 # Letters of other alphabets that look like Latin ones, and digits and signs written for letters.
-HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁɡցհոսΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχ", "abekmhopctyxijsdggnousabezhikmnoptyxaiknoptux"[:46]))
+CYRILLIC = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
+    "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ո": "n", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t",
+    "υ": "u", "χ": "x", "ω": "w",
+}
+ARMENIAN = {"ց": "g", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "զ": "q", "ա": "w", "յ": "j"}
+# capitals whose small letter looks like another one
+CAPITALS = {
+    "Α": "a", "Β": "b", "Ε": "e", "Ζ": "z", "Η": "h", "Ι": "i", "Κ": "k", "Μ": "m", "Ν": "n", "Ο": "o", "Ρ": "p", "Τ": "t",
+    "Υ": "y", "Χ": "x", "Տ": "s", "Լ": "l",
+}
+LATIN = {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʏ": "y", "ᴏ": "o", "ſ": "s"}
+HOMOGLYPHS = CYRILLIC | GREEK | ARMENIAN | LATIN
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 _FOLD = str.maketrans(HOMOGLYPHS)
+_CAPITALS = str.maketrans(CAPITALS)
 _SIGNS = str.maketrans(SIGNS)
 # words also hold the two signs that stand for letters
 _WORD = ALPHANUMERIC.copy()
@@ -66,13 +83,20 @@ _WORD[[ord("@"), ord("$")]] = True
 
 
 def fold(word: str) -> str:
-    """A word as the lexicon sees it; pure numbers stay."""
-    word = word.strip("@$").lower()
-    if not word.isascii():
-        word = re.sub(r"^\W+|\W+$", "", word).translate(_FOLD)
-    if not word.isalpha() and any(c.isalpha() for c in word):
-        word = word.translate(_SIGNS)
-    return word
+    """A word as the lexicon sees it, signs read as letters; without any letter it stays, but for signs at its ends."""
+    if word.isascii():
+        word = word.lower()
+    else:
+        word = re.sub(r"^[^\w@$]+|[^\w@$]+$", "", word).translate(_CAPITALS).lower().translate(_FOLD)
+    if word.isalpha():
+        return word
+    return word.translate(_SIGNS) if any(c.isalpha() for c in word) else word.strip("@$")
+
+
+def readings(word: str) -> list[str]:
+    """The folded word, and where signs stand at its ends also without these: ``@name``, ``$word$``."""
+    bare = word.strip("@$")
+    return [fold(word)] if bare == word else list(dict.fromkeys((fold(word), fold(bare), fold(word.rstrip("@$")))))
 
 
 def features(word: str) -> list[str]:
@@ -115,6 +139,9 @@ class Lexicon:
             self._automata()
         return max((w for _, w in self._match.iter(f"^{folded}$")), default=0.0)
 
+    def word_weight(self, word: str) -> float:
+        return max(map(self.weight, readings(word)))
+
     def _word_weights(self, words: Words) -> np.ndarray:
         distinct, sample, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self._keys) + len(distinct) > MAX_KNOWN_WORDS:
@@ -123,7 +150,7 @@ class Lexicon:
         known = np.zeros(len(distinct), dtype=bool)
         inside = at < len(self._keys)
         known[inside] = self._keys[at[inside]] == distinct[inside]
-        fresh = [self.weight(fold(words.word(i).decode())) for i in sample[~known]]
+        fresh = [self.word_weight(words.word(i).decode()) for i in sample[~known]]
         self._keys = np.insert(self._keys, at[~known], distinct[~known])
         self._values = np.insert(self._values, at[~known], fresh)
         return self._values[np.searchsorted(self._keys, distinct)][which]
@@ -170,32 +197,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def _document_counts(rows: DataFrame, candidates: frozenset[str] | None) -> DataFrame:
-    """(entry, n): in how many texts an entry, among ``candidates`` if given, occurs."""
-    schema = pa.schema([("entry", pa.string()), ("n", pa.int64())])
+def _document_counts(rows: DataFrame) -> DataFrame:
+    """(entry, toxic, clean): in how many toxic and other texts an entry occurs."""
+    schema = pa.schema([("entry", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         known: dict[bytes, list[str]] = {}
         for batch in batches:
-            total: Counter[str] = Counter()
             for lo, hi in chunks(batch["text"]):
                 words = Words(batch["text"][lo:hi], _WORD)
+                total: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
                 for doc in range(hi - lo):
                     own: set[str] = set()
                     for word in {words.word(i) for i in range(words.first[doc], words.first[doc + 1])}:
                         found = known.get(word)
                         if found is None:
-                            found = features(fold(word.decode()))
-                            if candidates is not None:
-                                found = [f for f in found if f in candidates]
+                            found = [f for reading in readings(word.decode()) for f in features(reading)]
                             if len(known) < MAX_KNOWN_WORDS // 16:
                                 known[word] = found
                         own.update(found)
-                    total.update(own)
-            yield {"entry": list(total), "n": list(total.values())}
+                    total[int(batch["toxic"][lo + doc] == 1)].update(own)
+                entries = list(total[0] | total[1])
+                yield {"entry": entries, "toxic": [total[1][e] for e in entries], "clean": [total[0][e] for e in entries]}
 
-    counts = arrow_rows(rows.select("text"), run, schema, "entry string, n bigint")
-    return counts.groupBy("entry").agg(F.sum("n").alias("n"))
+    counts = arrow_rows(rows.select("text", "toxic"), run, schema, "entry string, toxic bigint, clean bigint")
+    return counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn(training: DataFrame) -> Lexicon:
@@ -205,20 +231,18 @@ def learn(training: DataFrame) -> Lexicon:
     weights = {f"^{word}$": DEFAULT_WEIGHT for word in DEFAULT_LEXICON}
     if not toxic or not clean:
         return Lexicon(weights)
-    least = max(MIN_DOCUMENTS, math.ceil(MIN_SHARE * toxic))
-    # a document has a bounded number of entries on average, so at most that number / MIN_SHARE pass
-    found = _document_counts(training.where("toxic = 1"), None).where(F.col("n") >= least).collect()
-    in_toxic = {r.entry: r.n for r in found}
-    in_clean = {r.entry: r.n for r in _document_counts(training.where("toxic = 0"), frozenset(in_toxic)).collect()}
+    bad, good = F.col("toxic") + F.lit(0.5), F.col("clean") + F.lit(0.5)
+    weight = F.log(bad / F.lit(toxic + 1.0)) - F.log(good / F.lit(clean + 1.0))
+    error = F.sqrt(F.lit(1.0) / bad + F.lit(1.0) / good)
+    counted = _document_counts(training).where(F.col("toxic") >= MIN_DOCUMENTS).withColumn("weight", weight)
+    found = counted.where((F.col("weight") >= MIN_WEIGHT) & (F.col("weight") >= SURE * error)).collect()
     kept: dict[str, int] = {}
-    for entry in sorted(in_toxic, key=lambda e: (-len(e), e)):
-        n = in_toxic[entry]
-        ratio = (n + 0.5) / (toxic + 1) / ((in_clean.get(entry, 0) + 0.5) / (clean + 1))
+    for row in sorted(found, key=lambda r: (-len(r.entry), r.entry)):
         # a beginning says more than one word only if it is in clearly more documents than any longer entry
-        said = max((m for longer, m in kept.items() if longer.startswith(entry)), default=0)
-        if math.log(ratio) >= MIN_WEIGHT and n >= STEM_GAIN * said:
-            kept[entry] = n
-            weights[entry] = max(weights.get(entry, 0.0), math.log(ratio))
+        said = max((n for longer, n in kept.items() if longer.startswith(row.entry)), default=0)
+        if row.toxic >= STEM_GAIN * said:
+            kept[row.entry] = row.toxic
+            weights[row.entry] = max(weights.get(row.entry, 0.0), row.weight)
     return Lexicon(weights)
 
 
