@@ -234,10 +234,13 @@ def rerank(
 
 
 def context_block(passages: DataFrame) -> DataFrame:
-    """Numbered passages per query joined by blank lines. ``passages``: query_id, rank, citation, text (k rows each)."""
+    """Numbered passages per query joined by blank lines. ``passages``: query_id, rank, citation, text (k rows each).
+
+    A passage without text or citation keeps its number and head, with nothing in the place of what is missing.
+    """
     body = F.concat(
-        F.lit("["), F.col("rank"), F.lit("] (source: "), F.col("citation"), F.lit(")\n"),
-        strip(F.left("text", F.lit(CONTEXT_CHARS))),
+        F.lit("["), F.col("rank"), F.lit("] (source: "), F.coalesce("citation", F.lit("")), F.lit(")\n"),
+        F.coalesce(strip(F.left("text", F.lit(CONTEXT_CHARS))), F.lit("")),
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", body.alias("body"))))
     return passages.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x.body), "\n\n").alias("context"))

@@ -455,7 +455,8 @@ SQL_VCITATION = SQL_CITATION
 @query(
     "context_block",
     vcheck(
-        f""" SELECT query_id, string_agg('[' || rank || '] (source: ' || citation || ')' || chr(10) || {sql_strip('left(text, 1500)')},
+        f""" SELECT query_id, string_agg('[' || rank || '] (source: ' || coalesce(citation, '') || ')' || chr(10)
+                || coalesce({sql_strip('left(text, 1500)')}, ''),
             chr(10) || chr(10) ORDER BY rank) AS context
             FROM retrieved JOIN (SELECT chunk_id, {SQL_VCITATION} AS citation, text FROM vc) USING (chunk_id)
             WHERE rank <= 5 GROUP BY query_id"""
