@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from wardlake.models import automl, risk
+from wardlake.models.store import ModelStore, fingerprint
 from wardlake.operators import model_eval as ops
 from wardlake.plans import models as plans
 
@@ -163,7 +166,7 @@ def test_balanced_counts(spark):
     assert got == [pytest.approx(8 / 12), pytest.approx(2.0)]
 
 
-def test_risk_models_are_trained_stored_chosen_and_used(spark, tmp_path):
+def test_risk_models_are_trained_stored_chosen_and_used(spark, tmp_path, monkeypatch):
     import os
 
     from wardlake.operators import features as feats
@@ -180,15 +183,79 @@ def test_risk_models_are_trained_stored_chosen_and_used(spark, tmp_path):
     metrics = model_eval.model_metrics(scores, ["risk", "model"])
     assert {r["model"] for r in metrics.collect()} == set(small.models)
     best = risk.best_models(metrics)
-    loaded = risk.load_models(str(tmp_path), list(models))
+    loaded = risk.load_models(risk.store_of(stays, small, str(tmp_path)), list(models))
     one = {r["encounter_id"]: r["risk_pct"] for r in risk.score_stays(stays, models, best).collect()}
     two = {r["encounter_id"]: r["risk_pct"] for r in risk.score_stays(stays, loaded, best).collect()}
     assert one == two and len(one) == stays.count() and all(0 <= v <= 100 for v in one.values())
     folds = risk.cross_validate(stays, best, FLAGS, VITALS, small, [target], folds=2).collect()
     assert {r["metric"] for r in folds} == set(risk.CV_METRICS) and all(0 <= r["mean"] <= 1 for r in folds)
-
-
-@pytest.mark.parametrize("name", ["train_risk_models", "cross_validate", "risk_scores"])
+    # a second run fits nothing again
+    fitted = []
+    monkeypatch.setattr(risk, "fit_one", lambda *a: fitted.append(a))
+    again, _ = risk.train_all(stays, FLAGS, VITALS, small, [target], save_to=str(tmp_path))
+    assert again.keys() == models.keys() and not fitted
+    two = {r["encounter_id"]: r["risk_pct"] for r in risk.score_stays(stays, again, best).collect()}
+    assert one == two
+
+
+def constant(value):
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, {value} AS v FROM __THIS__")])
+
+
+def test_store_goes_on_where_a_run_stopped(spark, tmp_path):
+    path = str(tmp_path / "store")
+    fitted = []
+
+    def fit(name, fails=False):
+        def run():
+            fitted.append(name)
+            if fails:
+                raise ArithmeticError(name)
+            return constant(len(name))
+
+        return run
+
+    store = ModelStore(spark, path)
+    assert store.finished() == {}
+    with pytest.raises(ArithmeticError):
+        store.complete({"a": fit("a"), "bb": fit("bb", fails=True), "ccc": fit("ccc")})
+    assert set(store.finished()) == {"a", "ccc"}
+    constant(9).write().overwrite().save(f"{path}/models/bb")  # written, but never entered: a run that died in between
+    models = ModelStore(spark, path).complete({n: fit(n) for n in ("a", "bb", "ccc")}, workers=1)
+    assert sorted(fitted) == ["a", "bb", "bb", "ccc"]
+    assert {n: m.transform(spark.range(1)).first()["v"] for n, m in models.items()} == {"a": 1, "bb": 2, "ccc": 3}
+
+
+def test_fingerprint_follows_rows_and_settings(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None)], "x int, y string")
+    one = fingerprint(df, risk.Settings())
+    assert one == fingerprint(df.repartition(3).select("y", "x"), risk.Settings())
+    assert one != fingerprint(df, risk.Settings(trees=2))
+    assert one != fingerprint(df.where("x < 3"), risk.Settings()) != fingerprint(df.distinct(), risk.Settings())
+
+
+def test_one_class_targets_and_folds(spark, monkeypatch):
+    df = spark.range(40).select(
+        F.concat(F.lit("e"), F.col("id")).alias("encounter_id"), (F.col("id") % 7).cast("double").alias("x"),
+        F.lit(0).alias("never"), F.lit(1).alias("always"), (F.col("id") == 3).cast("int").alias("once"),
+    )
+    monkeypatch.setattr(risk, "feature_columns", lambda target, flags, vitals: ["x"])
+    small = risk.Settings(trees=2, forest_depth=2, rounds=2, max_iter=3)
+    models, scores = risk.train_all(df, [], [], small, ["never", "always", "once"])
+    found = {(r["risk"], r["model"]): r for r in ops.model_metrics(scores, ["risk", "model"]).collect()}
+    assert len(found) == 9
+    for name in small.models:
+        assert found["never", name]["tn"] == 8 and found["always", name]["tp"] == 8
+        assert found["never", name]["roc_auc"] is None
+    best = risk.best_models(ops.model_metrics(scores, ["risk", "model"]))
+    assert set(best) == {"never", "always", "once"}
+    shown = {(r["risk"], r["risk_pct"]) for r in risk.score_stays(df, models, best).where("risk <> 'once'").collect()}
+    assert shown == {("never", 0.0), ("always", 100.0)}
+    folds = risk.cross_validate(df, best, [], [], small, ["never", "once"], folds=3).collect()
+    assert {r["risk"] for r in folds} == {"never", "once"}
+
+
+@pytest.mark.parametrize("name", ["train_risk_models", "cross_validate", "risk_scores", "what_if_scores"])
 def test_registered_queries_fit_the_full_sizes(monkeypatch, name):
     seen = []
     monkeypatch.setattr(plans, "stay_features", lambda spark, d: None)
@@ -197,6 +264,7 @@ def test_registered_queries_fit_the_full_sizes(monkeypatch, name):
     monkeypatch.setattr(risk, "cross_validate", lambda f, best, flags, vitals, s=None: seen.append(s or risk.Settings()))
     monkeypatch.setattr(risk, "best_models", lambda metrics: {})
     monkeypatch.setattr(risk, "score_stays", lambda f, models, best: None)
+    monkeypatch.setattr(risk, "what_if", lambda f, columns, overrides: None)
     getattr(plans, name)(None, "")
     full = risk.Settings(trees=300, forest_depth=30, rounds=300, max_iter=1000)
     assert seen == [full] * (2 if name == "cross_validate" else 1)

@@ -13,8 +13,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_queries import TABLES, compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-# minutes of model fitting; covered by tests/test_models.py and scripts/check_queries.py
-SLOW = {"train_risk_models", "cross_validate", "risk_scores"}
+# minutes of model fitting; tests/test_models.py runs the same code with small estimators
+SLOW = {"train_risk_models", "cross_validate", "risk_scores", "what_if_scores"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 

@@ -206,6 +206,14 @@ def test_context(spark):
     assert retrieval.context_block(df).first()["context"] == f"[1] (source: C1)\n{'a' * 1500}\n\n[2] (source: C2)\nb"
 
 
+def test_context_without_text_or_citation(spark):
+    rows = [(1, 1, "C1", None), (1, 2, None, "b"), (1, 3, "C3", "c"), (2, 1, "C1", None), (3, 1, "C1", "")]
+    df = spark.createDataFrame(rows, "query_id int, rank int, citation string, text string")
+    got = {r["query_id"]: r["context"] for r in retrieval.context_block(df).collect()}
+    head = "[1] (source: C1)\n"
+    assert got == {1: f"{head}\n\n[2] (source: )\nb\n\n[3] (source: C3)\nc", 2: head, 3: head}
+
+
 # --- evaluation
 
 

@@ -11,7 +11,7 @@ from wardlake.operators import features as feats
 from wardlake.operators import model_eval as ops
 from wardlake.plans.features import FLAGS, VITALS, assembled_of
 from wardlake.plans.registry import query
-from wardlake.session import materialize, scratch_path
+from wardlake.session import materialize
 
 MULTIPLIERS = {"one": 2654435761, "two": 2246822519, "three": 3266489917}
 
@@ -134,14 +134,13 @@ def risk_scores(spark, d):
 
 @query("what_if_scores")
 def what_if_scores(spark, d):
-    """Models stored, read again, and asked about one made-up stay: the cohort's medians at age 80."""
-    features, store = stay_features(spark, d), scratch_path(spark, "models")
-    wanted = risk.Settings(models=("logreg",))
-    risk.train_all(features, FLAGS, VITALS, wanted, save_to=store)
-    models = risk.load_models(store, [(target, "logreg") for target in feats.TARGETS])
+    """Each risk's best model asked about one made-up stay: the cohort's medians at age 80."""
+    features = stay_features(spark, d)
+    models, scores = risk.train_all(features, FLAGS, VITALS, risk.Settings())
+    best = risk.best_models(ops.model_metrics(scores, GROUPS))
     columns = sorted({c for target in feats.TARGETS for c in risk.feature_columns(target, FLAGS, VITALS)})
     asked = risk.what_if(features, columns, {"age": 80.0})
-    return risk.score_stays(asked, models, {target: "logreg" for target in feats.TARGETS})
+    return risk.score_stays(asked, models, best)
 
 
 _TARGETS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]

@@ -30,21 +30,30 @@ def build_session(app_name: str = "wardlake", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or the warehouse folder where that is unset."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``. In local mode the warehouse folder will do where that
+    is unset; on a cluster a folder of the driver's machine would lose rows without a word, so that is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(warehouse, "_scratch")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path under the shared folder for a table written by a job.
-
-    The run's folder is deleted when the session's JVM ends.
-    """
+def run_path(spark: SparkSession, name: str) -> str:
+    """Path ``name`` in this session's folder under the shared folder, which is deleted when the session's JVM ends."""
     jvm = spark.sparkContext._jvm
     root = os.path.join(shared_dir(spark), "wardlake-" + spark.sparkContext.applicationId)
     folder = jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(root, name)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path in the session's folder for a table written by a job."""
+    return run_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
