@@ -20,6 +20,33 @@ def test_correlation_with_and_without_nulls(spark):
     assert got["a", "a"] == pytest.approx(1.0) and got["a", "k"] is None
 
 
+def test_correlation_of_many_columns_against_pairs(spark):
+    rng = np.random.default_rng(9)
+    width, inf = 60, float("inf")
+    base = rng.normal(0, 1, (400, 5))
+    x = base @ rng.normal(0, 1, (5, width)) * np.geomspace(1e-6, 1e6, width) + np.linspace(-1e7, 1e7, width)
+    x[rng.random((400, width)) < 0.1] = np.nan
+    x[:, 7] = 0.1
+    x[:, 8] = np.where(rng.random(400) < 0.5, np.nan, 3.3)
+    x[:, 9] = np.nan
+    x[5, 10] = inf
+    rows = [tuple(None if np.isnan(v) and rng.random() < 0.5 else float(v) for v in row) for row in x]
+    names = [f"col.{i} x" for i in range(width)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(7)
+    got = {(r["column_x"], r["column_y"]): r["r"] for r in quality.correlation_matrix(df).collect()}
+    assert len(got) == width * width
+    for i in range(width):
+        for j in range(width):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if {i, j} & {7, 8, 9, 10}:
+                assert got[names[i], names[j]] is None, (i, j)
+            else:
+                assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-6)
+    empty = quality.correlation_matrix(df.limit(0)).collect()
+    assert len(empty) in (0, width * width) and all(r["r"] is None for r in empty)
+    assert quality.correlation_matrix(df.select(F.lit("x").alias("t"))).count() == 0
+
+
 def test_nulls_rules_and_outliers(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (300, None), (3, "y"), (-4, "y")], "age int, t string")
     assert [tuple(r) for r in quality.null_pct(df).collect()] == [("t", 40.0)]

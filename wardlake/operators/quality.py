@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlake.operators.gram import correlations
 from wardlake.scale import exact_quantiles
 
 # (table, column, violated when, description)
@@ -221,39 +222,12 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return spanned.groupBy(bin_no.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-# Pairs of columns that one aggregation computes.
-PAIRS_PER_PASS = 300
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise Pearson correlation of all numeric columns (or those given), as (column_x, column_y, r).
-
-    Rows where either value is missing (or NaN) are left out of that pair; r is NULL when one of the two does not vary.
-    Every pass aggregates up to ``PAIRS_PER_PASS`` pairs and reads only their columns.
-    """
+    """Pairwise Pearson correlation of all numeric columns (or those given), as (column_x, column_y, r)."""
     columns = list(columns or numeric_columns(df))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    numbers = df.select(*[present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        own = pairs[at : at + PAIRS_PER_PASS]
-        wide = numbers.agg(*[_pearson(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in own])
-        records = [
-            F.struct(F.lit(columns[x]).alias("column_x"), F.lit(columns[y]).alias("column_y"), F.col(f"r{i}_{j}").alias("r"))
-            for i, j in own
-            for x, y in dict.fromkeys([(i, j), (j, i)])
-        ]
-        parts.append(wide.select(F.inline(F.array(*records))))
-    if not parts:
+    if not columns:
         return df.sparkSession.createDataFrame([], "column_x string, column_y string, r double")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pearson(a: str, b: str) -> Column:
-    """Correlation of the rows where both are present; NULL when one of them does not vary."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return correlations(df, [(c, present(df, c)) for c in columns])
 
 
 def grouped_quartiles(df: DataFrame, measure: str, groups: Sequence[str] = ()) -> DataFrame:
