@@ -8,8 +8,9 @@ weights of a document's words are added up and divided by its length. A hit insi
 A logistic curve over this density gives the score.
 
 Learning reads at most ``TRAIN_ROWS`` labelled documents outside the held-out third, chosen by hash, which bounds the
-entries whatever the size of the corpus. Spark counts and compares them, and only those that pass reach the driver; what
-goes to the executors is this lexicon. Scoring is one pass over all whole texts without a shuffle.
+entries whatever the size of the corpus. The toxic ones among them are counted first; an entry in so few of them that it
+could not pass even if no other document held it goes no further, the others are counted in the other documents too and
+compared in Spark. What goes to the executors in the end is the lexicon. Scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts have no words and get the score of zero density; documents without a label are
 scored like others; a document labelled more than once counts as toxic if any label says so; without labelled rows of
@@ -197,31 +198,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def _document_counts(rows: DataFrame) -> DataFrame:
-    """(entry, toxic, clean): in how many toxic and other texts an entry occurs."""
-    schema = pa.schema([("entry", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+def _document_counts(rows: DataFrame, candidates: frozenset[str] | None) -> DataFrame:
+    """(entry, n): in how many texts an entry, among ``candidates`` if given, occurs."""
+    schema = pa.schema([("entry", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         known: dict[bytes, list[str]] = {}
         for batch in batches:
+            total: Counter[str] = Counter()
             for lo, hi in chunks(batch["text"]):
                 words = Words(batch["text"][lo:hi], _WORD)
-                total: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
                 for doc in range(hi - lo):
                     own: set[str] = set()
                     for word in {words.word(i) for i in range(words.first[doc], words.first[doc + 1])}:
                         found = known.get(word)
                         if found is None:
                             found = [f for reading in readings(word.decode()) for f in features(reading)]
+                            if candidates is not None:
+                                found = [f for f in found if f in candidates]
                             if len(known) < MAX_KNOWN_WORDS // 16:
                                 known[word] = found
                         own.update(found)
-                    total[int(batch["toxic"][lo + doc] == 1)].update(own)
-                entries = list(total[0] | total[1])
-                yield {"entry": entries, "toxic": [total[1][e] for e in entries], "clean": [total[0][e] for e in entries]}
+                    total.update(own)
+            yield {"entry": list(total), "n": list(total.values())}
 
-    counts = arrow_rows(rows.select("text", "toxic"), run, schema, "entry string, toxic bigint, clean bigint")
-    return counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = arrow_rows(rows.select("text"), run, schema, "entry string, n bigint")
+    return counts.groupBy("entry").agg(F.sum("n").alias("n"))
+
+
+def weight_and_error(n: int, other: int, toxic: int, clean: int) -> tuple[float, float]:
+    """Logarithm of how much commoner an entry of ``n`` toxic and ``other`` clean documents is in toxic ones, and its
+    standard error."""
+    ratio = (n + 0.5) / (toxic + 1) / ((other + 0.5) / (clean + 1))
+    return math.log(ratio), math.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
+
+
+def _passes(weight: float, error: float) -> bool:
+    return weight >= MIN_WEIGHT and weight >= SURE * error
 
 
 def learn(training: DataFrame) -> Lexicon:
@@ -229,20 +242,23 @@ def learn(training: DataFrame) -> Lexicon:
     sizes = {r.toxic: r.n for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     weights = {f"^{word}$": DEFAULT_WEIGHT for word in DEFAULT_LEXICON}
-    if not toxic or not clean:
+    possible = [n for n in range(MIN_DOCUMENTS, toxic + 1) if _passes(*weight_and_error(n, 0, toxic, clean))] if clean else []
+    if not possible:
         return Lexicon(weights)
-    bad, good = F.col("toxic") + F.lit(0.5), F.col("clean") + F.lit(0.5)
-    weight = F.log(bad / F.lit(toxic + 1.0)) - F.log(good / F.lit(clean + 1.0))
-    error = F.sqrt(F.lit(1.0) / bad + F.lit(1.0) / good)
-    counted = _document_counts(training).where(F.col("toxic") >= MIN_DOCUMENTS).withColumn("weight", weight)
-    found = counted.where((F.col("weight") >= MIN_WEIGHT) & (F.col("weight") >= SURE * error)).collect()
+    found = _document_counts(training.where("toxic = 1"), None).where(F.col("n") >= possible[0]).collect()
+    in_toxic = {r.entry: r.n for r in found}
+    in_clean = {r.entry: r.n for r in _document_counts(training.where("toxic = 0"), frozenset(in_toxic)).collect()}
     kept: dict[str, int] = {}
-    for row in sorted(found, key=lambda r: (-len(r.entry), r.entry)):
+    said: Counter[str] = Counter()  # by beginning, the most documents that a longer kept entry is in
+    for entry in sorted(in_toxic, key=lambda e: (-len(e), e)):
+        n = in_toxic[entry]
+        weight, error = weight_and_error(n, in_clean.get(entry, 0), toxic, clean)
         # a beginning says more than one word only if it is in clearly more documents than any longer entry
-        said = max((n for longer, n in kept.items() if longer.startswith(row.entry)), default=0)
-        if row.toxic >= STEM_GAIN * said:
-            kept[row.entry] = row.toxic
-            weights[row.entry] = max(weights.get(row.entry, 0.0), row.weight)
+        if _passes(weight, error) and n >= STEM_GAIN * said[entry]:
+            kept[entry] = n
+            weights[entry] = max(weights.get(entry, 0.0), weight)
+            for length in STEMS:
+                said[entry[: length + 1]] = max(said[entry[: length + 1]], n)
     return Lexicon(weights)
 
 
