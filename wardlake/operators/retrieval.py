@@ -27,7 +27,8 @@ SCORE_DIGITS = 9
 WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
 BM25_K1 = 1.2
 BM25_B = 0.75
-_SLAB = 1_024
+# Rows multiplied at once.
+SLAB = 1_024
 
 
 # --- embedding -----------------------------------------------------------------------------------
@@ -58,7 +59,7 @@ def embed_with(df: DataFrame, encode: Column, into: str = "embedding") -> DataFr
 # --- exact top-k ---------------------------------------------------------------------------------
 
 
-class _Best:
+class BestRows:
     """Best k rows per query seen so far in one task."""
 
     def __init__(self, n_queries: int, k: int):
@@ -68,13 +69,17 @@ class _Best:
         self.ident = np.empty(0, dtype=object)
         self.floor = np.full(n_queries, -np.inf)
 
-    def add(self, scores: np.ndarray, allowed: np.ndarray | None, idents: np.ndarray) -> None:
-        good = scores >= self.floor[None, :]
+    def add(
+        self, scores: np.ndarray, allowed: np.ndarray | None, idents: np.ndarray, places: np.ndarray | None = None
+    ) -> None:
+        """Scores of rows (down) against queries (across): all of them, or those at ``places``."""
+        good = scores >= (self.floor if places is None else self.floor[places])[None, :]
         if allowed is not None:
             good &= allowed
-        rows, queries = np.nonzero(good)
+        rows, columns = np.nonzero(good)
+        queries = columns if places is None else places[columns]
         self.query = np.concatenate([self.query, queries])
-        self.score = np.concatenate([self.score, scores[rows, queries]])
+        self.score = np.concatenate([self.score, scores[rows, columns]])
         self.ident = np.concatenate([self.ident, idents[rows]])
         # ties are broken by id, so everything equal to the k-th score stays in until here
         order = np.lexsort((self.ident, -self.score, self.query))
@@ -86,15 +91,15 @@ class _Best:
         self.query, self.score, self.ident = self.query[keep], self.score[keep], self.ident[keep]
 
 
-def _search(batch: pd.DataFrame, matrix: np.ndarray, tenants: np.ndarray | None, best: _Best) -> None:
-    for at in range(0, len(batch), _SLAB):
-        slab = batch.iloc[at : at + _SLAB]
+def _search(batch: pd.DataFrame, matrix: np.ndarray, tenants: np.ndarray | None, best: BestRows) -> None:
+    for at in range(0, len(batch), SLAB):
+        slab = batch.iloc[at : at + SLAB]
         vectors = np.stack(slab["vec"].to_numpy()).astype(np.float64)
         allowed = None if tenants is None else slab["tenant"].to_numpy()[:, None] == tenants[None, :]
         best.add(np.round(vectors @ matrix.T, SCORE_DIGITS), allowed, slab["ident"].to_numpy())
 
 
-def _found(best: _Best, query_ids: np.ndarray) -> pd.DataFrame:
+def _found(best: BestRows, query_ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"query_id": query_ids[best.query], "item_id": best.ident, "score": best.score})
 
 
@@ -149,7 +154,7 @@ def _broadcast_search(items: DataFrame, head: pd.DataFrame, k: int, by_tenant: b
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix, ids, tenants = shared.value
-        best = _Best(len(ids), k)
+        best = BestRows(len(ids), k)
         for batch in batches:
             _search(batch, matrix, tenants, best)
         yield _found(best, ids)
@@ -171,7 +176,7 @@ def _block_search(
     right = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), spread(vector_blocks, "vb"))
 
     def pair(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(queries), k)
+        best = BestRows(len(queries), k)
         if len(vectors) and len(queries):
             matrix = np.stack(queries["qvec"].to_numpy()).astype(np.float64)
             _search(vectors, matrix, queries["tenant"].to_numpy() if by_tenant else None, best)

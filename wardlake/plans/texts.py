@@ -10,6 +10,7 @@ from wardlake import clinical as C
 from wardlake.clinical import with_ctes
 from wardlake.functions.scalars import citation_label, clean_text, safe_id
 from wardlake.functions.sql import sql_clean, sql_strip
+from wardlake.operators import cells
 from wardlake.operators import documents as docs
 from wardlake.operators import questions as asks
 from wardlake.operators import retrieval, retrieval_eval
@@ -364,7 +365,9 @@ def vector_topk(spark, d):
     ),
 )
 def tenant_search(spark, d):
-    found = retrieval.vector_topk(vector_chunks(spark, d), vector_questions(spark, d), 5, tenant="source")
+    store = scratch_path(spark, "cells")
+    cells.write_cells(vector_chunks(spark, d).select("source", "chunk_id", "embedding"), store, "source")
+    found = cells.search_cells(spark, store, vector_questions(spark, d), 5, "source").found
     return found.select("query_id", F.col("item_id").alias("chunk_id"), F.col("rank").cast("bigint"))
 
 
