@@ -1,11 +1,12 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardlake.functions import scalars as S
 from wardlake.operators import typing
-from wardlake.sources import layers, readers
+from wardlake.sources import layers, readers, snapshots
 
 
 def one(spark, column):
@@ -113,3 +114,25 @@ def test_bronze_headers(spark, tmp_path):
         layers.load_bronze(df, str(tmp_path), "x")
     back = layers.read_layer(spark, str(tmp_path), "bronze", "x")
     assert back.columns == ["patient_id", "start", "_loaded_at"] and back.count() == 1
+
+
+def test_a_write_that_dies_leaves_the_table_as_it_was(spark, tmp_path):
+    root, table = str(tmp_path), f"{tmp_path}/silver/x"
+    with pytest.raises(FileNotFoundError):
+        layers.read_layer(spark, root, "silver", "x")
+    old = spark.range(5).withColumn("v", F.lit("old"))
+    layers.write_silver(old, root, "x")
+    kept = snapshots.current_version(spark, table)
+    dies = spark.range(0, 100, 1, 4).withColumn("v", F.when(F.col("id") > 90, F.raise_error(F.lit("stopped half-way"))).otherwise("new"))
+    with pytest.raises(Exception, match="stopped half-way"):
+        layers.write_silver(dies, root, "x")
+    assert snapshots.current_version(spark, table) == kept and len(os.listdir(f"{table}/versions")) == 2
+    assert sorted(map(tuple, layers.read_layer(spark, root, "silver", "x").collect())) == [(i, "old") for i in range(5)]
+    # a table may be replaced by what is read from it, while an earlier reader goes on
+    reader = layers.read_layer(spark, root, "silver", "x")
+    layers.write_silver(reader.where("id > 2"), root, "x")
+    assert reader.count() == 5 and layers.read_layer(spark, root, "silver", "x").count() == 2
+    gone = snapshots.remove_old(spark, table, keep=0)
+    assert len(gone) == 2 and kept in gone and len(os.listdir(f"{table}/versions")) == 1
+    assert layers.read_layer(spark, root, "silver", "x").count() == 2
+    assert not [f for f in os.listdir(table) if f.startswith("_current.")]

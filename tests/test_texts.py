@@ -1,3 +1,4 @@
+import datetime as dt
 import re
 
 import numpy as np
@@ -278,12 +279,67 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     paths = [str(tmp_path / p) for p in ("in", "store", "ck")]
     df.where("doc_id < 'd3'").write.parquet(paths[0])
     ingest.ingest_new_files(spark, *paths, encoder)
-    assert tenants.counts(spark, paths[1]).first()["chunks"] == 3
-    df.where("doc_id >= 'd3'").write.mode("append").parquet(paths[0])
+    assert ingest.live_chunks(spark, paths[1]).count() == 3
+    df.where("doc_id >= 'd2'").write.mode("append").parquet(paths[0])  # d2 comes a second time
     for _ in range(2):
         ingest.ingest_new_files(spark, *paths, encoder)
-    (row,) = tenants.counts(spark, paths[1]).collect()
-    assert (row["tenant_id"], row["chunks"]) == ("city_hospital", 6)
+    found = ingest.live_chunks(spark, paths[1], "city_hospital")
+    assert sorted(r["doc_id"] for r in found.collect()) == [f"d{i}" for i in range(6)]
+    assert tenants.counts(spark, f"{paths[1]}/chunks").first()["chunks"] == 6
+
+
+def test_changed_late_and_retried_documents(spark, tmp_path):
+    store = str(tmp_path / "store")
+    text = lambda word: f"{word} patient notes " * 20
+    schema = ingest.DOCUMENT_SCHEMA + ", file_time timestamp, content string"
+    encoder = retrieval.fit_encoder(spark.createDataFrame([(text("old"),), (text("new"),)], "text string"))
+
+    def batch(*rows):
+        made = [(doc, who, "t", None, body, dt.datetime(2020, 1, 1, 0, 0, when), "x") for doc, who, body, when in rows]
+        return spark.createDataFrame(made, schema)
+
+    def shown():
+        return sorted((r.tenant_id, r.doc_id, r.text.split()[0]) for r in ingest.live_chunks(spark, store).collect())
+
+    first = batch(("d1", "A", text("old"), 10), ("d2", "A", text("old"), 10), ("d1", "B", text("old"), 10), (None, "A", text("old"), 10))
+    assert ingest.store_documents(first, store, 0, encoder) == 3
+    # d1 of A changes twice in one batch, d2 comes again unchanged, another tenant's d1 stays
+    second = batch(("d1", "A", text("middle"), 20), ("d1", "A", text("new"), 30), ("d2", "A", text("old"), 40))
+    assert ingest.store_documents(second, store, 1, encoder) == 1
+    assert shown() == [("a", "d1", "new"), ("a", "d2", "old"), ("b", "d1", "old")]
+    # a late file with an older version
+    assert ingest.store_documents(batch(("d1", "A", text("late"), 15)), store, 2, encoder) == 0
+    # the batch before runs again, as after a crash between its writes and the checkpoint
+    assert ingest.store_documents(second, store, 1, encoder) == 1
+    assert shown() == [("a", "d1", "new"), ("a", "d2", "old"), ("b", "d1", "old")]
+    # back to the first content: newest file counts, the chunks stored for it long ago don't come back twice
+    assert ingest.store_documents(batch(("d1", "A", text("old"), 50)), store, 3, encoder) == 1
+    assert shown() == [("a", "d1", "old"), ("a", "d2", "old"), ("b", "d1", "old")]
+    # chunks of a batch whose log lines were never written are not seen
+    half = ingest.live_chunks(spark, store).where("doc_id = 'd2'").drop("batch", "seq").withColumn("seq", F.lit(9).cast("bigint"))
+    tenants.append(half, f"{store}/chunks", "batch-9")
+    assert len(shown()) == 3
+
+
+def test_index_append_against_the_chunker(spark):
+    import os
+
+    from wardlake import clinical
+    from wardlake.functions.scalars import clean_text
+    from wardlake.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables not present")
+    want = {}
+    cleaned = clinical.documents(spark, sf).select("doc_id", "source", clean_text(F.col("text")).alias("text"))
+    for row in tenants.with_tenant(cleaned).collect():
+        pieces = chunk_text(row.text or "")
+        if pieces:
+            chunks, documents = want.get(row.tenant_id, (0, 0))
+            want[row.tenant_id] = chunks + len(pieces), documents + 1
+    rows = QUERIES["index_append"](spark, sf).collect()
+    assert {r.tenant_id: (r.chunks, r.documents) for r in rows} == want and all(r.vectors == r.chunks for r in rows)
 
 
 def test_tenant_search_stays_inside(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Bronze, silver and gold layers as Parquet folders under one root."""
+"""Bronze, silver and gold layers under one root, each table replaced in one step (``snapshots``)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardlake.operators import gold, typing
 from wardlake.sources.readers import CLINICAL_TABLES
+from wardlake.sources.snapshots import read_snapshot, write_snapshot
 
 
 def lower_headers(df: DataFrame) -> DataFrame:
@@ -21,16 +22,16 @@ def lower_headers(df: DataFrame) -> DataFrame:
 def load_bronze(df: DataFrame, root: str, name: str) -> None:
     """Replace one bronze table: lower-case headers and a load stamp."""
     stamped = lower_headers(df).withColumn("_loaded_at", F.current_timestamp())
-    stamped.write.mode("overwrite").parquet(f"{root}/bronze/{name}")
+    write_snapshot(stamped, f"{root}/bronze/{name}")
 
 
 def write_silver(df: DataFrame, root: str, name: str) -> None:
     """Replace one typed silver table; running it again gives the same table."""
-    df.write.mode("overwrite").parquet(f"{root}/silver/{name}")
+    write_snapshot(df, f"{root}/silver/{name}")
 
 
 def read_layer(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{layer}/{name}")
+    return read_snapshot(spark, f"{root}/{layer}/{name}")
 
 
 def gold_views(silver: Mapping[str, DataFrame], as_of: str, listed: list[str]) -> dict[str, Callable[[], DataFrame]]:

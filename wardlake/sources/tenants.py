@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from wardlake.functions.scalars import safe_id
 
 FOLDERS = ["batch", "tenant_id"]
-# Files that one batch may write for one tenant.
-FILES_PER_TENANT = 8
 
 
 def with_tenant(chunks: DataFrame, name: str = "source") -> DataFrame:
@@ -18,10 +16,13 @@ def with_tenant(chunks: DataFrame, name: str = "source") -> DataFrame:
 
 
 def append(chunks: DataFrame, path: str, batch: str) -> None:
-    """Add one batch of chunk rows. A batch written again replaces itself, so a retried job adds nothing twice."""
+    """Add one batch of chunk rows. A batch written again replaces itself, so a retried job adds nothing twice.
+
+    Rows are gathered by tenant and evened out by size: a large tenant is written by as many tasks as its bytes need.
+    """
     (
         chunks.withColumn("batch", F.lit(batch))
-        .repartition("tenant_id", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns]), F.lit(FILES_PER_TENANT)))
+        .hint("rebalance", "tenant_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*FOLDERS)
