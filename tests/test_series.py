@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlake.operators import series as ops
+from wardlake.operators import smoothing
 
 SCHEMA = "key string, month timestamp_ntz, y long"
 
@@ -48,11 +49,81 @@ def test_holt_matches_recursion(spark):
     assert (state["level"], state["trend"], state["sse"]) == pytest.approx(holt([float(v) for v in y], 0.4, 0.3), rel=1e-12)
 
 
-def test_holt_search_beats_every_coarse_cell(spark):
-    y = [10, 14, 9, 16, 18, 13, 21, 25, 19, 28]
-    best = ops.holt_search(frame(spark, months(y))).first()
-    cells = [holt([float(v) for v in y], a, b)[2] for a in ops.COARSE_GRID for b in ops.COARSE_GRID]
-    assert best["state"]["sse"] <= min(cells) + 1e-9
+def seasonal(y, alpha, beta, gamma, level, trend, seasons):
+    """Squared one-step error of the additive recursion from given start states."""
+    seasons, sse = list(seasons), 0.0
+    for t, value in enumerate(y):
+        held, expected = seasons[t % len(seasons)], level + trend
+        sse += (value - expected - held) ** 2
+        new = alpha * (value - held) + (1 - alpha) * expected
+        seasons[t % len(seasons)] = gamma * (value - expected) + (1 - gamma) * held
+        trend = beta * (new - level) + (1 - beta) * trend
+        level = new
+    return sse
+
+
+def test_holt_search_is_never_above_a_grid(spark):
+    rng = np.random.default_rng(4)
+    shapes = {
+        "ragged": [10, 14, 9, 16, 18, 13, 21, 25, 19, 28],
+        "walk": np.cumsum(rng.integers(-5, 8, 60)) + 200,
+        "noise": rng.integers(50, 90, 40),
+        "step": [20] * 15 + [80] * 15,
+        "zeros": [0, 0, 3, 0, 0, 0, 9, 0],
+        "four": [3, 9, 1, 4],
+    }
+    df = frame(spark, *[months([int(v) for v in y], key=name) for name, y in shapes.items()])
+    got = {r["key"]: r for r in ops.holt_search(df).collect()}
+    cells = np.arange(0, 101, 4) / 100
+    for name, y in shapes.items():
+        best = min(holt([float(v) for v in y], a, b)[2] for a in cells for b in cells)
+        assert 0 <= got[name]["alpha"] <= 1 and 0 <= got[name]["beta"] <= 1
+        assert got[name]["state"]["sse"] <= best + 1e-6, name
+
+
+def test_seasonal_fit_is_never_above_a_grid():
+    rng = np.random.default_rng(5)
+    wave = 100 + 30 * np.sin(2 * np.pi * np.arange(60) / 12)
+    shapes = [wave + rng.normal(0, 6, 60), np.cumsum(rng.normal(0, 4, 48)) + wave[:48], rng.integers(0, 9, 30).astype(float)]
+    cells = [0.05, 0.2, 0.5, 0.8, 0.95]
+    for y in shapes:
+        fitted = smoothing.fit(y, 12)
+        assert fitted.sse == pytest.approx(((y - fitted.fitted) ** 2).sum(), rel=1e-6)
+        years = len(y) // 12
+        means = y[: 12 * years].reshape(years, 12).mean(axis=1)
+        slope = (means[-1] - means[0]) / (12 * max(1, years - 1))
+        base = means[0] - slope * 6.5
+        first = (y[: 12 * years] - base - slope * np.arange(1, 12 * years + 1)).reshape(years, 12).mean(axis=0)
+        best = min(seasonal(y, a, b, g, base, slope, first) for a in cells for b in cells for g in cells)
+        assert fitted.sse <= best + 1e-6
+
+
+def planted(rng, n, alpha, beta, gamma, season):
+    level, trend, seasons, out = 500.0, 1.0, list(40 * np.sin(2 * np.pi * np.arange(season) / max(season, 1))), []
+    for t in range(n):
+        held = seasons[t % season] if season else 0.0
+        value = level + trend + held + rng.normal(0, 5)
+        new = alpha * (value - held) + (1 - alpha) * (level + trend)
+        if season:
+            seasons[t % season] = gamma * (value - level - trend) + (1 - gamma) * held
+        trend, level = beta * (new - level) + (1 - beta) * trend, new
+        out.append(value)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("alpha, beta, gamma, season", [(0.6, 0.2, 0, 0), (0.3, 0.6, 0, 0), (0.5, 0.1, 0.3, 12), (0.7, 0.05, 0.2, 12)])
+def test_planted_parameters_are_found(alpha, beta, gamma, season):
+    fitted = smoothing.fit(planted(np.random.default_rng(1), 900, alpha, beta, gamma, season), season)
+    want = [alpha, beta, gamma][: len(fitted.params)]
+    assert np.abs(fitted.params - want).max() < 0.12
+    assert np.sqrt(fitted.sse / 900) == pytest.approx(5, rel=0.08)
+
+
+def test_minimum_at_a_bound_and_inside():
+    inside = smoothing.bounded_minimum(lambda p: ((p - [0.123, 0.77, 0.5]) ** 2 @ [1, 50, 9]) + 1, 3)
+    assert np.abs(inside - [0.123, 0.77, 0.5]).max() < 1e-3
+    corner = smoothing.bounded_minimum(lambda p: (p - [-0.4, 1.3]) ** 2 @ [1, 2] + p[:, 0] * p[:, 1], 2)
+    assert corner.tolist() == [0.0, 1.0]
 
 
 def test_short_series_and_straight_line(spark):

@@ -6,7 +6,7 @@ so the array kept per key grows with the calendar and not with the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.functions.scalars import month_start
+from wardlake.operators import smoothing
 
 SEASON = 12
 MIN_TREND_MONTHS = 4
@@ -22,9 +23,6 @@ INPATIENT_SHARE = 0.008
 MEAN_STAY_DAYS = 4.9
 PATIENTS_PER_NURSE = 4
 
-COARSE_GRID = [i / 10 for i in range(1, 10)]
-FINE_STEPS = [-0.08, -0.06, -0.04, -0.02, 0.0, 0.02, 0.04, 0.06, 0.08]
-
 
 def monthly_series(
     events: DataFrame, at: str, as_of: str, since: str | None = None, key: str | None = None
@@ -84,30 +82,28 @@ def holt_fixed(series: DataFrame, alpha: float, beta: float) -> DataFrame:
     )
 
 
-def _best(candidates: DataFrame) -> DataFrame:
-    fitted = candidates.withColumn("state", holt_state(F.col("ys"), F.col("alpha"), F.col("beta")))
-    rank = F.struct(F.col("state.sse"), "alpha", "beta")
-    return fitted.groupBy("key").agg(
-        F.min_by(F.struct("alpha", "beta", "state", "last_month", "ys"), rank).alias("b")
-    ).select("key", "b.*")
-
-
 def holt_search(series: DataFrame) -> DataFrame:
-    """Smoothing state per key with the parameters of least squared error: a coarse grid, then a fine one."""
+    """Smoothing state per key with the parameters and start states of least squared error (``smoothing``)."""
     arrays = as_arrays(series).where(F.size("ys") >= MIN_TREND_MONTHS)
 
-    def choices(values: Sequence[float]) -> Column:
-        return F.explode(F.array(*[F.lit(float(v)) for v in values]))
-
-    coarse = _best(arrays.withColumn("alpha", choices(COARSE_GRID)).withColumn("beta", choices(COARSE_GRID)))
-    near = (
-        coarse.select("key", "last_month", "ys", F.col("alpha").alias("a0"), F.col("beta").alias("b0"))
-        .withColumn("da", choices(FINE_STEPS))
-        .withColumn("db", choices(FINE_STEPS))
-        .withColumn("alpha", F.col("a0") + F.col("da"))
-        .withColumn("beta", F.col("b0") + F.col("db"))
-    )
-    return _best(near).drop("ys")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = [smoothing.fit(ys) for ys in batch["ys"]]
+            yield pd.DataFrame(
+                {
+                    "key": batch["key"],
+                    "last_month": batch["last_month"],
+                    "alpha": [f.params[0] for f in fits],
+                    "beta": [f.params[1] for f in fits],
+                    "level": [f.level for f in fits],
+                    "trend": [f.trend for f in fits],
+                    "sse": [f.sse for f in fits],
+                }
+            )
+
+    schema = "key string, last_month timestamp_ntz, alpha double, beta double, level double, trend double, sse double"
+    found = arrays.mapInPandas(search, schema)
+    return found.select("key", "last_month", "alpha", "beta", F.struct("level", "trend", "sse").alias("state"))
 
 
 def extrapolate(states: DataFrame, months: int = 6) -> DataFrame:
@@ -128,46 +124,6 @@ def holt_forecast(series: DataFrame, months: int = 6) -> DataFrame:
 # --- additive trend and season -------------------------------------------------------------------
 
 
-def _seasonal_pass(y: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Run the recursion for every parameter row at once; returns sse, level, trend, season, fitted."""
-    alpha, beta, gamma = params.T
-    years = len(y) // SEASON
-    means = y[: years * SEASON].reshape(years, SEASON).mean(axis=1)
-    slope = (means[-1] - means[0]) / (SEASON * (years - 1))
-    base = means[0] - slope * (SEASON + 1) / 2  # so that base + slope * (t + 1) runs through the yearly means
-    steps = np.arange(1, years * SEASON + 1)
-    start = (y[: years * SEASON] - base - slope * steps).reshape(years, SEASON).mean(axis=0)
-    level = np.full(len(params), base)
-    trend = np.full(len(params), slope)
-    season = np.repeat(start[:, None], len(params), axis=1)
-    fitted = np.empty((len(y), len(params)))
-    for t, value in enumerate(y):
-        slot = t % SEASON
-        expected = level + trend
-        fitted[t] = expected + season[slot]
-        moved = alpha * (value - season[slot]) + (1 - alpha) * expected
-        season[slot] = gamma * (value - expected) + (1 - gamma) * season[slot]
-        trend = beta * (moved - level) + (1 - beta) * trend
-        level = moved
-    return ((fitted - y[:, None]) ** 2).sum(axis=0), level, trend, season, fitted
-
-
-def fit_seasonal(y: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray, np.ndarray]:
-    """Parameters of least squared error: a grid, then ever smaller steps around the best point."""
-    axis = np.linspace(0.05, 0.95, 7)
-    params = np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), axis=-1).reshape(-1, 3)
-    step = 0.08
-    while True:
-        sse, level, trend, season, fitted = _seasonal_pass(y, params)
-        i = int(np.argmin(sse))
-        best = params[i]
-        if step < 0.002:
-            return best, float(level[i]), float(trend[i]), season[:, i], fitted[:, i]
-        moves = np.stack(np.meshgrid([-1, 0, 1], [-1, 0, 1], [-1, 0, 1], indexing="ij"), axis=-1).reshape(-1, 3)
-        params = np.clip(best + moves * step, 0.0, 1.0)
-        step *= 0.6
-
-
 def _seasonal_frame(pdf: pd.DataFrame, months: int) -> pd.DataFrame:
     pdf = pdf.sort_values("month")
     y = pdf["y"].to_numpy(dtype=float)
@@ -175,10 +131,10 @@ def _seasonal_frame(pdf: pd.DataFrame, months: int) -> pd.DataFrame:
     if len(y) < 2 * SEASON:
         reason = f"series too short for seasonal forecast: {len(y)} months (need >= {2 * SEASON})"
         return pd.DataFrame({"key": [key], "month": [pdf["month"].iloc[-1]], "kind": ["error"], "actual": [np.nan], "value": [np.nan], "error": [reason]})
-    _, level, trend, season, fitted = fit_seasonal(y)
+    model = smoothing.fit(y, SEASON)
     ahead = np.arange(1, months + 1)
-    future = level + ahead * trend + season[(len(y) + ahead - 1) % SEASON]
-    past = pd.DataFrame({"month": pdf["month"], "kind": "fitted", "actual": y, "value": fitted})
+    future = model.level + ahead * model.trend + model.season[(len(y) + ahead - 1) % SEASON]
+    past = pd.DataFrame({"month": pdf["month"], "kind": "fitted", "actual": y, "value": model.fitted})
     later = pd.DataFrame(
         {
             "month": [pdf["month"].iloc[-1] + pd.DateOffset(months=int(h)) for h in ahead],

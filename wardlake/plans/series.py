@@ -54,12 +54,17 @@ def monthly_series_filled(spark, d):
     return filled_of(spark, d)
 
 
+@query("holt_forecast")
+def holt_forecast(spark, d):
+    return ops.holt_forecast(filled_of(spark, d), 6)
+
+
 @query(
-    "holt_forecast",
+    "holt_fixed_forecast",
     with_ctes("encounters", f"WITH RECURSIVE {SQL_MONTHLY}, {SQL_FILLED}, {SQL_HOLT} SELECT key, month, forecast FROM forecasts"),
 )
-def holt_forecast(spark, d):
-    # fixed parameters, so that the recursion itself can be checked; the search is used by the backtest
+def holt_fixed_forecast(spark, d):
+    """The trend for given smoothing parameters."""
     return ops.extrapolate(ops.holt_fixed(filled_of(spark, d), ALPHA, BETA), 6)
 
 
@@ -97,8 +102,14 @@ def error_metrics(spark, d):
     return ops.error_metrics(naive.where(F.col("forecast").isNotNull()))
 
 
+@query("capacity_plan")
+def capacity_plan(spark, d):
+    filled = filled_of(spark, d)
+    return ops.capacity_plan(filled, ops.holt_forecast(filled, 6))
+
+
 @query(
-    "capacity_plan",
+    "capacity_plan_fixed",
     with_ctes(
         "encounters",
         f"""WITH RECURSIVE {SQL_MONTHLY}, {SQL_FILLED}, {SQL_HOLT},
@@ -108,7 +119,8 @@ def error_metrics(spark, d):
             CASE WHEN inpatient_cases > 0 AND nurses < 1 THEN 1 ELSE nurses END AS nurse_shifts FROM n""",
     ),
 )
-def capacity_plan(spark, d):
+def capacity_plan_fixed(spark, d):
+    """The plan on the trend for given smoothing parameters."""
     filled = filled_of(spark, d)
     return ops.capacity_plan(filled, ops.extrapolate(ops.holt_fixed(filled, ALPHA, BETA), 6))
 
