@@ -33,6 +33,14 @@ def test_neighbours_over_blocks(spark):
     check(spark, rows, 10**9)
 
 
+def test_neighbours_with_skewed_ids(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdé \n中") for _ in range(rng.randint(0, n)))
+    check(spark, [(i, text(60)) for i in range(80)] + [(1 << 60, "far away"), (-(1 << 61), "before all")], 300)
+    check(spark, [(7, text(60)) for _ in range(60)] + [(8, "end")], 300)
+    check(spark, [(None, text(60)) for _ in range(60)] + [(i, text(60)) for i in range(20)], 300)
+
+
 def test_edges(spark):
     check(spark, [(3, "only one text")], 100)
     check(spark, [], 100)

@@ -2,6 +2,9 @@ import glob
 import hashlib
 import os
 import random
+import shutil
+
+import pytest
 
 from wardlake.llm import warc as w
 
@@ -58,6 +61,44 @@ def test_round_trip(spark, tmp_path):
     assert {(r.file, r.sha256) for r in again.collect()} == {(r.file, r.sha256) for r in listed.values()}
 
 
+def test_skewed_page_ids(spark, tmp_path):
+    rng = random.Random(12)
+    html = lambda i: rng.choice(["copy " * 40, "", f"<p>{i}" * 40])
+    shapes = {
+        "outlier": [(i, f"u{i}", html(i)) for i in range(150)] + [(1 << 60, "far", "far" * 50)],
+        "no_ids": [(None, f"u{i}", f"<p>{i}" * 40) for i in range(120)] + [(5, "u", "copy " * 40)],
+        "one_id": [(3, f"u{i}", f"<p>{i % 60}" * 40) for i in range(60)],
+    }
+    for name, rows in shapes.items():
+        manifest = w.write_archives(frame(spark, rows), f"{tmp_path}/{name}", block_bytes=4_000)
+        assert manifest.count() >= 8, name  # many blocks, so many tasks
+        assert got(w.read_archives(spark, f"{tmp_path}/{name}")) == expected(rows)
+
+
+def test_only_the_files_of_the_manifest_are_read(spark, tmp_path):
+    rows, path = sample()[:60], f"{tmp_path}/a"
+    w.write_archives(frame(spark, rows), path, block_bytes=3_000)
+    files = sorted(glob.glob(f"{path}/*.warc.gz"))
+    with pytest.raises(FileExistsError):
+        w.write_archives(frame(spark, rows[:3]), path)
+    # a stale archive beside the others is none of the manifest's
+    shutil.copy(files[0], f"{path}/part-999999-0000.warc.gz")
+    assert got(w.read_archives(spark, path)) == expected(rows)
+    whole = open(files[1], "rb").read()
+    for altered in (whole[:-1], whole + whole, bytes([*whole[:-20], whole[-20] ^ 1, *whole[-19:]])):
+        with open(files[1], "wb") as out:
+            out.write(altered)
+        with pytest.raises(Exception):
+            w.read_archives(spark, path).count()
+    os.remove(files[1])
+    with pytest.raises(Exception):
+        w.read_archives(spark, path).count()
+    # a run that ended between its renames and the manifest
+    shutil.rmtree(f"{path}/_manifest")
+    with pytest.raises(FileNotFoundError):
+        w.read_archives(spark, path)
+
+
 def test_edges(spark):
     assert got(w.round_trip(frame(spark, []))) == []
     twice = [(1, "u", "z" * 200)] * 2 + [(2, "u", "z" * 200), (1, "u", "other")]

@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from wardlake.llm.ranges import Blocks
 from wardlake.llm.words import CHUNK_BYTES, arrow_rows
+from wardlake.session import materialize
 
 BUCKETS = 256
 MAX_DIFFERENCE = 400
 # UTF-8 bytes of text that one block of neighbouring documents holds.
 BLOCK_BYTES = 4 << 20
+# Bytes of a text that place it among rows of one id.
+TIE_BYTES = 7
 
 _CODE_COST = np.array([0, 1, 2, 6], dtype=np.int64)
 
@@ -101,21 +104,23 @@ def edited_with_next(text: str, following: str) -> str:
 def against_neighbours(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Fingerprints of every document and of its edited text, compared with each other and with the next document's.
 
-    Documents are put into blocks of neighbouring ids; the first document of each block also goes, marked, to the
-    block before it (that of the first block to the last), so that every block is finished by itself in one pass over
-    its sorted rows, holding two rows at a time.
+    Documents are put into blocks of neighbouring ids, and of texts where one id has more than a block; the first document
+    of each block also goes, marked, to the block before it (that of the first block to the last), so that every block is
+    finished by itself in one pass over its sorted rows, holding two rows at a time.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    weight = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)
-    blocks = Blocks.of(rows, "doc_id", weight, block_bytes).add(rows, "doc_id")
+    # ids and, among equal ids, the first bytes of the text, in its order
+    head = F.rpad(F.hex(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, TIE_BYTES)), 2 * TIE_BYTES, "0")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.conv(head, 16, 10).cast("bigint").alias("tie")
+    )
+    weight = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)).alias("weight")
+    sizes = materialize(rows.select("doc_id", "tie", weight), "digest-sizes")
+    blocks = Blocks.of(sizes, "doc_id", "tie", F.col("weight"), block_bytes)
+    placed = blocks.add(rows, "doc_id", "tie")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("block_before").alias("block"), F.lit(True).alias("guest"))
-    # the first rows by order: those of the smallest id (any null id comes before)
-    first = F.coalesce(F.col("doc_id"), F.lit(0)) == F.coalesce(F.col("block_first"), F.lit(0))
-    leads = first & (F.col("block_first").isNotNull() | F.col("doc_id").isNull())
-    places = F.when(leads, F.array(own, guest)).otherwise(F.array(own))
-    placed = blocks.select(F.inline(places), "doc_id", "text")
-    dealt = placed.repartition("block").sortWithinPartitions("block", "guest", "doc_id", "text")
+    places = F.when(F.col("leads"), F.array(own, guest)).otherwise(F.array(own))
+    dealt = blocks.deal(placed.select(F.inline(places), "doc_id", "text")).sortWithinPartitions("guest", "doc_id", "text")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         held = None  # the row that waits for the next one of its block

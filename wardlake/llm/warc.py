@@ -1,10 +1,15 @@
 """Deterministic sharded WARC archives: range-sorted records, files rolled by compressed size, committed by manifest.
 
 Writing takes one pass for payload digests, which are grouped to find what repeats, and one shuffle of the payloads
-into blocks of neighbouring page ids. A task sorts its blocks and streams the records, one gzip member each, into files
+into blocks of neighbouring page ids (of digests, where one id has more rows than a block). A task sorts its block and
+streams the records, one gzip member each, into files
 under temporary names, which no other attempt shares; a file that has reached ``roll_bytes`` compressed bytes is
 followed by the next. What a task wrote comes back as manifest rows. Spark commits these once per task, so the manifest
 names exactly one complete file per final name; a second job renames them, and what failed attempts left is removed.
+The manifest is written last: a folder without it is not an archive. Archives go into a folder that holds nothing yet.
+
+Reading takes the manifest's files and no others, as streams, and checks every file's bytes, records and SHA-256
+against it, and every record's digests.
 
 Blocks, record order, headers and record ids depend only on the pages, so the same pages give the same archives byte
 for byte, on any cluster.
@@ -13,7 +18,8 @@ Of records with equal payloads of at least ``min_revisit_bytes`` the one with th
 the others revisit it, in the identical-payload-digest profile.
 
 Defined results: null html is an empty payload; a null url leaves the target URI out; rows without page_id are always
-responses; of repeated rows with one page_id and payload the first is the response; an empty table writes no files.
+responses; of repeated rows with one page_id and payload the first is the response, and these are the only rows that
+must share a task; an empty table writes no files.
 """
 
 from __future__ import annotations
@@ -21,13 +27,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.llm.ranges import Blocks
@@ -41,6 +47,9 @@ ROLL_BYTES = 16 << 20
 CREATED = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 COMPRESSION = 6
+READ_BYTES = 1 << 16
+# Tasks that read an archive at most.
+MAX_READERS = 10_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 _MANIFEST = "file string, written string, records bigint, bytes bigint, sha256 string"
@@ -128,6 +137,11 @@ class _Files:
         return self.name, self.written, self.records, self.size, self.sha.hexdigest()
 
 
+def _tie() -> Column:
+    """The first 60 bits of the digest, in its order."""
+    return F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")
+
+
 def revisits(digests: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of the records that repeat an earlier one's payload."""
     long = digests.where((F.col("n_bytes") >= min_bytes) & F.col("page_id").isNotNull())
@@ -143,18 +157,23 @@ def write_archives(
     roll_bytes: int = ROLL_BYTES,
     min_revisit_bytes: int = MIN_REVISIT_BYTES,
 ) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) under the new folder ``path``; returns the manifest, one row per file."""
+    """Write ``pages`` (page_id, url, html) under ``path``, which must hold nothing; returns the manifest, one row per file."""
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        raise FileExistsError(f"{path} is not empty")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    digests = materialize(rows.select("page_id", "digest", F.octet_length("payload").cast("bigint").alias("n_bytes")), "digests")
-    blocks = Blocks.of(digests, "page_id", F.col("n_bytes") + 512, block_bytes)
+    n_bytes = F.octet_length("payload").cast("bigint").alias("n_bytes")
+    digests = materialize(rows.select("page_id", "digest", _tie().alias("tie"), n_bytes), "digests")
+    blocks = Blocks.of(digests, "page_id", "tie", F.col("n_bytes") + 512, block_bytes)
     known = revisits(digests, min_revisit_bytes).withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
     columns = ["page_id", "digest", "refers_to", "url", "payload"]
     records = rows.withColumn("refers_to", F.lit(None).cast("bigint"))
-    both = blocks.add(known.select(*columns).unionByName(records.select(*columns)), "page_id").select("block", *columns)
+    both = known.select(*columns).unionByName(records.select(*columns)).withColumn("tie", _tie())
     # of a page's rows those that say what it revisits come first
-    dealt = both.repartition("block").sortWithinPartitions("block", "page_id", F.col("payload").isNotNull(), "digest", "url")
+    order = ["page_id", F.col("payload").isNotNull(), "digest", "url"]
+    dealt = blocks.deal(blocks.add(both, "page_id", "tie").select("block", *columns)).sortWithinPartitions(*order)
 
     def write(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         files = _Files(path, roll_bytes)
@@ -182,7 +201,6 @@ def write_archives(
 
     fields = [("file", pa.string()), ("written", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]
     names = [name for name, _ in fields]
-    store, root = fs.FileSystem.from_uri(path)
     store.create_dir(f"{root}/_temporary", recursive=True)
     manifest = materialize(arrow_rows(dealt, write, pa.schema(fields), _MANIFEST), "warc-manifest")
 
@@ -201,18 +219,19 @@ def write_archives(
     return pages.sparkSession.read.parquet(f"{path}/_manifest")
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """Contents of the gzip members of a file, one at a time."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+def members(read: Callable[[int], bytes]) -> Iterator[bytes]:
+    """Contents of the gzip members of a file, one at a time; ``read`` gives its next bytes."""
+    rest = read(READ_BYTES)
+    while rest:
         unpack, parts = zlib.decompressobj(31), []
         while not unpack.eof:
-            piece = view[at : at + 65536]
-            if not len(piece):
+            rest = rest or read(READ_BYTES)
+            if not rest:
                 raise ValueError("the archive ends inside a record")
-            parts.append(unpack.decompress(piece))
-            at += len(piece) - len(unpack.unused_data)
+            parts.append(unpack.decompress(rest))
+            rest = unpack.unused_data
         yield b"".join(parts)
+        rest = rest or read(READ_BYTES)
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -226,9 +245,30 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
+class _Checked:
+    """Reads a file and knows what it has read."""
+
+    def __init__(self, stream: pa.NativeFile) -> None:
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of a finished archive."""
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(f"{root}/_manifest/_SUCCESS").type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{path} has no manifest: its writing was not finished")
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").drop("written")
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of all archives under ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to and,
-    if asked for, payload (null for revisits)."""
+    """Records of the archive under ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to and,
+    if asked for, payload (null for revisits). A missing, short, long or altered file raises ValueError."""
     fields = [
         ("page_id", pa.int64()),
         ("url", pa.string()),
@@ -243,8 +283,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         ddl += ", payload binary"
     schema = pa.schema(fields)
 
-    def parse(data: bytes) -> Iterator[tuple]:
-        for record in members(data):
+    def parse(records: Iterator[bytes]) -> Iterator[tuple]:
+        for record in records:
             headers, block = parse_record(record)
             kind = headers["warc-type"]
             if kind == "warcinfo":
@@ -259,21 +299,31 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             yield (*row, payload if kind == "response" else None) if with_payload else row
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        store, root = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for data in batch["content"]:
-                part, size = [], 0
-                for row in parse(data):
-                    part.append(row)
-                    size += row[3] if with_payload else 256
-                    if size > 8 << 20:
-                        yield dict(zip(schema.names, map(list, zip(*part))))
-                        part, size = [], 0
+            for file, n_records, n_bytes, sha in zip(*(batch[c] for c in ("file", "records", "bytes", "sha256"))):
+                name = file.decode()
+                if store.get_file_info(f"{root}/{name}").size != n_bytes:
+                    raise ValueError(f"{name} is not the file of the manifest: its size differs")
+                part, size, found = [], 0, 0
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    checked = _Checked(stream)
+                    for row in parse(members(checked.read)):
+                        part.append(row)
+                        found += 1
+                        size += row[3] if with_payload else 256
+                        if size > 8 << 20:
+                            yield dict(zip(schema.names, map(list, zip(*part))))
+                            part, size = [], 0
+                if (found, checked.size, checked.sha.hexdigest()) != (n_records, n_bytes, sha.decode()):
+                    raise ValueError(f"{name} is not the file of the manifest")
                 if part:
                     yield dict(zip(schema.names, map(list, zip(*part))))
 
-    binary = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-    files = binary.option("pathGlobFilter", "*.warc.gz").load(path).select("content")
-    return arrow_rows(files, run, schema, ddl)
+    files = read_manifest(spark, path)
+    tasks = max(1, min(MAX_READERS, files.count()))
+    spread = files.repartition(tasks, F.xxhash64("file")) if tasks > 1 else files
+    return arrow_rows(spread, run, schema, ddl)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
