@@ -54,13 +54,29 @@ def test_against_brute_force(spark):
     got = rows(c.judged(frame, bench))
     assert got.pop(93)[0] == 300_000
     assert got == expected
-    # the same through several broadcast parts
+    # the same without the broadcast set
     spans = {r.doc_id: (r.spans, r.items) for r in c.find_leaks(frame, bench).collect()}
     parts = {r.doc_id: (r.spans, r.items) for r in c.find_leaks(frame, bench, max_windows=20).collect()}
     assert parts == spans
     kept = {r.doc_id for r in c.clean_documents(frame, bench).collect()}
     assert kept == {k for k, v in expected.items() if not v[4]} | {93}
     assert c.clean_documents(frame, bench).columns == frame.columns
+    joined = c.clean_documents(frame, bench, max_windows=20)
+    assert joined.columns == frame.columns and sorted(joined.collect()) == sorted(c.clean_documents(frame, bench).collect())
+
+
+def test_large_benchmark_with_hot_windows_and_copies(spark):
+    passage = "this very common passage stands in a third of all documents of the table"
+    docs = [(i, f"own {i} words {passage if i % 3 == 0 else 'nothing shared here'} tail {i}") for i in range(300)]
+    docs += [(1000 + i, f"One copy of: {passage}") for i in range(150)] + [(None, passage), (5, None), (6, ""), (7, "w " * 50_000)]
+    items = [(i, f"question {i} {passage if i % 2 else 'is another one of its own with words enough'} end") for i in range(40)] + [(None, passage)]
+    frame = spark.createDataFrame([(k, v, "x", 1) for k, v in docs], DOCS).repartition(5)
+    bench = spark.createDataFrame([(*i, 0) for i in items], ITEMS)
+    plain = sorted(c.find_leaks(frame, bench).collect(), key=repr)
+    assert sorted(c.find_leaks(frame, bench, max_windows=0).collect(), key=repr) == plain
+    assert sum(bool(r.spans) for r in plain) == 251
+    both = [sorted(c.clean_documents(frame, bench, max_windows=n).collect(), key=repr) for n in (0, 10**6)]
+    assert both[0] == both[1] and len(both[0]) == len(docs) - 251
 
 
 def test_removal_leaves_no_window(spark):
