@@ -64,6 +64,23 @@ def test_nulls_rules_and_outliers(spark):
     assert quality.missing_summary(df).first()["missing"] == 2
 
 
+def test_outliers_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    n = 20_000
+    cols = {"heavy": rng.standard_cauchy(n), "even": rng.random(n), "steps": rng.integers(0, 3, n).astype(float), "flat": np.full(n, 2.0), "rare": np.where(rng.random(n) < 0.01, 9.0, 1.0)}
+    rows = [tuple(None if i % 10 == 0 else float(cols[c][i]) for c in cols) + (None,) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", empty double").repartition(4)
+    got = {r["column_name"]: r for r in quality.outliers_iqr(df, [*cols, "empty"]).collect()}
+    keep = np.arange(n) % 10 != 0
+    for c, x in cols.items():
+        q1, q3 = np.quantile(x[keep], [0.25, 0.75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        want = int(((x[keep] < low) | (x[keep] > high)).sum())
+        assert (got[c]["outliers"], got[c]["min_value"], got[c]["max_value"]) == (want, x[keep].min(), x[keep].max())
+        assert got[c]["lower_bound"] == pytest.approx(low) and got[c]["outlier_pct"] == pytest.approx(100 * want / keep.sum())
+    assert (got["empty"]["outliers"], got["empty"]["outlier_pct"], got["empty"]["lower_bound"]) == (0, None, None)
+
+
 def test_histogram_and_bands(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 5, 9.99, 10, 10)] + [(None,)], "x double")
     assert {r["bin"]: r["n"] for r in quality.histogram(df, "x", 2).collect()} == {0: 1, 1: 4}

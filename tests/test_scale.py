@@ -58,6 +58,24 @@ def test_exact_quantiles_single_value_and_nulls(spark):
         assert not found.get("y")
 
 
+def test_quantiles_of_many_rows_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    n = 60_000
+    cols = {
+        "smooth": rng.normal(5, 2, n), "steps": rng.integers(0, 7, n).astype(float), "far": rng.lognormal(0, 6, n),
+        "sorted": np.arange(n, dtype=float), "flat": np.full(n, 3.0), "gap": np.where(rng.random(n) < 0.25, -1e300, 1e300),
+    }
+    path_rows = [tuple(float(cols[c][i]) for c in cols) + ("hot" if i % 3 else None if i % 9 else "rare",) for i in range(n)]
+    df = spark.createDataFrame(path_rows, ", ".join(f"{c} double" for c in cols) + ", g string").repartition(6)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r["column"]: r["q"] for r in scale.exact_quantiles(df, list(cols), probs, max_state=0).collect()}
+    for c in cols:
+        assert np.allclose(got[c], np.quantile(cols[c], probs), rtol=1e-12), c
+    for r in scale.exact_quantiles(df, ["smooth", "steps"], probs, ["g"], max_state=0).collect():
+        own = np.array([row[-1] == r["g"] for row in path_rows])
+        assert np.allclose(r["q"], np.quantile(cols[r["column"]][own], probs), rtol=1e-12)
+
+
 def test_fits_rows(spark):
     assert scale.fits_rows(spark.range(5), 5)
     assert not scale.fits_rows(spark.range(6), 5)

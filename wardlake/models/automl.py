@@ -141,10 +141,10 @@ def screen_features(df: DataFrame, target: str) -> tuple[list[tuple[str, str]],
     return [(c, reasons[c]) for c in columns if c in reasons], {c: distinct[c] for c in columns if c not in reasons}
 
 
-def _bins(df: DataFrame, columns: Sequence[str], bins: int, known_distinct: float | None = None) -> dict[str, Column]:
+def _bins(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, Column]:
     """Quantile bin number per numeric column as text; missing values take the median's bin."""
     probs = [i / bins for i in range(1, bins)]
-    rows = exact_quantiles(df, columns, [*probs, 0.5], known_distinct=known_distinct).collect() if columns else []
+    rows = exact_quantiles(df, columns, [*probs, 0.5]).collect() if columns else []
     cuts = {r["column"]: r["q"] for r in rows}  # one row per column
     out = {}
     for c in columns:
@@ -166,7 +166,7 @@ def contingency(
         df = df.where(F.col(target).isNotNull())
     numeric = [c for c in candidates if is_numeric(df, c)]
     known = max((distinct[c] for c in numeric), default=0.0) if distinct and few else None
-    wanted = _bins(df, numeric + ([] if few else [target]), bins, known)
+    wanted = _bins(df, numeric + ([] if few else [target]), bins)
     label = F.coalesce(F.col(target).cast("string"), F.lit("Missing")) if few else wanted[target]
     cells = F.array(
         *[

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlake.operators.gram import correlations
-from wardlake.scale import exact_quantiles
+from wardlake.scale import exact_quantiles, quantiles_of_cells, quartile_brackets, rank_cells
 
 # (table, column, violated when, description)
 Rule = tuple[str, str, str, str]
@@ -114,32 +114,35 @@ def column_quality(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def outliers_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
-    """Values beyond the quartiles by more than ``factor`` interquartile ranges, per column."""
-    quartiles = {r["column"]: r["q"] for r in exact_quantiles(df, columns, [0.25, 0.75]).collect()}  # one row per column
-    aggs, records = [], []
+    """Values beyond the quartiles by more than ``factor`` interquartile ranges, per column, in two scans.
+
+    The brackets of the quartiles also bracket the two bounds, so the scan that finds the exact quartiles keeps the
+    values near the bounds too, and what lies beyond them is counted from its result.
+    """
+    columns = list(columns)
+    values = [F.col(c).cast("double") for c in columns]
+    numeric = df.select(*[v.alias(f"__v{i}") for i, v in enumerate(values)])
+    brackets, head = quartile_brackets(numeric, [f"__v{i}" for i in range(len(columns))], factor)
+    cells = rank_cells(numeric, {c: (F.col(f"__v{i}"), [(F.lit(lo), F.lit(hi)) for lo, hi in brackets[i]]) for i, c in enumerate(columns) if brackets[i]})
+    quartiles = {r["column"]: r["q"] for r in quantiles_of_cells(cells, [0.25, 0.75]).collect()}  # one row per column
+    bounds = {c: (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)) for c, (q1, q3) in quartiles.items()}
+    beyond = F.lit(False)
     for i, c in enumerate(columns):
-        q1, q3 = quartiles[c] or (None, None)
-        low = q1 - factor * (q3 - q1) if q1 is not None else None
-        high = q3 + factor * (q3 - q1) if q1 is not None else None
-        value = F.col(c).cast("double")
-        aggs += [
-            F.count_if((value < F.lit(low)) | (value > F.lit(high))).alias(f"o{i}"),
-            F.count(c).alias(f"n{i}"),
-            F.min(value).alias(f"lo{i}"),
-            F.max(value).alias(f"hi{i}"),
-        ]
-        records.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col(f"o{i}").alias("outliers"),
-                (F.lit(100.0) * F.col(f"o{i}") / F.nullif(F.col(f"n{i}"), F.lit(0))).alias("outlier_pct"),
-                F.col(f"lo{i}").alias("min_value"),
-                F.col(f"hi{i}").alias("max_value"),
-                F.lit(low).cast("double").alias("lower_bound"),
-                F.lit(high).cast("double").alias("upper_bound"),
-            )
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*records)))
+        if c in bounds:
+            low, high = bounds[c]
+            below = [2 * k for k, (lo, _) in enumerate(brackets[i]) if lo <= low]
+            above = [2 * k + 2 for k, (_, hi) in enumerate(brackets[i]) if hi >= high]
+            zone, value = F.col("zone"), F.col("value")
+            out = zone.isin(below + above) | (value < F.lit(low)) | (value > F.lit(high))
+            beyond = F.when(F.col("column") == c, out).otherwise(beyond)
+    found = cells.groupBy("column").agg(F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("n"))
+    counts = {r["column"]: r["n"] for r in found.collect()}  # one row per column
+    rows = [
+        (c, counts.get(c, 0), 100.0 * counts.get(c, 0) / n if (n := head[f"n{i}"]) else None, head[f"lo{i}"], head[f"hi{i}"], *bounds.get(c, (None, None)))
+        for i, c in enumerate(columns)
+    ]
+    schema = "column_name string, outliers bigint, outlier_pct double, min_value double, max_value double, lower_bound double, upper_bound double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def implausible_values(df: DataFrame, limits: Mapping[str, str], list_up_to: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@
   bucket gives the rest. The widest task sees one bucket, not one key.
 * ``row_numbers``: the same for ``row_number``.
 * ``sorted_running``: the same without a bucket column: the rows are range-sorted and the partitions are the buckets.
-* ``exact_quantiles``: interpolated quantiles without one task holding every value.
+* ``exact_quantiles``: interpolated quantiles in two scans, without one task holding every value.
 """
 
 from __future__ import annotations
@@ -13,17 +13,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from wardlake.session import materialize
 
-# Distinct values that the `percentile` buffers of one aggregation, over all its columns together, may hold before the
-# ranked path is used.
+# Values that the `percentile` buffers of one aggregation, over all its columns together, may hold; above, values are
+# counted inside brackets.
 MAX_QUANTILE_STATE = 1_000_000
-# Rows wanted per ordered bucket in the ranked path.
-QUANTILE_BUCKET_ROWS = 500_000
+# A rank sketch is off by at most one in so many rows; brackets are wider by this factor.
+SKETCH_ACCURACY, SKETCH_MARGIN = 5_000, 3.0
+# Ordered buckets that the distinct values inside one bracket are spread over.
+ZONE_BUCKETS = 64
 
 
 def one_row(df: DataFrame) -> Column:
@@ -120,81 +121,103 @@ def sorted_running(
     return running(laid, keys, F.col("__part"), order, sums)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    groups: Sequence[str] = (),
-    max_state: int = MAX_QUANTILE_STATE,
-    known_distinct: float | None = None,
-) -> DataFrame:
-    """Interpolated quantiles of numeric ``columns``: rows ``(groups..., column, q ARRAY<DOUBLE>)``.
+# --- exact quantiles from rank sketches ----------------------------------------------------------
 
-    One cheap pass estimates the distinct counts. Up to ``max_state`` the built-in ``percentile``
-    holds its value->count map safely. Above it, rows are counted per ordered bucket without being
-    shuffled, and only the buckets holding a wanted rank are looked into. Both ways are exact. A caller
-    that already knows the largest distinct count passes it and saves the first pass.
-    """
-    columns = list(columns)
-    numeric = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
-    n_rows = None
-    if known_distinct is None:
-        rough = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]
-        n_rows, *seen = numeric.agg(F.count("*"), *rough).first()
-        known_distinct = max(seen)
-    if known_distinct * len(columns) <= max_state:
-        wide = numeric.groupBy(*groups).agg(
-            *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
-        )
-        return wide.unpivot(list(groups), columns, "column", "q")
-    n_rows = numeric.count() if n_rows is None else n_rows
-    buckets = max(8, n_rows // QUANTILE_BUCKET_ROWS)
-    return _ranked_quantiles(numeric, columns, probs, groups, buckets)
+
+def _edges(probs: Sequence[float]) -> list[tuple[float | None, float | None]]:
+    """Per probability the shares between which a sketch surely places it; None is open."""
+    margin = SKETCH_MARGIN / SKETCH_ACCURACY
+    return [(p - margin if p > margin else None, p + margin if p < 1 - margin else None) for p in probs]
+
+
+def _sketches(columns: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    """Per column the rank sketch read at all edges (an array) and the number of values."""
+    at = sorted({e for pair in _edges(probs) for e in pair if e is not None} | {0.5})
+    shares = F.array(*[F.lit(e) for e in at])
+    return [F.approx_percentile(c, shares, F.lit(SKETCH_ACCURACY)).alias(f"__sketch{i}") for i, c in enumerate(columns)] + [
+        F.count(c).alias(f"__n{i}") for i, c in enumerate(columns)
+    ]
 
 
-def _ranked_quantiles(
-    df: DataFrame, columns: list[str], probs: Sequence[float], groups: Sequence[str], n_buckets: int
+def _bracket_columns(probs: Sequence[float], sketch: Column) -> list[tuple[Column, Column]]:
+    """Per probability the values (low, high) that bracket it; infinite where it is open."""
+    at = sorted({e for pair in _edges(probs) for e in pair if e is not None} | {0.5})
+    read = {e: sketch[i] for i, e in enumerate(at)}
+    return [
+        (F.lit(float("-inf")) if low is None else read[low], F.lit(float("inf")) if high is None else read[high])
+        for low, high in _edges(probs)
+    ]
+
+
+def rank_cells(
+    df: DataFrame, brackets: Mapping[str, tuple[Column, Sequence[tuple[Column, Column]]]], groups: Sequence[str] = ()
 ) -> DataFrame:
-    steps = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(columns, steps, 0.25 / n_buckets)
-    splits = [[float("-inf"), *(sorted(set(cut)) or [0.0]), float("inf")] for cut in cuts]
-    marks = [f"__b{i}" for i in range(len(columns))]
-    bucketed = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=marks, handleInvalid="keep").transform(df)
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(m).alias("bucket"), F.col(c).alias("value"))
-            for c, m in zip(columns, marks)
-        ]
-    )
-    long = bucketed.select(*groups, F.inline(F.filter(cells, lambda x: x.value.isNotNull())))
+    """Counts ``(groups..., column, zone, value, n)`` of one scan: values inside a bracket one by one, the others by zone.
 
+    ``brackets`` has per column its value and the brackets, which must not fall from one to the next. Zone 2i+1 is inside bracket i, zone 2i before it; ``value``
+    is NULL outside. Written once, as it is small and read several times.
+    """
+    records = []
+    for name, (value, pairs) in brackets.items():
+        zone = F.lit(2 * len(pairs))
+        for i in range(len(pairs) - 1, -1, -1):
+            low, high = pairs[i]
+            within = (value <= high) | (high == float("inf"))
+            zone = F.when(value < low, F.lit(2 * i)).when(within, F.lit(2 * i + 1)).otherwise(zone)
+        records.append(F.struct(F.lit(name).alias("column"), zone.alias("zone"), value.alias("value")))
+    long = df.select(*groups, F.inline(F.filter(F.array(*records), lambda r: r.value.isNotNull())))
+    kept = F.when(F.col("zone") % 2 == 1, F.col("value")).alias("value")
+    cells = long.select(*groups, "column", "zone", kept).groupBy(*groups, "column", "zone", "value")
+    return materialize(cells.agg(F.count("*").alias("n")), "rank-cells")
+
+
+def quartile_brackets(df: DataFrame, columns: Sequence[str], factor: float) -> tuple[list[list[tuple[float, float]]], Row]:
+    """Per column the brackets of both quartiles and of the bounds ``factor`` quartile distances away, joined where they
+    overlap; none where there is no value. Beside them the row of that scan, with n, lo and hi per column."""
+    head = df.agg(
+        *_sketches(columns, [0.25, 0.75]),
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
+    ).first()
+    at = sorted({e for pair in _edges([0.25, 0.75]) for e in pair} | {0.5})
+    out = []
+    for i in range(len(columns)):
+        if not head[f"n{i}"]:
+            out.append([])
+            continue
+        read = dict(zip(at, head[f"__sketch{i}"]))
+        (a, b), (c, d) = [(read[low], read[high]) for low, high in _edges([0.25, 0.75])]
+        f = factor
+        # what rounding may move
+        slack = 1e-9 * max(abs(a), abs(d)) * (1 + f)
+        spans = [(a, b), (c, d), ((1 + f) * a - f * d, (1 + f) * b - f * c), ((1 + f) * c - f * b, (1 + f) * d - f * a)]
+        joined: list[tuple[float, float]] = []
+        for low, high in sorted((lo - slack, hi + slack) for lo, hi in spans):
+            if joined and low <= joined[-1][1]:
+                joined[-1] = joined[-1][0], max(joined[-1][1], high)
+            else:
+                joined.append((low, high))
+        out.append(joined)
+    return out, head
+
+
+def quantiles_of_cells(cells: DataFrame, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles ``(groups..., column, q)`` from the counts of ``rank_cells``."""
     key = [*groups, "column"]
-    buckets = long.groupBy(*key, "bucket").agg(F.count("*").alias("bucket_n"))
-    by_bucket = Window.partitionBy(*key).orderBy("bucket")
-    placed = buckets.select(
-        *key,
-        "bucket",
-        (F.sum("bucket_n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bucket_n")).alias("before"),
-        F.col("bucket_n"),
-        F.sum("bucket_n").over(Window.partitionBy(*key)).alias("total"),
-    )
+    # inside a bracket distinct values are spread over ordered buckets by their share of the way from 0 to its end
+    spans = cells.groupBy(*key, "zone").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
+    spread = null_safe_join(cells, spans, [*key, "zone"])
+    way = (F.col("value") / 2 - F.col("__lo") / 2) / F.nullif(F.col("__hi") / 2 - F.col("__lo") / 2, F.lit(0.0))
+    part = F.coalesce(F.least(F.floor(way * ZONE_BUCKETS), F.lit(ZONE_BUCKETS - 1)), F.lit(0))
+    bucket = F.col("zone") * ZONE_BUCKETS + part
+    counted = running(
+        spread.select(*key, "zone", "value", "n", bucket.cast("bigint").alias("__at")), key, F.col("__at"), [F.col("value")],
+        {"upto": F.col("n")}, {"total": F.col("n")},
+    )
+    ranked = counted.withColumn("from", F.col("upto") - F.col("n"))
     positions = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
 
-    def holds(pos: Column) -> Column:
-        return (F.col("before") <= F.ceil(pos)) & (F.col("before") + F.col("bucket_n") > F.floor(pos))
-
-    wanted = placed.where(reduce(lambda a, b: a | b, [holds(p) for p in positions]))
-    # only rows of wanted buckets are counted per value and shuffled
-    rows = (
-        null_safe_join(long, wanted, [*key, "bucket"])
-        .groupBy(*key, "bucket", "value")
-        .agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("total").alias("total"))
-    )
-    inside = Window.partitionBy(*key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("upto", F.col("before") + F.sum("n").over(inside)).withColumn(
-        "from", F.col("upto") - F.col("n")
-    )
-
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("value")))
 
@@ -207,13 +230,52 @@ def _ranked_quantiles(
     def interpolated(i: int) -> Column:
         pos = positions[i]
         low, high = F.floor(pos), F.ceil(pos)
-        return F.when(low == high, F.col(f"lo{i}")).otherwise(
+        missed = F.col(f"lo{i}").isNull() | F.col(f"hi{i}").isNull()
+        value = F.when(low == high, F.col(f"lo{i}")).otherwise(
             (high - pos) * F.col(f"lo{i}") + (pos - low) * F.col(f"hi{i}")
         )
+        return F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(value)
 
     return picked.select(*key, F.array(*[interpolated(i) for i in range(len(probs))]).alias("q"))
 
 
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    groups: Sequence[str] = (),
+    max_state: int = MAX_QUANTILE_STATE,
+) -> DataFrame:
+    """Interpolated quantiles of numeric ``columns``: rows ``(groups..., column, q ARRAY<DOUBLE>)``, in two scans.
+
+    The first makes a mergeable rank sketch per column and group, which brackets every wanted rank. Up to ``max_state``
+    values the built-in ``percentile`` then holds them all; above, the second scan counts what lies inside the brackets,
+    a few thousandths of the rows, value by value and the rest by zone (``rank_cells``). Both ways are exact.
+    """
+    columns = list(columns)
+    values = [f"__v{i}" for i in range(len(columns))]
+    numeric = df.select(*groups, *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values)])
+    sketched = numeric.groupBy(*groups).agg(*_sketches(values, probs))
+    if groups:
+        sketched = materialize(sketched, "rank-sketches")
+        known = sketched.agg(*[F.sum(f"__n{i}") for i in range(len(columns))]).first()
+    else:
+        head = sketched.first()
+        known = [head[f"__n{i}"] for i in range(len(columns))]
+    if sum(n or 0 for n in known) <= max_state:
+        shares = F.array(*[F.lit(float(p)) for p in probs])
+        held = [F.struct(F.lit(c).alias("column"), F.percentile(v, shares).alias("q")) for c, v in zip(columns, values)]
+        return numeric.groupBy(*groups).agg(F.array(*held).alias("__held")).select(*groups, F.inline("__held"))
+    order = sorted({float(p) for p in probs})
+    if groups:
+        numeric = null_safe_join(numeric, sketched.drop(*[f"__n{i}" for i in range(len(columns))]), groups)
+        sketches = [F.col(f"__sketch{i}") for i in range(len(columns))]
+    else:
+        sketches = [F.array(*[F.lit(x) for x in head[f"__sketch{i}"] or []]) for i in range(len(columns))]
+    brackets = {c: (F.col(v), _bracket_columns(order, k)) for c, v, k, n in zip(columns, values, sketches, known) if n}
+    return quantiles_of_cells(rank_cells(numeric, brackets, groups), probs, groups)
+
+
 def quantile_scalar(df: DataFrame, column: str, prob: float) -> Column:
     """One exact quantile of a column as a scalar subquery."""
     return one_row(exact_quantiles(df, [column], [prob]).select(F.col("q")[0].alias("q")))
