@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from wardlake.models import automl, risk
+from wardlake.models.neighbours import neighbour_information
 from wardlake.models.store import ModelStore, fingerprint
 from wardlake.operators import model_eval as ops
 from wardlake.plans import models as plans
@@ -128,6 +130,49 @@ def test_suggest(spark):
     assert ranked[0] == "group" and set(ranked) == {"group", "bmi", "noise"}
 
 
+def plain_information(x, y, k=3):
+    """The neighbour estimate by comparing every pair."""
+    gamma = 0.5772156649015329
+    psi = lambda n: -gamma + sum(1 / i for i in range(1, int(n)))
+    sizes = {c: int((y == c).sum()) for c in set(y)}
+    keep = np.array([sizes[c] > 1 for c in y])
+    x, y = x[keep], y[keep]
+    ks, ms = [], []
+    for i in range(len(x)):
+        own = np.sort(np.abs(x[(y == y[i]) & (np.arange(len(x)) != i)] - x[i]))
+        kk = min(k, len(own))
+        d = own[kk - 1]
+        away = np.abs(x - x[i])
+        ks.append(kk)
+        ms.append(int((away < d).sum()) if d > 0 else int((away == 0).sum()))
+    mean = lambda values: sum(map(psi, values)) / len(values)
+    return max(0.0, psi(len(x)) + mean(ks) - mean([sizes[c] for c in y]) - mean(ms))
+
+
+def test_neighbour_information_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    n = 2000
+    y = rng.choice(["a", "b", "c", "few"], n, p=[0.6, 0.3, 0.097, 0.003])
+    y[5], y[6] = "alone", "two"
+    y[7] = "two"
+    exact = lambda v: np.round(v * 2**20) / 2**20  # sums and differences without rounding
+    cols = {
+        "shifted": exact(rng.normal(0, 1, n) + (y == "b") * 2.0), "noise": exact(rng.random(n)), "ties": rng.integers(0, 5, n).astype(float),
+        "ring": exact(np.where(y == "a", rng.choice([-3, 3], n), 0) + rng.normal(0, 0.3, n)), "flat": np.ones(n),
+    }
+    rows = [(str(y[i]), *(float(v[i]) for v in cols.values()), None if i % 4 else float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "y string, " + ", ".join(f"{c} double" for c in cols) + ", gaps double").repartition(5)
+    for block_rows in (50_000, 64):
+        got = {r["feature"]: r["score"] for r in neighbour_information(df, "y", [*cols, "gaps"], block_rows=block_rows).collect()}
+        for c, x in cols.items():
+            assert got[c] == pytest.approx(plain_information(x, y), abs=1e-9), c
+        present = np.arange(n) % 4 == 0
+        assert got["gaps"] == pytest.approx(plain_information(np.arange(n)[present].astype(float), y[present]), abs=1e-9)
+    assert got["ring"] > got["shifted"] > 0.1 > got["noise"]
+    ranked = automl.suggest_features(df.select("y", *cols), "y", neighbours=True).where("verdict <> 'dropped'").collect()
+    assert max(ranked, key=lambda r: r["score"])["column_name"] == "ring"
+
+
 def report_of(frame):
     out = {}
     for r in frame.collect():

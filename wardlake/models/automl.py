@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from wardlake.functions.scalars import key_mix
 from wardlake.operators import model_eval
+from wardlake.models.neighbours import neighbour_information
 from wardlake.scale import exact_quantiles
 from wardlake.session import materialize
 
@@ -194,8 +195,12 @@ def mutual_information(counts: DataFrame) -> DataFrame:
     return joined.groupBy("feature").agg(F.sum(term.cast("decimal(28,15)")).cast("double").alias("score"))
 
 
-def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES) -> DataFrame:
-    """``(column_name, verdict, reason, score)``: suggested and other candidates ranked by signal, and the dropped."""
+def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES, neighbours: bool = False) -> DataFrame:
+    """``(column_name, verdict, reason, score)``: suggested and other candidates ranked by signal, and the dropped.
+
+    Signal is mutual information over quantile bins. With ``neighbours``, and classes as target, number columns are
+    scored by nearest neighbours instead, which sees what bins blur but sorts every column.
+    """
     spark = df.sparkSession
     schema = "column_name string, verdict string, reason string, score double"
     dropped, candidates = screen_features(df, target)
@@ -208,6 +213,9 @@ def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES) -> D
     counts = materialize(contingency(df, target, list(candidates), distinct=candidates), "contingency")
     found = mutual_information(counts).collect()  # one row per candidate column
     scores = {r["feature"]: r["score"] for r in found}
+    numbers = [c for c in candidates if is_numeric(df, c)]
+    if neighbours and numbers and problem_types(df, [target]).first()["problem_type"] == "classification":
+        scores |= {r["feature"]: r["score"] for r in neighbour_information(df, target, numbers).collect()}
     ranked = sorted(candidates, key=lambda c: -scores.get(c, 0.0))
     with_signal = [c for c in ranked if scores.get(c, 0.0) > 1e-12]
     chosen = (with_signal or ranked)[:top_k]

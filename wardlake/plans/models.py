@@ -235,6 +235,12 @@ def suggest_features(spark, d):
     return found.select("column_name", "verdict", "reason", place.cast("bigint").alias("place"))
 
 
+@query("suggest_by_neighbours")
+def suggest_by_neighbours(spark, d):
+    """Graded documents: what tells the toxic ones, numbers scored by nearest neighbours."""
+    return automl.suggest_features(graded_documents(spark, d).drop("doc_id"), "toxic", neighbours=True)
+
+
 @query("automl_train")
 def automl_train(spark, d):
     table = graded_documents(spark, d)
