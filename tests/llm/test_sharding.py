@@ -53,3 +53,38 @@ def test_differencing_beats_greedy_order_and_respects_loads():
     sums = np.bincount(s.differencing(sizes, 24, loads), weights=sizes, minlength=24) + loads
     assert sums.max() - sums.min() < 20
     assert np.bincount(s.differencing([5, 4, 3, 2, 2], 2), weights=[5, 4, 3, 2, 2]).tolist() == [8, 8]
+
+
+def plain_differencing(sizes, k):
+    """Karmarkar-Karp on plain lists: the two partitions of largest spread, one against the other turned round."""
+    parts = [(-size, i, [size] + [0] * (k - 1)) for i, size in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort()
+        (_, _, a), (_, _, b) = parts.pop(0), parts.pop(0)
+        both = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        both = [x - both[-1] for x in both]
+        parts.append((-both[0], len(sizes) * 2 + sum(sizes) - len(parts), both))
+    return parts[0][2] if parts else [0] * k
+
+
+def test_differencing_against_all_assignments():
+    rng = random.Random(7)
+    best_found = 0
+    for _ in range(60):
+        n = rng.randint(1, 8)
+        sizes = [rng.randint(1, 60) for _ in range(n)]
+        sums = np.bincount(s.differencing(sizes, 3), weights=sizes, minlength=3)
+        every = (np.bincount(a, weights=sizes, minlength=3).max() for a in itertools.product(range(3), repeat=n))
+        best = min(every)
+        assert best <= sums.max() <= 4 / 3 * best and sums.sum() == sum(sizes)
+        best_found += sums.max() == best
+    assert best_found >= 36
+
+
+def test_differencing_against_one_plain_heap():
+    rng = random.Random(8)
+    for k, n in ((2, 40), (5, 60), (24, 200)):
+        sizes = rng.sample(range(1, 100_000), n)
+        sums = np.bincount(s.differencing(sizes, k), weights=sizes, minlength=k)
+        plain = plain_differencing(sizes, k)
+        assert sums.max() - sums.min() == plain[0]

@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 
+import pytest
+
 from wardlake.llm import urls as u
 
 PAGES = "page_id bigint, url string, html string, host string, score string"
@@ -71,12 +73,36 @@ def test_empty_table(spark):
     assert u.judged(frame(spark, [])).count() == 0
 
 
-def test_top_counts_stay_within_the_limit(spark):
-    counts = spark.createDataFrame([(f"w{i}", 1 + i // 10) for i in range(1000)], "word string, n bigint")
-    got = u.top(counts, 300)
-    assert 150 < len(got) <= 300
-    assert min(r.n for r in got) > 70
-    assert len(u.top(counts, 5000)) == 1000 and u.top(counts, 0) == []
+def test_weights_against_plain_naive_bayes(spark):
+    rng = random.Random(9)
+    counts = {f"{rng.choice('hp')}:w{i}": (n := rng.randint(1, 40), rng.randint(0, n)) for i in range(300)}
+    counts |= {"h:casino": (9, 2), "p:shop": (30, 1)}
+    found = spark.createDataFrame([(t, n, b) for t, (n, b) in counts.items()], "token string, n bigint, blocked bigint")
+    got = {r.token: r.weight for r in u.log_odds(found, ()).collect()}
+    bad, all_ = sum(b for _, b in counts.values()), sum(n for n, _ in counts.values())
+    vocabulary = len(counts) + 1  # and one for what was never seen
+    for token, (n, b) in counts.items():
+        plain = math.log((b + u.SMOOTHING) / (bad + u.SMOOTHING * vocabulary)) - math.log((n - b + u.SMOOTHING) / (all_ - bad + u.SMOOTHING * vocabulary))
+        if token[2:] in u.SEEDS:
+            assert got[token] > plain
+        else:
+            assert got[token] == pytest.approx(plain, abs=1e-12)
+    assert set(got) == set(counts) | {m + w for w in u.SEEDS for m in ("h:", "p:")}
+
+
+def test_verdicts_are_the_sums_of_the_weights(spark):
+    rng = random.Random(10)
+    pool = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(i, f"http://{rng.choice(pool)}.{rng.choice(['fine', 'evil'])}/{rng.choice(pool)}{i % 3}", " ".join(pool * 3)) for i in range(200)]
+    rows += [(500 + i, f"http://{a}{b}.other/{b}", "") for i, (a, b) in enumerate((a, b) for a in pool for b in pool)]
+    rules = [("fine/", "allow"), ("evil/", "block")]
+    pages = frame(spark, rows)
+    uses = u._uses(u._placed(pages), rules)
+    weights = {r.run: r.weight for r in u.run_weights(uses, pages, rules).collect()}
+    for r in u.judged(pages, rules).collect():
+        score = sum(weights.get(run, 0.0) for run in u.marked_runs(r.host, r.path))
+        assert r.score == pytest.approx(score, abs=1e-9)
+        assert r.rule or r.verdict == ("block" if score >= math.log(u.MIN_ODDS) else "allow")
 
 
 def test_rare_words_count_however_many_words_there_are(spark):

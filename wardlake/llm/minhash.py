@@ -362,5 +362,6 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def clean_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     """``docs`` with the smallest doc_id of every group of near-duplicates only."""
-    dropped = near_duplicates(docs, k).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    gone = "__gone" + "_" * max(map(len, docs.columns))  # longer than any column, so a name of its own
+    dropped = near_duplicates(docs, k).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")

@@ -150,19 +150,6 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(words).where(long).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def top(counts: DataFrame, limit: int) -> list:
-    """At most ``limit`` rows of the largest ``n``: all above a cut that a histogram of log counts gives."""
-    level = F.floor(F.log2("n") * 16)
-    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
-    cut, total = None, 0
-    for at, rows in sorted(((r.level, r.rows) for r in levels), reverse=True):
-        total += rows
-        if total > limit:
-            break
-        cut = at
-    return [] if cut is None else counts.where(level >= cut).collect()
-
-
 def _placed(pages: DataFrame) -> DataFrame:
     """page_id, url and the block of ``1 << BLOCK_BITS`` rows at most, written once so that blocks stay as they are."""
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")
