@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,22 @@ def test_a_write_that_dies_leaves_the_table_as_it_was(spark, tmp_path):
     assert len(gone) == 2 and kept in gone and len(os.listdir(f"{table}/versions")) == 1
     assert layers.read_layer(spark, root, "silver", "x").count() == 2
     assert not [f for f in os.listdir(table) if f.startswith("_current.")]
+
+
+def test_lookup_layout_lets_row_groups_be_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "LOOKUP_GROUP_BYTES", 20_000)
+    rows = spark.range(120_000).select((F.col("id") * 7919 % 5003).alias("patient"), F.uuid().alias("note"))
+    layers.write_silver(rows.repartition(6), str(tmp_path), "x", "patient")
+    version = snapshots.current_version(spark, f"{tmp_path}/silver/x")
+    groups = []
+    for name in os.listdir(f"{tmp_path}/silver/x/versions/{version}"):
+        if name.endswith(".parquet"):
+            meta = pq.ParquetFile(f"{tmp_path}/silver/x/versions/{version}/{name}").metadata
+            for g in range(meta.num_row_groups):
+                column = next(c for c in (meta.row_group(g).column(i) for i in range(2)) if c.path_in_schema == "patient")
+                groups.append((column.statistics.min, column.statistics.max))
+    hit = [g for g in groups if g[0] <= 4321 <= g[1]]
+    assert len(groups) >= 20 and 1 <= len(hit) <= 2  # the others are skipped by their bounds
+    found = layers.read_layer(spark, str(tmp_path), "silver", "x").where("patient = 4321")
+    assert found.count() == rows.where("patient = 4321").count() > 0
+    assert "PushedFilters: [IsNotNull(patient), EqualTo(patient,4321)]" in found._jdf.queryExecution().toString()

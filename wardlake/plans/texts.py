@@ -510,7 +510,7 @@ def embed_text(spark, d):
     chunks = materialize(chunks_of(spark, d), "chunks")
     coded = retrieval.embed(chunks, retrieval.fit_encoder(chunks))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return coded.select("chunk_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+    return coded.select("chunk_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"), "embedding")
 
 
 def text_search(spark, d):

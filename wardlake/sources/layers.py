@@ -25,9 +25,9 @@ def load_bronze(df: DataFrame, root: str, name: str) -> None:
     write_snapshot(stamped, f"{root}/bronze/{name}")
 
 
-def write_silver(df: DataFrame, root: str, name: str) -> None:
-    """Replace one typed silver table; running it again gives the same table."""
-    write_snapshot(df, f"{root}/silver/{name}")
+def write_silver(df: DataFrame, root: str, name: str, lookup: str | None = None) -> None:
+    """Replace one typed silver table, laid out by ``lookup`` if given; running it again gives the same table."""
+    write_snapshot(df, f"{root}/silver/{name}", lookup)
 
 
 def read_layer(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:

@@ -12,7 +12,10 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+# Bytes of a row group in a table laid out for lookups.
+LOOKUP_GROUP_BYTES = 1 << 20
 POINTER = "_current"
 VERSIONS = "versions"
 
@@ -62,10 +65,19 @@ def current_version(spark: SparkSession, table: str) -> str | None:
     return _Files(spark, table).read(f"{table}/{POINTER}")
 
 
-def write_snapshot(df: DataFrame, table: str) -> str:
-    """Replace the table by ``df``; returns the new version. ``df`` may read the table itself."""
+def write_snapshot(df: DataFrame, table: str, lookup: str | None = None) -> str:
+    """Replace the table by ``df``; returns the new version. ``df`` may read the table itself.
+
+    With ``lookup`` rows are laid out for reading a single value of that column: sorted over all files, so that their
+    row groups' bounds tell which may hold it, in small row groups with a bloom filter each.
+    """
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{table}/{VERSIONS}/{version}")
+    writer = df.write
+    if lookup:
+        laid = df.repartitionByRange(F.col(lookup)).sortWithinPartitions(lookup)
+        filters = {f"parquet.bloom.filter.enabled#{lookup}": "true", "parquet.block.size": str(LOOKUP_GROUP_BYTES)}
+        writer = laid.write.options(**filters)
+    writer.parquet(f"{table}/{VERSIONS}/{version}")
     _Files(df.sparkSession, table).replace(f"{table}/{POINTER}", version)
     return version
 
