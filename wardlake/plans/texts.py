@@ -462,7 +462,8 @@ def passages_of(spark, d, k=5):
     return retrieved_of(spark, d).where(F.col("rank") <= k).join(texts, "chunk_id")
 
 
-SQL_VCITATION = SQL_CITATION
+# a vector without a text has no source, and its own number stands for the document
+SQL_VCITATION = SQL_CITATION.replace("upper(source)", "upper(coalesce(source, 'unknown'))").replace("doc_id", "CAST(chunk_id AS VARCHAR)")
 
 
 @query(
