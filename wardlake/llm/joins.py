@@ -11,6 +11,8 @@ from wardlake.session import materialize
 HOT_SHARE = 20_000
 # Most rows of ids that are broadcast; above that the join shuffles.
 MAX_BROADCAST_ROWS = 1_000_000
+# Edges that go through a star round in one task: so few cost less than the tasks of the round's shuffles.
+FEW_EDGES = 200_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, values: list[str]) -> DataFrame:
@@ -45,7 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     stars = materialize(_directed(edges), "edges")
     state = _state(stars)
     while True:
-        stars = materialize(_small_star(_large_star(stars)), "edges")
+        # a single partition meets every grouping and join of the round without a shuffle
+        held = stars.coalesce(1) if state[0] <= FEW_EDGES else stars
+        stars = materialize(_small_star(_large_star(held)), "edges")
         after = _state(stars)
         if after == state:
             break
@@ -63,9 +67,8 @@ def _state(stars: DataFrame) -> tuple:
 
 
 def _large_star(stars: DataFrame) -> DataFrame:
-    both = stars.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(
-        stars.select(F.col("low").alias("u"), F.col("high").alias("v"))
-    )
+    ends = F.array(F.struct(F.col("high").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("high").alias("v")))
+    both = stars.select(F.inline(ends))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     tied = both.where("v > u").join(least, "u").where("v <> m")
     return tied.select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
@@ -73,5 +76,8 @@ def _large_star(stars: DataFrame) -> DataFrame:
 
 def _small_star(stars: DataFrame) -> DataFrame:
     least = stars.groupBy("high").agg(F.min("low").alias("m"))
-    tied = stars.join(least, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
-    return tied.unionByName(least.select("high", F.col("m").alias("low"))).distinct()
+    # an edge to the smallest itself stays, any other also ties its lower end to the smallest
+    own = F.struct("high", F.col("m").alias("low"))
+    tied = F.struct(F.col("low").alias("high"), F.col("m").alias("low"))
+    ends = F.when(F.col("low") == F.col("m"), F.array(own)).otherwise(F.array(tied))
+    return stars.join(least, "high").select(F.inline(ends)).distinct()
