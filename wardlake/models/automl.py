@@ -208,6 +208,8 @@ def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES, neig
     if not candidates:
         return out
     if df.where(F.col(target).isNotNull()).limit(MIN_SCORED_ROWS).count() < MIN_SCORED_ROWS:
+    # written once, as every pass below would repeat the joins and shuffles that made the table; files hold no void column
+    df = materialize(df.withColumns({c: F.lit(None).cast("string") for c, t in df.dtypes if t == "void"}), "suggest-table")
         unscored = [(c, "suggested" if i < top_k else "candidate", "", 0.0) for i, c in enumerate(candidates)]
         return out.unionByName(spark.createDataFrame(unscored, schema))
     counts = materialize(contingency(df, target, list(candidates), distinct=candidates), "contingency")
