@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -33,6 +34,10 @@ MIN_SCORED_ROWS = 10
 HASH_WIDTH = 1 << 16
 # The deepest tree MLlib grows; the plan is to let trees grow freely.
 MAX_DEPTH = 30
+# Training rows that fill one task.
+TASK_ROWS = 20_000
+# Rows remember their node instead of walking all trees again for every group of nodes.
+FOREST = {"cacheNodeIds": True}
 
 # Name fragments that give the outcome away.
 LEAKY_NAMES = [
@@ -203,13 +208,13 @@ def suggest_features(df: DataFrame, target: str, top_k: int = TOP_FEATURES, neig
     """
     spark = df.sparkSession
     schema = "column_name string, verdict string, reason string, score double"
+    # written once, as every pass below would repeat the joins and shuffles that made the table; files hold no void column
+    df = materialize(df.withColumns({c: F.lit(None).cast("string") for c, t in df.dtypes if t == "void"}), "suggest-table")
     dropped, candidates = screen_features(df, target)
     out = spark.createDataFrame([(c, "dropped", why, None) for c, why in dropped], schema)
     if not candidates:
         return out
     if df.where(F.col(target).isNotNull()).limit(MIN_SCORED_ROWS).count() < MIN_SCORED_ROWS:
-    # written once, as every pass below would repeat the joins and shuffles that made the table; files hold no void column
-    df = materialize(df.withColumns({c: F.lit(None).cast("string") for c, t in df.dtypes if t == "void"}), "suggest-table")
         unscored = [(c, "suggested" if i < top_k else "candidate", "", 0.0) for i, c in enumerate(candidates)]
         return out.unionByName(spark.createDataFrame(unscored, schema))
     counts = materialize(contingency(df, target, list(candidates), distinct=candidates), "contingency")
@@ -301,7 +306,7 @@ def train_on_upload(
         split = data.withColumns({"__y": F.col(target).cast("double"), "is_test": held})
     split = materialize(split, "upload-split")
     filled = materialize(fill_missing(split, split.where(~F.col("is_test")), numeric, text), "upload-filled")
-    train, test = filled.where(~F.col("is_test")), filled.where("is_test")
+    train, test = _spread(filled.where(~F.col("is_test")), key), filled.where("is_test")
     fit = _fit_classes if kind == "classification" else _fit_numbers
     model, predicted, scores = fit(train, test, _stages(train, numeric, text, hashed), trees, depth)
     weights = _importances(predicted, model.stages[-1].featureImportances)
@@ -311,6 +316,12 @@ def train_on_upload(
     return spark.createDataFrame(known, REPORT).unionByName(sizes.select(F.lit("rows").alias("part"), "*")).unionByName(scores)
 
 
+def _spread(train: DataFrame, key: str) -> DataFrame:
+    """Training rows dealt over as many tasks as they fill, the same way each time, however few files they came from."""
+    tasks = math.ceil(train.count() / TASK_ROWS)
+    return train.repartition(tasks, key).sortWithinPartitions(key) if tasks > 1 else train
+
+
 def _as_part(wide: DataFrame, part: str) -> DataFrame:
     doubles = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
     return doubles.unpivot([], doubles.columns, "name", "value").select(F.lit(part).alias("part"), "name", "value")
@@ -318,7 +329,7 @@ def _as_part(wide: DataFrame, part: str) -> DataFrame:
 
 def _fit_classes(train: DataFrame, test: DataFrame, stages: list, trees: int, depth: int) -> tuple:
     index = StringIndexer(inputCol="__y", outputCol="label", handleInvalid="keep")
-    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42)
+    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42, **FOREST)
     model = Pipeline(stages=[index, *stages, forest]).fit(model_eval.with_weights(train, "__y"))
     named = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
     predicted = named.transform(model.transform(test))
@@ -328,7 +339,7 @@ def _fit_classes(train: DataFrame, test: DataFrame, stages: list, trees: int, de
 
 
 def _fit_numbers(train: DataFrame, test: DataFrame, stages: list, trees: int, depth: int) -> tuple:
-    forest = RandomForestRegressor(labelCol="__y", numTrees=trees, maxDepth=depth, seed=42)
+    forest = RandomForestRegressor(labelCol="__y", numTrees=trees, maxDepth=depth, seed=42, **FOREST)
     model = Pipeline(stages=[*stages, forest]).fit(train)
     predicted = model.transform(test)
     return model, predicted, _as_part(model_eval.regression_report(predicted, "__y", "prediction"), "metric")
