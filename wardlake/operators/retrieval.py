@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -165,7 +166,7 @@ def _broadcast_search(items: DataFrame, head: pd.DataFrame, k: int, by_tenant: b
 def _block_search(
     items: DataFrame, asked: DataFrame, k: int, by_tenant: bool, schema: str, block: int
 ) -> DataFrame:
-    """Grid of query blocks and vector blocks; sizes follow from the counts, so no group outgrows a task."""
+    """Grid of query blocks and vector blocks. A task holds one block of queries, past which its vectors stream."""
     query_blocks = max(1, math.ceil(2 * asked.count() / block))
     vector_blocks = max(1, math.ceil(items.count() / 200_000))
 
@@ -174,15 +175,43 @@ def _block_search(
 
     left = items.select("*", F.pmod(F.xxhash64("ident"), F.lit(vector_blocks)).cast("int").alias("vb"), spread(query_blocks, "qb"))
     right = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), spread(vector_blocks, "vb"))
+    # the queries of a block come before its vectors
+    both = right.withColumn("side", F.lit(0)).unionByName(left.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("qb", "vb").sortWithinPartitions("qb", "vb", "side")
 
-    def pair(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        best = BestRows(len(queries), k)
-        if len(vectors) and len(queries):
-            matrix = np.stack(queries["qvec"].to_numpy()).astype(np.float64)
-            _search(vectors, matrix, queries["tenant"].to_numpy() if by_tenant else None, best)
-        return _found(best, queries["query_id"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best, queries = None, None, []
+        matrix = ids = tenants = None
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
+        def out() -> pa.RecordBatch:
+            found = _found(best, ids)
+            kinds = [types["query_id"], types["ident"], pa.float64()]
+            columns = [pa.array(found[c], type=t, from_pandas=True) for c, t in zip(found.columns, kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=list(found.columns))
+
+        for batch in batches:
+            types = {f.name: f.type for f in batch.schema}
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("qb", "vb", "side")], axis=1)
+            starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            bounds = [0, *starts.tolist(), len(keys)] if len(keys) else []
+            for lo, hi in zip(bounds, bounds[1:]):
+                own, part = tuple(keys[lo, :2].tolist()), batch.slice(lo, hi - lo)
+                if own != block:
+                    if best is not None:
+                        yield out()
+                    block, best, queries = own, None, []
+                if keys[lo, 2] == 0:
+                    queries.append(part.select([c for c in part.schema.names if c not in ("ident", "vec")]).to_pandas())
+                elif queries:
+                    if best is None:
+                        head = pd.concat(queries)
+                        matrix, ids = np.stack(head["qvec"].to_numpy()).astype(np.float64), head["query_id"].to_numpy()
+                        tenants, best = head["tenant"].to_numpy() if by_tenant else None, BestRows(len(ids), k)
+                    _search(part.select([c for c in part.schema.names if c not in ("query_id", "qvec")]).to_pandas(), matrix, tenants, best)
+        if best is not None:
+            yield out()
+
+    return dealt.mapInArrow(run, schema)
 
 
 # --- re-ranking ----------------------------------------------------------------------------------
