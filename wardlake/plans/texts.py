@@ -180,8 +180,9 @@ def index_append(spark, d):
         return tenants.with_tenant(retrieval.embed(docs.chunk_documents(cleaned), encoder))
 
     tenants.append(chunks(rows.where(english)), store, "base")
+    upload = materialize(chunks(rows.where(~english)), "upload")
     for _ in range(2):  # the retry of a batch must not add rows
-        tenants.append(chunks(rows.where(~english)), store, "upload-1")
+        tenants.append(upload, store, "upload-1")
     stored = tenants.read_store(spark, store)
     return stored.groupBy("tenant_id").agg(
         F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"),
